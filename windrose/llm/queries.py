@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from windrose.llm import decontaminate
+from windrose.llm import classifier, decontaminate, html_text, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,8 +22,20 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(index, _read(spark, sf_dir, "benchmark")).drop("n_near", "text_key")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_decontamination,)}
+    return {f.__name__: f for f in (op7_decontamination, op8_packing, op9_quality_classifier, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
