@@ -18,7 +18,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrose.llm.common import map_arrow, text_chunks
@@ -59,7 +59,7 @@ def monotone_steps(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return knots, np.maximum.accumulate(np.array([(s[1] + PRIOR_ROWS * share) / (s[2] + PRIOR_ROWS) for s in steps]))
 
 
-def fold(doc_id: str = "doc_id"):  # noqa: ANN201
+def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5
 
 
