@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from windrose.llm import classifier, decontaminate, html_text, packing, quality_rules, sharding
+from windrose.llm import classifier, decontaminate, html_text, neardup, packing, pii, quality_rules, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"))
 
@@ -25,6 +29,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontaminate.build_index(_read(spark, sf_dir, "documents"))
     return decontaminate.search(index, _read(spark, sf_dir, "benchmark")).drop("n_near", "text_key")
@@ -43,7 +51,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_histogram_sort, op3_quality_rules, op7_decontamination, op8_packing, op9_quality_classifier, op10_html_text)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_histogram_sort, op3_quality_rules, op5_probminhash, op7_decontamination, op8_packing, op9_quality_classifier, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
