@@ -12,8 +12,12 @@ doc_id (nulls first), start and checksum; rows equal in all of these are interch
 
 from __future__ import annotations
 
+import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +29,20 @@ from windrose.llm.common import map_arrow, text_chunks, written
 CAPACITY = 4096
 END_ID = 2
 #: Words whose ids a worker remembers, and the bytes of the longest such word.
-CACHED_WORDS, CACHED_BYTES = 400_000, 48
+CACHED_WORDS, CACHED_BYTES = 200_000, 48
+#: How tokens that close a word end; a word that stands between others in one call; symbols cut off the end of a word.
+WORD_END, MARK, TAIL = "</w>", b"\x01", b"!#$%&*+,-./:;<=>?@|~"
 #: Pieces of one length and salt.
 RANKED_TOGETHER = 50_000
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
+def _cut(ids: np.ndarray, ends: np.ndarray, gap: int) -> list[bytes]:
+    """The bytes of the ids up to each end, each part beginning ``gap`` bytes after the end before."""
+    raw = ids.tobytes()
+    return [raw[a:b] for a, b in zip([0, *(ends[:-1] + gap).tolist()], ends.tolist(), strict=True)] if len(ends) else []
+
+
 class WordEncoder:
     """Ids by a tokenizer that drops white space and so treats words one by one; ids of short words are remembered.
 
@@ -42,25 +54,69 @@ class WordEncoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-    def _encode(self, parts: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([p.decode() for p in parts], add_special_tokens=False)]
+        mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _encode(self, parts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Words with their ids. Words of letters have one id that closes them, so many go through one call; others are
+        told apart by a mark, or go one by one where the mark is part of them."""
+        text = [p.decode() for p in parts]
+        plain = [x for x in text if x.isalpha()]
+        ids = self._ids(" ".join(plain))
+        ends = np.flatnonzero(self.closes[ids]) * 4 + 4
+        if len(ends) != len(plain):
+            plain, ends = [], ends[:0]
+        done = set(plain)
+        rest = [x for x in text if x not in done]
+        found = list(zip(plain, _cut(ids, ends, 0), strict=True))
+        if self.mark is None or any(MARK.decode() in x for x in rest):
+            found += [(x, self._ids(x).tobytes()) for x in rest]
+        elif rest:
+            ids = self._ids(f" {MARK.decode()} ".join(rest))
+            found += zip(rest, _cut(ids, np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4, 4), strict=True)
+        return [(x.encode(), i) for x, i in found]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Symbols after a letter or digit are tokens of their own, so such words are put together from their parts."""
+        joined, whole = [], set()
+        for w in new:
+            core = w.rstrip(TAIL)
+            if core and len(core) < len(w) and core[-1:].isalnum() and b"<|" not in w:
+                joined.append((w, core, w[len(core) :]))
+                whole.update((core, w[len(core) :]))
+            else:
+                whole.add(w)
+        rest = [w for w in whole if w not in self.known]
+        self.known.update(self._encode(rest) if rest else ())
+        self.known.update((w, self.known[core] + self.known[tail]) for w, core, tail in joined)
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """Little-endian ids of each text."""
+        """Little-endian ids of each text. Words that a call holds twice are remembered for the next ones."""
         split = [t.split() for t in texts]
-        new = {w for parts in split for w in parts if w not in self.known}
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, new = {}, {w for parts in split for w in parts}
-        rare = [*new]
-        self.known.update(zip(rare, self._encode(rare), strict=True))
+        times = Counter(chain.from_iterable(split))
+        if len(self.known) > CACHED_WORDS:
+            self.known = {}
+        new = [w for w in times if w not in self.known]
+        before = len(self.known)
+        self._learn(new)
         for parts in split:
             yield np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u4")
-        for w in rare:
-            if len(w) > CACHED_BYTES:
+        for w in [*islice(self.known, before, None)]:
+            if times[w] < 2 or len(w) > CACHED_BYTES:
                 del self.known[w]
 
 
-_encoders: dict[str, WordEncoder] = {}
+@cache
+def encoder(path: str) -> WordEncoder:
+    """One per worker; a function of the module, so that tasks share it."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordEncoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -68,14 +124,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     schema = PIECE_SCHEMA + (", ids array<bigint>" if with_ids else "")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, WordEncoder(tokenizer_path))
         for lo, hi, data, offsets in text_chunks(batch, "text"):
             raw, names = data.tobytes(), batch.column("doc_id")[lo:hi].to_pylist()
             out: list[list] = [[] for _ in range(5 + with_ids)]
-            for name, ids in zip(names, encoder.encode([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]), strict=True):
+            for name, ids in zip(names, encoder(tokenizer_path).encode([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]), strict=True):
                 ids = np.append(ids, np.array([end_id], "<u4"))
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]

@@ -160,7 +160,7 @@ def thresholds(found: DataFrame, labels: DataFrame, risk: float = RISK, alpha: f
 
     def order(part: pd.DataFrame) -> pd.DataFrame:
         path = ordered_path(part)
-        return pd.DataFrame({"stratum": part.stratum.iloc[0], "step": range(len(path)), "rule": [r for r, _ in path], "cutoff": [c for _, c in path]})
+        return pd.DataFrame({"stratum": [part.stratum.iloc[0]] * len(path), "step": [*range(len(path))], "rule": [r for r, _ in path], "cutoff": [c for _, c in path]}, dtype=object)
 
     path = written(cells.groupBy("stratum").applyInPandas(order, "stratum string, step int, rule string, cutoff double"), "path")
     at = F.coalesce(*(F.when(F.col("rule") == r, F.lit(i)) for i, r in enumerate(RULES)))
@@ -171,7 +171,7 @@ def thresholds(found: DataFrame, labels: DataFrame, risk: float = RISK, alpha: f
     def certify(part: pd.DataFrame) -> pd.DataFrame:
         n = int(part.good.sum())
         stands = certified_steps(dict(zip(part["first"], part.good, strict=True)), n, int(part.n_steps.iloc[0]), level, risk)
-        return pd.DataFrame({"stratum": [part.stratum.iloc[0]], "stands": [stands], "enough": [upper_bound(0, n, level) <= risk]})
+        return pd.DataFrame({"stratum": [part.stratum.iloc[0]], "stands": [stands], "enough": [bool(upper_bound(0, n, level) <= risk)]}, dtype=object)
 
     stands = reached.groupBy("stratum").applyInPandas(certify, "stratum string, stands int, enough boolean")
     return stands.join(path, "stratum", "left").groupBy("stratum", "enough", "rule").agg(F.min(F.when(F.col("step") < F.col("stands"), F.col("cutoff"))).alias("cutoff"))
