@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from windrose.llm import classifier, decontaminate, html_text, neardup, packing, pii, quality_rules, sharding
+from windrose.llm import classifier, decontaminate, html_text, masked_lm, neardup, packing, pii, quality_rules, sharding, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -29,10 +30,19 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op4_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.likelihoods(_read(spark, sf_dir, "documents"))
+
+
 def op5_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeats(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontaminate.build_index(_read(spark, sf_dir, "documents"))
     return decontaminate.search(index, _read(spark, sf_dir, "benchmark")).drop("n_near", "text_key")
@@ -51,7 +61,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii_surrogates, op2_histogram_sort, op3_quality_rules, op5_probminhash, op7_decontamination, op8_packing, op9_quality_classifier, op10_html_text)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_histogram_sort, op3_quality_rules, op4_masked_lm, op5_probminhash, op6_suffix_dedup, op7_decontamination, op8_packing, op9_quality_classifier, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
