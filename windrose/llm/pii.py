@@ -37,7 +37,7 @@ _HEAD = r"(?<![\p{L}\p{N}._%+-])"
 #: In the order in which they are tried at a place.
 PATTERNS = {
     "email": _HEAD + r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "secret": r"(?<![0-9A-Za-z_-])(?:[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|(?:ghp_|sk-|xox[abp]-)[0-9A-Za-z-]{16,})(?![0-9A-Za-z])|(?<=(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[0-9A-Za-z+/_=-]{8,}",
+    "secret": r"(?<![0-9A-Za-z_-])(?:[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|(?:ghp_|sk-|xox[abp]-)[0-9A-Za-z-]{16,})(?![0-9A-Za-z])|(?<=[=:\s\"'])(?=[0-9A-Za-z+/_=-]{8})(?<=(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[0-9A-Za-z+/_=-]{8,}",
     "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "mac": r"(?<![0-9A-Fa-f:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:-])",
     "ipv4": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
@@ -45,9 +45,11 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
     "phone": r"(?<![\p{L}\d.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\d-])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?=\p{{L}})(?:(?:{_ANY_TITLE})\.?\s{_TOKEN}(?:[ -]{_TOKEN}){{0,2}}|(?:{_ANY_GIVEN})(?: {_TOKEN})?(?![\p{{L}}\p{{N}}]))",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{Lu}}г])(?:(?:{_ANY_TITLE})\.?\s{_TOKEN}(?:[ -]{_TOKEN}){{0,2}}|(?:{_ANY_GIVEN})(?: {_TOKEN})?(?![\p{{L}}\p{{N}}]))",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Stands at both ends of a mention while a text is cut; texts that hold it are cut another way.
+MARK = "\x01"
 _LATIN, _HEX = "abcdefghijklmnopqrstuvwxyz", "abcdef"
 
 
@@ -92,9 +94,13 @@ def _name(script: str, ending: Column, stream: Column, syllables: Column) -> Col
     return F.initcap(F.concat(body, end))
 
 
-def surrogate(kind: Column, canonical: Column, attempt: Column, key: str = KEY) -> Column:
-    """The keyed draw number ``attempt`` for an entity."""
-    stream = F.sha2(F.concat_ws("\x01", F.lit(key), kind, canonical, attempt.cast("string")), 512)
+def key_stream(kind: Column, canonical: Column, attempt: Column, key: str = KEY) -> Column:
+    """What a draw takes its bytes from."""
+    return F.sha2(F.concat_ws("\x01", F.lit(key), kind, canonical, attempt.cast("string")), 512)
+
+
+def surrogate(kind: Column, canonical: Column, attempt: Column, stream: Column, key: str = KEY) -> Column:
+    """The keyed draw number ``attempt`` for an entity; ``stream`` is its ``key_stream``."""
     same = _chars(canonical, _same_kind(_LATIN, stream))
     as_hex = _chars(canonical, _same_kind(_HEX, stream))
     local, domain = F.split_part(canonical, F.lit("@"), F.lit(1)), F.split_part(canonical, F.lit("@"), F.lit(2))
@@ -115,6 +121,30 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, key: str = KEY)
     return drawn.when(kind == "phone_country", dialled).when(kind == "iban", iban).when(kind.isin("ssn", "phone"), same).otherwise(names)
 
 
+def marked(inside: Column) -> Column:
+    """The text cut at its mentions: texts between mentions at even places, mentions at odd ones."""
+    cut = F.split(F.regexp_replace(inside, PATTERN, f"{MARK}$0{MARK}"), MARK, -1)
+    pieces, matches = F.split(inside, PATTERN, -1), F.regexp_extract_all(inside, F.lit(PATTERN), F.lit(0))
+    slow = F.flatten(F.transform(pieces, lambda p, i: F.when(i < F.size(matches), F.array(p, F.get(matches, i))).otherwise(F.array(p))))
+    return F.when(inside.contains(MARK), slow).otherwise(cut)
+
+
+def _every_second(parts: str, first: int) -> Column:
+    return F.filter(parts, lambda x, i: F.pmod(i, F.lit(2)) == first)
+
+
+def _with_surnames(parts: str, surnames: str) -> Column:
+    """``parts`` also cut at surnames that stand alone. A mention's ends also end words."""
+    alone = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(surnames, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+
+    def cut(p: Column, i: Column) -> Column:
+        pieces, matches = F.split(p, alone, -1), F.regexp_extract_all(p, alone, F.lit(0))
+        both = F.flatten(F.transform(pieces, lambda x, k: F.when(k < F.size(matches), F.array(x, F.get(matches, k))).otherwise(F.array(x))))
+        return F.when(F.pmod(i, F.lit(2)) == 0, both).otherwise(F.array(p))
+
+    return F.flatten(F.transform(parts, cut))
+
+
 def mentions(found: DataFrame) -> DataFrame:
     """(uid, at, part, kind, canonical, raw): the parts of every mention; parts without kind stay as they are."""
     raw = F.col("raw")
@@ -146,7 +176,8 @@ def entity_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     pending, attempt, settled = written(entities, "entities"), 0, None
     everything = pending
     while True:
-        drawn = pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("canonical"), F.lit(attempt), key)).withColumn("turn", F.lit(attempt))
+        drawn = pending.withColumn("stream", key_stream(F.col("kind"), F.col("canonical"), F.lit(attempt), key))
+        drawn = drawn.select("kind", "canonical", surrogate(F.col("kind"), F.col("canonical"), F.lit(attempt), F.col("stream"), key).alias("surrogate"), F.lit(attempt).alias("turn"))
         pool = drawn if settled is None else settled.unionByName(drawn)
         first = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("turn", "canonical")) == 1
         real = everything.select("kind", F.col("canonical").alias("drawn"))
@@ -170,13 +201,12 @@ def replaced(docs: DataFrame, key: str = KEY, text: str = "text", count_as: str
     """The documents with surrogates in place of personal data; ``count_as`` names a column with the number of mentions."""
     names = docs.columns
     inside = F.col(text).cast("string")
-    found = docs.filter(inside.rlike(PATTERN)).select(F.monotonically_increasing_id().alias("uid"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), inside.alias("inside"), F.regexp_extract_all(inside, F.lit(PATTERN), F.lit(0)).alias("matches"))
-    found = found.withColumn("surnames", F.array_distinct(F.transform(F.filter("matches", lambda m: m.rlike(rf"^(?:(?:{_ANY_TITLE})\.?\s|(?:{_ANY_GIVEN}) )\p{{L}}")), lambda m: F.regexp_extract(m, r"([\p{L}'’]+)$", 1))))
-    wider = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}])(?:"), F.array_join("surnames", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    named = F.size("surnames") > 0
-    pieces = F.when(named, F.split("inside", wider, -1)).otherwise(F.split("inside", PATTERN, -1))
-    matches = F.when(named, F.regexp_extract_all("inside", wider, F.lit(0))).otherwise(F.col("matches"))
-    found = written(found.select("uid", F.col("doc").withField(text, F.lit("")).alias("doc"), pieces.alias("pieces"), matches.alias("matches"), "surnames"), "found")
+    found = docs.filter(inside.rlike(PATTERN)).select(F.monotonically_increasing_id().alias("uid"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), inside.alias("inside"))
+    found = written(found.select("uid", F.col("doc").withField(text, F.lit("")).alias("doc"), marked(F.col("inside")).alias("parts")), "marked")
+    matches = _every_second("parts", 1)
+    surnames = F.array_distinct(F.transform(F.filter("matches", lambda m: m.rlike(rf"^(?:(?:{_ANY_TITLE})\.?\s|(?:{_ANY_GIVEN}) )\p{{L}}")), lambda m: F.regexp_extract(m, r"([\p{L}'’]+)$", 1)))
+    found = found.withColumn("matches", matches).withColumn("surnames", surnames).withColumn("parts", F.when(F.size("surnames") > 0, _with_surnames("parts", "surnames")).otherwise(F.col("parts")))
+    found = written(found.select("uid", "doc", _every_second("parts", 0).alias("pieces"), _every_second("parts", 1).alias("matches"), "surnames"), "found")
     parts = written(mentions(found), "mentions")
     drawn = entity_surrogates(parts.filter("kind IS NOT NULL").select("kind", "canonical").distinct(), key)
     said = parts.filter("kind IS NOT NULL").join(drawn, ["kind", "canonical"]).select("uid", "at", "part", _formatted(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("said")).unionByName(parts.filter("kind IS NULL").select("uid", "at", "part", F.col("raw").alias("said")))
