@@ -201,8 +201,9 @@ def replaced(docs: DataFrame, key: str = KEY, text: str = "text", count_as: str
     """The documents with surrogates in place of personal data; ``count_as`` names a column with the number of mentions."""
     names = docs.columns
     inside = F.col(text).cast("string")
-    found = docs.filter(inside.rlike(PATTERN)).select(F.monotonically_increasing_id().alias("uid"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), inside.alias("inside"))
-    found = written(found.select("uid", F.col("doc").withField(text, F.lit("")).alias("doc"), marked(F.col("inside")).alias("parts")), "marked")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), marked(inside).alias("parts"))
+    rows = written(rows.withColumn("doc", F.col("doc").withField(text, F.lit(""))), "marked")
+    found = rows.filter("size(parts) > 1")
     matches = _every_second("parts", 1)
     surnames = F.array_distinct(F.transform(F.filter("matches", lambda m: m.rlike(rf"^(?:(?:{_ANY_TITLE})\.?\s|(?:{_ANY_GIVEN}) )\p{{L}}")), lambda m: F.regexp_extract(m, r"([\p{L}'’]+)$", 1)))
     found = found.withColumn("matches", matches).withColumn("surnames", surnames).withColumn("parts", F.when(F.size("surnames") > 0, _with_surnames("parts", "surnames")).otherwise(F.col("parts")))
@@ -214,6 +215,6 @@ def replaced(docs: DataFrame, key: str = KEY, text: str = "text", count_as: str
     lists = whole.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]).alias("said"))
     joined = F.array_join(F.zip_with("pieces", "said", lambda p, q: F.concat(p, F.coalesce(q, F.lit("")))), "")
     changed = found.join(lists, "uid").select(F.col("doc").withField(text, joined).alias("doc"), F.size("matches").cast("bigint").alias("n"))
-    clean = docs.filter(F.coalesce(~inside.rlike(PATTERN), F.lit(True))).select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), F.lit(0).cast("bigint").alias("n"))
+    clean = rows.filter("coalesce(size(parts), 0) <= 1").select(F.col("doc").withField(text, F.get("parts", F.lit(0))).alias("doc"), F.lit(0).cast("bigint").alias("n"))
     out = clean.unionByName(changed)
     return out.select(*(F.col("doc")[c].alias(c) for c in names), *([F.col("n").alias(count_as)] if count_as else []))
