@@ -101,6 +101,14 @@ def test_masked_lm_prefers_learnt_order(spark: SparkSession) -> None:
     assert rows[320].n_words == 0 and rows[320].log_likelihood == 0
 
 
+def test_masked_lm_trains_on_every_word(spark: SparkSession) -> None:
+    texts = frame(spark, ["one two three four", "five", "six seven"] * 20).select("text")
+    assert not np.array_equal(masked_lm.train(texts, masked_lm.Vocabulary(masked_lm.bucket_counts(texts))).flat, masked_lm.Network.drawn().flat)
+    row = np.repeat(np.arange(200), 17)
+    dealt = masked_lm.masked_in(np.arange(len(row)) % 31 * (row + 1), row, 2)
+    assert set(dealt) == {0, 1} and 0.4 < dealt.mean() < 0.6 and all(len(set(dealt[k::17])) == 2 for k in range(17))
+
+
 # 5
 def near_classes(texts: list[str]) -> list[int]:
     def bag(text: str) -> Counter:

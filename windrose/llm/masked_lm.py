@@ -5,9 +5,10 @@ own and the others into classes of about equal weight. A window network, trained
 from the classes of the ``WINDOW`` words on either side; within its class a bucket has its share of the counts. A
 document's score is the sum of these conditional log-probabilities over all its words, and their mean.
 
-Training runs data-parallel over all documents. In each round a task starts from the common weights, masks one position
-in ``MASKED`` (another choice each round) and takes minibatch steps over its documents; the weights are then averaged,
-weighted by positions, in one aggregation. Only counts and weights, whose number is a parameter, reach the driver.
+Training runs data-parallel over all documents. Every word is masked in exactly one of the ``ROUNDS`` rounds, dealt by
+its position and the words of its text. In each round a task starts from the common weights and takes minibatch steps over
+the round's words of its documents; the weights are then averaged, weighted by positions, in one aggregation. Only counts
+and weights, whose number is a parameter, reach the driver.
 
 Words are runs of digits, letters and bytes beyond ASCII, lower-cased (A-Z). A null or wordless text has no words, a
 sum of 0 and a mean of 0. Repeated rows get equal scores. Without any word in the corpus the network stays as drawn.
@@ -26,7 +27,7 @@ from windrose.llm.common import map_arrow, mix, text_chunks, words
 
 BUCKETS, CLASSES, OWN = 1 << 16, 64, 48
 WINDOW, HIDDEN = 3, 24
-ROUNDS, MASKED, BATCH = 2, 12, 4096
+ROUNDS, BATCH = 2, 4096
 RATE, SEED = 0.01, 7
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 
@@ -119,6 +120,15 @@ def contexts(classes: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray
     return out
 
 
+def masked_in(bucket: np.ndarray, row: np.ndarray, rounds: int) -> np.ndarray:
+    """The round in which each word is masked."""
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+    lengths = np.diff(np.r_[first, len(row)])
+    text = mix(np.add.reduceat(bucket, first).astype(np.uint64)) if len(row) else np.zeros(0, np.uint64)
+    place = (np.arange(len(row)) - np.repeat(first, lengths)).astype(np.uint64)
+    return (mix(np.repeat(text, lengths) + place) % np.uint64(rounds)).astype(np.int64)
+
+
 def bucket_counts(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
@@ -145,8 +155,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Net
             for batch in batches:
                 for _, _, bucket, row in _bucketed(batch):
                     classes = known.value.class_of[bucket]
-                    first = np.searchsorted(row, row)
-                    masked = np.flatnonzero(mix((np.arange(len(row)) - first).astype(np.uint64) + np.uint64(1 + number)) % np.uint64(MASKED) == 0)
+                    masked = np.flatnonzero(masked_in(bucket, row, rounds) == number)
                     for k in range(0, len(masked), BATCH):
                         at = masked[k : k + BATCH]
                         steps.take(contexts(classes, row, at), classes[at])
