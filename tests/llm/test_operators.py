@@ -40,6 +40,18 @@ def test_pii_is_replaced_alike_everywhere(spark: SparkSession) -> None:
     assert [rows[i].text for i in (4, 5, 6)] == [None, "", "nothing here"] and rows[6].n_entities == 0
 
 
+def test_pii_neighbours_stay_apart(spark: SparkSession) -> None:
+    lone = ["+1 (826) 555-4081", "+49 170 1234567", "4111 1111 1111 1111", "6212 3456 7890 1234 567"]
+    texts = [*lone, *(f"{x} 190.137.223.204" for x in lone), f"{lone[2]} 42 items", f"{lone[2]} 123 items", f"{lone[0]} 2024", f"{lone[1]} 2024"]
+    rows = {r.doc_id: r for r in pii.replaced(frame(spark, texts)).collect()}
+    drawn = [rows[i].text for i in range(4)]
+    assert all(a != b and re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b) for a, b in zip(drawn, lone, strict=True))
+    addresses = {rows[4 + i].text.removeprefix(drawn[i] + " ") for i in range(4)}
+    assert len(addresses) == 1 and re.fullmatch(r"2[45]\d(\.\d+){3}", addresses.pop())
+    assert [rows[i].text for i in range(8, 12)] == [f"{drawn[2]} 42 items", f"{drawn[2]} 123 items", f"{drawn[0]} 2024", f"{drawn[1]} 2024"]
+    assert [rows[i].n_entities for i in range(12)] == [1] * 4 + [2] * 4 + [1] * 4
+
+
 def test_pii_surrogates_are_distinct(spark: SparkSession) -> None:
     entities = spark.createDataFrame([("given_m_latin", f"name{i}") for i in range(3000)], "kind string, canonical string")
     drawn = pii.entity_surrogates(entities).collect()

@@ -33,6 +33,9 @@ _ANY_TITLE = "|".join(t for x in TITLES.values() for t in x.split())
 _ANY_GIVEN = "|".join(n for x in GIVEN.values() for n in x.split())
 _TOKEN = r"\p{Lu}[\p{L}'’]+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_IPV4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
+#: Between the groups of a telephone number; a space never leads into a network address.
+_SEP = rf"(?:[.-]?|[ ](?!{_IPV4}))"
 _HEAD = r"(?<![\p{L}\p{N}._%+-])"
 #: In the order in which they are tried at a place.
 PATTERNS = {
@@ -40,11 +43,13 @@ PATTERNS = {
     "secret": r"(?<![0-9A-Za-z_-])(?:[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|(?:ghp_|sk-|xox[abp]-)[0-9A-Za-z-]{16,})(?![0-9A-Za-z])|(?<=[=:\s\"'])(?=[0-9A-Za-z+/_=-]{8})(?<=(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[0-9A-Za-z+/_=-]{8,}",
     "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "mac": r"(?<![0-9A-Fa-f:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:-])",
-    "ipv4": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
+    "ipv4": rf"(?<![\d.]){_IPV4}",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "phone": r"(?<![\p{L}\d.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\d-])",
+    #: Unbroken, or in the groups that issuers print; a fifth group only where the issuer's numbers have 19 digits.
+    "card": rf"(?<![\d.-])\d(?:\d{{12,18}}|\d{{3}}(?:(?:[ -]\d{{4}}){{3}}|[ -]\d{{6}}[ -]\d{{4,5}}|(?:[ -]\d{{3}}){{3}}|[ -]\d{{4}}[ -]\d{{5}})|\d{{5}}[ -]\d{{13}})(?:(?<=(?:5[0678]|6[2379])\d\d[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{4}})[ -](?!{_IPV4})\d{{3}})?(?![\d-])",
+    #: By format where the country's is known, so that a number that follows stays out; then any groups.
+    "phone": rf"(?<![\p{{L}}\d.-])(?:\+(?:1[ .-]?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{4}}|\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?(?:\d{{2,4}}[ .-]\d{{5,8}}|\d{{2,4}}(?:{_SEP}\d{{2,4}}){{1,3}}))|\(\d{{2,4}}\)[ .-]?\d{{3,4}}{_SEP}\d{{3,4}}|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}})(?![\d-])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{Lu}}г])(?:(?:{_ANY_TITLE})\.?\s{_TOKEN}(?:[ -]{_TOKEN}){{0,2}}|(?:{_ANY_GIVEN})(?: {_TOKEN})?(?![\p{{L}}\p{{N}}]))",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
