@@ -52,6 +52,20 @@ def test_pii_neighbours_stay_apart(spark: SparkSession) -> None:
     assert [rows[i].n_entities for i in range(12)] == [1] * 4 + [2] * 4 + [1] * 4
 
 
+def test_pii_of_wider_forms_is_found(spark: SparkSession) -> None:
+    found = ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "::1", "0" * 4 + "ab" * 70, "030 12345678", "01 23 45 67 89", "020 7946 0958", "+33 1 23 45 67 89", "Juan Carlos García López"]
+    texts = [*(f"see {x} end" for x in found), 'x {"password": "hunter2hunter2"} y', "Juan Carlos García López came. García and López left.", "std::cout a::b x :: y Foo::bar at 12:30"]
+    rows = {r.doc_id: r for r in pii.replaced(frame(spark, texts)).collect()}
+    for i, x in enumerate(found):
+        inside = rows[i].text.removeprefix("see ").removesuffix(" end")
+        assert rows[i].n_entities == 1 and inside != x and not set(re.findall(r"\w{5,}", x)) & set(re.findall(r"\w+", inside))
+    assert all(rows[i].text.startswith("see 2001:db8:") for i in range(3)) and rows[4].text.startswith("see 0") and rows[5].text.startswith("see 0")
+    assert re.fullmatch(r'x \{"password": "\w{14}"\} y', rows[9].text) and "hunter2" not in rows[9].text
+    names = re.fullmatch(r"(\w+) (\w+) (\w+) (\w+) came\. (\w+) and (\w+) left\.", rows[10].text)
+    assert names and (names[3], names[4]) == (names[5], names[6]) and not {*names.groups()} & {"Juan", "Carlos", "García", "López"}
+    assert rows[11].text == texts[11]
+
+
 def test_pii_surrogates_are_distinct(spark: SparkSession) -> None:
     entities = spark.createDataFrame([("given_m_latin", f"name{i}") for i in range(3000)], "kind string, canonical string")
     drawn = pii.entity_surrogates(entities).collect()

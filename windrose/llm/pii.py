@@ -30,7 +30,8 @@ GIVEN = {
 SYLLABLES = {"latin": ("bdfgklmnprstvz", "aeiou", "nrsl"), "cyrillic": ("бвгдзклмнпрстф", "аеиоу", "нрсл")}
 
 _ANY_TITLE = "|".join(t for x in TITLES.values() for t in x.split())
-_ANY_GIVEN = "|".join(n for x in GIVEN.values() for n in x.split())
+_GIVEN_NAMES = [n for x in GIVEN.values() for n in x.split()]
+_ANY_GIVEN = "|".join(_GIVEN_NAMES)
 _TOKEN = r"\p{Lu}[\p{L}'’]+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IPV4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
@@ -40,8 +41,9 @@ _HEAD = r"(?<![\p{L}\p{N}._%+-])"
 #: In the order in which they are tried at a place.
 PATTERNS = {
     "email": _HEAD + r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "secret": r"(?<![0-9A-Za-z_-])(?:[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|(?:ghp_|sk-|xox[abp]-)[0-9A-Za-z-]{16,})(?![0-9A-Za-z])|(?<=[=:\s\"'])(?=[0-9A-Za-z+/_=-]{8})(?<=(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[0-9A-Za-z+/_=-]{8,}",
-    "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "secret": r"(?<![0-9A-Za-z_-])(?:[0-9a-fA-F]{32,}+|AKIA[0-9A-Z]{16}|(?:ghp_|sk-|xox[abp]-)[0-9A-Za-z-]{16,})(?![0-9A-Za-z])|(?<=[=:\s\"'])(?=[0-9A-Za-z+/_=-]{8})(?<=(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[0-9A-Za-z+/_=-]{8,}",
+    #: In full, or with one run of zeros left out and a digit or a full group, as "a::b" is rather a name in a program.
+    "ipv6": r"(?<![0-9A-Za-z_:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{2,39}+)(?=[A-Fa-f:]*(?:\d|(?<=[A-Fa-f]{4})))(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Za-z_:]|\.\d)",
     "mac": r"(?<![0-9A-Fa-f:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:-])",
     "ipv4": rf"(?<![\d.]){_IPV4}",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
@@ -49,8 +51,8 @@ PATTERNS = {
     #: Unbroken, or in the groups that issuers print; a fifth group only where the issuer's numbers have 19 digits.
     "card": rf"(?<![\d.-])\d(?:\d{{12,18}}|\d{{3}}(?:(?:[ -]\d{{4}}){{3}}|[ -]\d{{6}}[ -]\d{{4,5}}|(?:[ -]\d{{3}}){{3}}|[ -]\d{{4}}[ -]\d{{5}})|\d{{5}}[ -]\d{{13}})(?:(?<=(?:5[0678]|6[2379])\d\d[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{4}})[ -](?!{_IPV4})\d{{3}})?(?![\d-])",
     #: By format where the country's is known, so that a number that follows stays out; then any groups.
-    "phone": rf"(?<![\p{{L}}\d.-])(?:\+(?:1[ .-]?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{4}}|\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?(?:\d{{2,4}}[ .-]\d{{5,8}}|\d{{2,4}}(?:{_SEP}\d{{2,4}}){{1,3}}))|\(\d{{2,4}}\)[ .-]?\d{{3,4}}{_SEP}\d{{3,4}}|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}})(?![\d-])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{Lu}}г])(?:(?:{_ANY_TITLE})\.?\s{_TOKEN}(?:[ -]{_TOKEN}){{0,2}}|(?:{_ANY_GIVEN})(?: {_TOKEN})?(?![\p{{L}}\p{{N}}]))",
+    "phone": rf"(?<![\p{{L}}\d.-])(?:\+(?:33[ .-]?(?:\(0\)[ .-]?)?[1-9](?:[ .-]?\d{{2}}){{4}}|1[ .-]?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{4}}|\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?(?:\d{{2,4}}[ .-]\d{{5,8}}|\d{{2,4}}(?:{_SEP}\d{{2,4}}){{1,3}}))|\(\d{{2,4}}\)[ .-]?\d{{3,4}}{_SEP}\d{{3,4}}|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}|0[1-9](?:(?:[ .-]\d{{2}}){{4}}|\d{{0,3}}[ /-]\d{{6,8}}|\d[ -]\d{{4}}[ -]\d{{4}}|\d{{2,3}}[ -]\d{{3}}[ -]\d{{3,4}}))(?![\d-])",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{Lu}}г])(?:(?:{_ANY_TITLE})\.?\s{_TOKEN}(?:[ -]{_TOKEN}){{0,2}}|(?:{_ANY_GIVEN})(?:[ -](?:{_ANY_GIVEN})(?![\p{{L}}\p{{N}}])){{0,3}}(?:[ -]{_TOKEN}){{0,2}}(?![\p{{L}}\p{{N}}]))",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Stands at both ends of a mention while a text is cut; texts that hold it are cut another way.
@@ -115,15 +117,19 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, stream: Column,
     check = F.pmod(10 - _luhn(F.concat(body, F.lit("0"))) + F.when(_luhn(canonical) == 0, 0).otherwise(1 + F.pmod(_byte(stream, F.lit(63)), F.lit(9))), F.lit(10))
     ipv4 = F.concat_ws(".", (240 + F.pmod(_byte(stream, F.lit(0)), F.lit(15))).cast("string"), *(_byte(stream, F.lit(i)).cast("string") for i in (1, 2, 3)))
     kept = F.when(F.substring(canonical, 1, 1).isin("1", "7"), 1).otherwise(2)
+    #: The leading 0 of a national number stays.
+    national = F.when(canonical.startswith("0"), F.concat(F.lit("0"), F.substring(same, F.lit(2), F.length(same)))).otherwise(same)
+    #: Addresses with zeros left out have too few places for distinct draws; theirs lie in the range for examples.
+    ipv6 = F.when(canonical.contains("::"), F.concat(F.lit("2001:db8:"), F.concat_ws(":", *(F.substring(stream, i, 4) for i in (1, 5, 9))), F.lit("::"), F.substring(stream, 13, 4))).otherwise(as_hex)
     dialled = F.concat(F.substring(canonical, F.lit(1), kept), F.substring(same, kept + 1, F.length(same)))
     iban = F.concat(F.substring(canonical, 1, 2), F.substring(same, F.lit(3), F.length(same)))
     names = F.lit(None).cast("string")
     for script in SYLLABLES:
         for role, ending in (("given_m", "m"), ("given_f", "f"), ("given_n", "n"), ("surname", "n")):
             names = F.when(kind == f"{role}_{script}", _name(script, F.lit(ending), stream, F.least(F.lit(20), (2 + attempt).cast("int")))).otherwise(names)
-    drawn = F.when(kind == "email", email).when(kind.isin("ipv6", "mac"), as_hex)
+    drawn = F.when(kind == "email", email).when(kind == "ipv6", ipv6).when(kind == "mac", as_hex)
     drawn = drawn.when(kind == "secret", F.when(canonical.rlike("^[0-9a-fA-F]+$"), as_hex).otherwise(same)).when(kind == "ipv4", ipv4).when(kind == "card", F.concat(body, check.cast("string")))
-    return drawn.when(kind == "phone_country", dialled).when(kind == "iban", iban).when(kind.isin("ssn", "phone"), same).otherwise(names)
+    return drawn.when(kind == "phone_country", dialled).when(kind == "iban", iban).when(kind == "phone", national).when(kind == "ssn", same).otherwise(names)
 
 
 def marked(inside: Column) -> Column:
@@ -167,9 +173,10 @@ def mentions(found: DataFrame) -> DataFrame:
     words = F.split(F.expr("substring(raw, length(_title) + 1)"), "(?<=[ -])|(?=[ -])")
     gender = F.coalesce(*(F.when(F.regexp_replace("_title", r"[.\s]", "").isin(*TITLES[g].split()), F.lit(g)) for g in TITLES), *(F.when(F.element_at("_words", 1).isin(*GIVEN[g].split()), F.lit(g)) for g in GIVEN), F.lit("n"))
     n_names = F.expr("size(filter(_words, w -> w not in (' ', '-')))")
-    #: Of several names the last is the surname, and so is a single one after a title or outside the given names.
+    #: Of several names the last is the surname, and so are those before it outside the given names, but the first; a single
+    #: one is a surname after a title or outside the given names.
     parts = F.transform("_words", lambda w, i: F.struct(
-        F.when(w.isin(" ", "-"), F.lit(None)).otherwise(F.concat(F.when((i == F.size("_words") - 1) & ((F.col("_n") > 1) | (F.length("_title") > 0) | (F.col("_gender") == "n")), F.lit("surname")).otherwise(F.concat(F.lit("given_"), F.col("_gender"))), F.when(w.rlike(r"\p{IsCyrillic}"), F.lit("_cyrillic")).otherwise(F.lit("_latin")))).alias("kind"),
+        F.when(w.isin(" ", "-"), F.lit(None)).otherwise(F.concat(F.when((i == F.size("_words") - 1) & ((F.col("_n") > 1) | (F.length("_title") > 0) | (F.col("_gender") == "n")) | (i > 0) & ~w.isin(*_GIVEN_NAMES), F.lit("surname")).otherwise(F.concat(F.lit("given_"), F.col("_gender"))), F.when(w.rlike(r"\p{IsCyrillic}"), F.lit("_cyrillic")).otherwise(F.lit("_latin")))).alias("kind"),
         F.lower(w).alias("canonical"), w.alias("raw")))
     names = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.col("_title").alias("canonical"), F.col("_title").alias("raw"))), parts)
     rows = rows.withColumn("_title", F.when(F.col("kind") == "name", title).otherwise("")).withColumn("_words", words).withColumn("_gender", gender).withColumn("_n", n_names)
@@ -210,7 +217,9 @@ def replaced(docs: DataFrame, key: str = KEY, text: str = "text", count_as: str
     rows = written(rows.withColumn("doc", F.col("doc").withField(text, F.lit(""))), "marked")
     found = rows.filter("size(parts) > 1")
     matches = _every_second("parts", 1)
-    surnames = F.array_distinct(F.transform(F.filter("matches", lambda m: m.rlike(rf"^(?:(?:{_ANY_TITLE})\.?\s|(?:{_ANY_GIVEN}) )\p{{L}}")), lambda m: F.regexp_extract(m, r"([\p{L}'’]+)$", 1)))
+    called = F.filter("matches", lambda m: m.rlike(rf"^(?:(?:{_ANY_TITLE})\.?\s|(?:{_ANY_GIVEN})[ -])\p{{L}}"))
+    said_names = F.transform(called, lambda m: F.split(F.regexp_replace(m, rf"^(?:{_ANY_TITLE})\.?\s", ""), "[ -]"))
+    surnames = F.array_distinct(F.flatten(F.transform(said_names, lambda x: F.filter(x, lambda w, i: (i == F.size(x) - 1) | (i > 0) & ~w.isin(*_GIVEN_NAMES)))))
     found = found.withColumn("matches", matches).withColumn("surnames", surnames).withColumn("parts", F.when(F.size("surnames") > 0, _with_surnames("parts", "surnames")).otherwise(F.col("parts")))
     found = written(found.select("uid", "doc", _every_second("parts", 0).alias("pieces"), _every_second("parts", 1).alias("matches"), "surnames"), "found")
     parts = written(mentions(found), "mentions")
