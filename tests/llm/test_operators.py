@@ -107,6 +107,14 @@ def test_quality_counts_and_base(spark: SparkSession) -> None:
         assert r.base_failed == (len(words) < 50 or 100 * len(hit) > 50 * len(words)) and not (r.base_failed and r.kept)
 
 
+def test_only_certified_strata_have_cutoffs(spark: SparkSession) -> None:
+    good, bad = prose(1, 120), " ".join(w + "#" * 3 for w in prose(2, 120).split())
+    rows = [(i, bad if i % 3 == 0 else good, lang, "s", None, None, None, None) for lang, first, n in (("en", 0, 3000), ("de", 3000, 90), (None, 3090, 90)) for i in range(first, first + n)]
+    labels = spark.createDataFrame([(r[0], int(r[0] % 3 > 0), 0) for r in rows], "doc_id bigint, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, SCHEMA), labels).collect()}
+    assert all(kept[i] == (i % 3 > 0) for i in range(3000)) and all(kept[i] for i in range(3000, 3180))
+
+
 def test_exact_bound_and_fixed_sequence() -> None:
     from math import comb
 

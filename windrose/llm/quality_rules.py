@@ -7,9 +7,10 @@ the cutoffs so far reject together is at most ``RISK``. Walking a fixed order an
 correction along the path; over the strata the level is divided (Bonferroni), so with probability ``1 - ALPHA`` no
 stratum loses more than ``RISK`` of its good documents.
 
-A document whose base conditions fail is rejected whatever its stratum. Null texts have no words and so fail. Null
-strata and strata without enough labels use the cutoffs of all labelled documents together. Labels without quality are
-ignored, of repeated labels the higher counts; repeated documents are judged each. Empty tables give no rows.
+A document whose base conditions fail is rejected whatever its stratum. Null texts have no words and so fail. The null
+stratum is one like the others. Strata whose labels are too few for any bound have no cutoffs, only the base conditions.
+Labels without quality are ignored, of repeated labels the higher counts; repeated documents are judged each. Empty tables
+give no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from windrose.llm.common import map_arrow, text_chunks, written
 #: Accepted rate of rejected good documents of each stratum, and the probability that any bound fails.
 RISK, ALPHA = 0.01, 0.05
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-POOLED = "\x00all"
+UNNAMED = "\x00null"
 
 SYMBOLS = b"#*$%&|<>"
 FEATURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
@@ -142,13 +143,13 @@ def certified_steps(good_at: dict[int, int], n_good: int, n_steps: int, level: f
 
 
 def thresholds(found: DataFrame, labels: DataFrame, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
-    """(stratum, rule, cutoff, enough): learnt from the documents that pass the base conditions; POOLED holds for any stratum.
+    """(stratum, rule, cutoff): learnt from the documents that pass the base conditions; UNNAMED stands for the null stratum.
 
     One half of the labelled documents, by a hash of doc_id, orders the path; the other half is the holdout that certifies it.
     """
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("quality") > 0).cast("int")).alias("quality"))
     rows = found.filter(~base_failed()).join(known, "doc_id")
-    rows = rows.select(F.explode(F.array_distinct(F.array(F.coalesce("stratum", F.lit(POOLED)), F.lit(POOLED)))).alias("stratum"), "quality", (F.xxhash64("doc_id") % 2 == 0).alias("holdout"), F.array(*map(rule_value, RULES)).alias("values"))
+    rows = rows.select(F.coalesce("stratum", F.lit(UNNAMED)).alias("stratum"), "quality", (F.xxhash64("doc_id") % 2 == 0).alias("holdout"), F.array(*map(rule_value, RULES)).alias("values"))
     rows = written(rows, "labelled")
     level = alpha / max(1, rows.agg(F.count_distinct("stratum").alias("n")).first().n)
 
@@ -171,23 +172,21 @@ def thresholds(found: DataFrame, labels: DataFrame, risk: float = RISK, alpha: f
     def certify(part: pd.DataFrame) -> pd.DataFrame:
         n = int(part.good.sum())
         stands = certified_steps(dict(zip(part["first"], part.good, strict=True)), n, int(part.n_steps.iloc[0]), level, risk)
-        return pd.DataFrame({"stratum": [part.stratum.iloc[0]], "stands": [stands], "enough": [bool(upper_bound(0, n, level) <= risk)]}, dtype=object)
+        return pd.DataFrame({"stratum": [part.stratum.iloc[0]], "stands": [stands]}, dtype=object)
 
-    stands = reached.groupBy("stratum").applyInPandas(certify, "stratum string, stands int, enough boolean")
-    return stands.join(path, "stratum", "left").groupBy("stratum", "enough", "rule").agg(F.min(F.when(F.col("step") < F.col("stands"), F.col("cutoff"))).alias("cutoff"))
+    stands = reached.groupBy("stratum").applyInPandas(certify, "stratum string, stands int")
+    return stands.join(path, "stratum", "left").groupBy("stratum", "rule").agg(F.min(F.when(F.col("step") < F.col("stands"), F.col("cutoff"))).alias("cutoff"))
 
 
 def verdicts(found: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """``found`` with base_failed and kept."""
-    wide = cutoffs.groupBy("stratum").agg(F.max("enough").alias("enough"), *(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
-    wide = written(wide, "cutoffs")
-    #: One row at most; strata come by a join on their name.
-    pooled = wide.filter(F.col("stratum") == POOLED).first()
-    both = found.join(wide.filter((F.col("stratum") != POOLED) & F.col("enough")), "stratum", "left")
+    wide = cutoffs.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
+    #: Strata come by a join on their name.
+    wide = written(wide.withColumnRenamed("stratum", "_stratum"), "cutoffs")
+    both = found.join(wide, F.coalesce(found["stratum"], F.lit(UNNAMED)) == F.col("_stratum"), "left")
     kept = ~base_failed()
     for r in RULES:
-        general = F.lit(pooled[f"cut_{r}"] if pooled else None).cast("double")
-        kept &= ~F.coalesce(rule_value(r) > F.when(F.col("enough"), F.col(f"cut_{r}")).otherwise(general), F.lit(False))
+        kept &= ~F.coalesce(rule_value(r) > F.col(f"cut_{r}"), F.lit(False))
     return both.withColumn("base_failed", base_failed()).withColumn("kept", kept)
 
 
