@@ -228,6 +228,21 @@ def test_main_text() -> None:
     assert html_text.main_text(None) == html_text.main_text("") == "" and html_text.main_text("plain") == "plain"
 
 
+def test_main_text_of_other_page_shapes() -> None:
+    long = "".join(f"<p>Paragraph {k}, with commas, and words, that go on, and on, for long enough to be prose, as anybody would say here.</p>" for k in range(6))
+    plain = re.sub("<p>", "", long).replace("</p>", "\n\n").strip()
+    rest = "<h3>More</h3><ul><li>One</li><li>Two</li></ul><p>Short.</p>"
+    said = plain + "\n\nMore\n\nOne\n\nTwo\n\nShort."
+    for page in (f"<article><section>{long}</section><section>{rest}</section></article>", f"<main><div>{long}</div>{rest}</main>", f"<div><section>{long}</section>{rest}</div>"):
+        assert html_text.main_text(f"<html><body><nav>Menu</nav>{page}</body></html>") == said
+    for name in ("content with-sidebar", "post has-comments"):
+        page = f"<body><div class='{name}'>{long}<div class='comments'>{long}{long}</div></div><div class='sidebar'>Side</div></body>"
+        assert html_text.main_text(page.replace(long + long, "<p>Me too</p>")) == plain
+    assert html_text.main_text("<body><div class='comments'><p>All there is.</p></div></body>") == "All there is."
+    deep = f"<article><p>Start.</p>{'<div>' * 450}<p>Low.</p><nav>Menu</nav>{'</div>' * 450}{long}</article><div class='sidebar'>Side</div>"
+    assert html_text.main_text(deep).split("\n\n", 2) == ["Start.", "Low.", plain]
+
+
 APPLIED = {
     "pii": lambda d, x: pii.replaced(d), "sharding": lambda d, x: sharding.shard(d), "rules": quality_rules.judge, "lm": lambda d, x: masked_lm.likelihoods(d), "neardup": lambda d, x: neardup.classes(d),
     "decontaminate": lambda d, x: decontaminate.search(decontaminate.build_index(d), x.select(F.col("doc_id").alias("item_id"), F.lit("a b c").alias("text"))), "pack": lambda d, x: packing.pack(d, TOKENIZER), "classifier": classifier.classify,

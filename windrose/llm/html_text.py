@@ -2,12 +2,15 @@
 
 A page becomes a tree of blocks. Every paragraph gives points for its length and its commas to its parent and, halved
 again and again, to the ancestors above; a container's points are discounted by the share of its text that lies in
-links. The best container is kept, and those of its siblings that score well enough or hold plain prose. What is named as
-menu, header, footer, sidebar, notice, advert, form, script, style or comment of readers is never part of the tree.
+links. The best container is kept, whole with the article that it lies in; where what surrounds it is a main element or
+poor in links, so are all its siblings but lists of links, else those that score well enough or hold plain prose. Menus,
+headers, footers, forms, scripts, styles and what is hidden are never part of the tree. What only a class or id names as
+such, or as sidebar, notice, advert or comments of readers, is left out unless it holds most of the page's text and either
+an article or main element or a name of which that word is just a part; or unless nothing else is left.
 
 A page with null or empty html, or without any text, has an empty text and 0 characters. Rows are independent: repeated
 pages repeat their result. Unclosed and stray tags are repaired as browsers do for paragraphs, list items and cells;
-nesting deeper than ``MAX_DEPTH`` stays in the block where that depth was reached.
+text nested deeper than ``MAX_DEPTH`` stays in the block where that depth was reached, and its end tags match its own tags.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ MAX_DEPTH = 400
 POINT_CHARS, MOST_POINTS = 100, 3
 #: Of the best score: what a sibling needs; of a link-free sibling paragraph: the length that is prose.
 SIBLING_SHARE, PROSE_CHARS = 0.2, 80
+#: The share of text in links below which a container is poor in links, and from which one is a list of links.
+LINK_POOR, LINK_LIST = 0.25, 0.5
 
 # Fixed values of the HTML standard: elements by how they are laid out and closed.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,13 +51,20 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "children", "dropped", "points", "chars", "link_chars", "named", "whole")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
         #: Nodes and (text, whether in a link).
         self.children: list = []
         self.points, self.chars, self.link_chars = 0.0, 0, 0
+        #: Whether a class or id names it as boilerplate, and whether that is a whole name.
+        self.named = self.whole = False
+
+
+def _attributes(attributes: str) -> Iterator[tuple[str, str]]:
+    for m in ATTRIBUTE.finditer(attributes):
+        yield m[1].lower(), m[2] or m[3] or m[4] or ""
 
 
 def _is_boilerplate(tag: str, attributes: str) -> bool:
@@ -60,24 +72,31 @@ def _is_boilerplate(tag: str, attributes: str) -> bool:
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+    for name, value in _attributes(attributes):
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and tag not in ("article", "main") and BOILERPLATE.search(value):
-            return True
     return False
 
 
+def _named(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether a class or id has a word of boilerplate, and whether one is such a word and no more."""
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False, False
+    values = [v for name, v in _attributes(attributes) if name in ("class", "id") and BOILERPLATE.search(v)]
+    return bool(values), any(BOILERPLATE.fullmatch(x) for v in values for x in v.split())
+
+
 def parse(page: str) -> Node:
     """The tree of a page's blocks; inline elements leave only their text."""
     root = node = Node("html", None, False)
     depth, links, at = 0, 0, 0
+    #: Open elements beyond MAX_DEPTH, each with whether its text is left out.
+    beyond: list[tuple[str, bool]] = []
 
     def add(text: str) -> None:
-        if text and not node.dropped:
+        if text and not node.dropped and not (beyond and beyond[-1][1]):
             node.children.append((html.unescape(text), links > 0))
 
     while True:
@@ -99,15 +118,20 @@ def parse(page: str) -> Node:
             continue
         links = 0
         if closing:
+            if k := next((k for k in range(len(beyond), 0, -1) if beyond[k - 1][0] == tag), 0):
+                del beyond[k - 1 :]
+                add(" ")
+                continue
             up = node
             while up is not None and up.tag != tag:
                 up = None if up.tag in ("td", "th", "article", "main") and tag in ("p", "li") else up.parent
             if up is not None and up.parent is not None:
+                beyond.clear()
                 while node is not up:
                     node, depth = node.parent, depth - 1
                 node, depth = node.parent, depth - 1
             continue
-        if tag in CLOSES_P or tag in CLOSED_BY:
+        if not beyond and (tag in CLOSES_P or tag in CLOSED_BY):
             ends, stop = CLOSED_BY.get(tag, {"p"}) | {"p"}, SCOPE
             up = node
             while up.parent is not None and up.tag not in stop and not (up.tag in ends):
@@ -125,8 +149,13 @@ def parse(page: str) -> Node:
             add(" ")
             continue
         child = Node(tag, node, node.dropped or _is_boilerplate(tag, m[2]))
-        if m[2].endswith("/") or depth >= MAX_DEPTH:
+        if m[2].endswith("/"):
+            continue
+        if depth >= MAX_DEPTH:
+            add(" ")
+            beyond.append((tag, child.dropped or _named(tag, m[2])[0] or bool(beyond) and beyond[-1][1]))
             continue
+        child.named, child.whole = _named(tag, m[2])
         if not child.dropped:
             node.children.append(child)
         node, depth = child, depth + 1
@@ -155,11 +184,44 @@ def _blocks(top: Node) -> Iterator[tuple[Node, str, int]]:
             stack.append((x, iter(x.children), [], []))
 
 
+def _left_out(root: Node) -> list[tuple[Node, Node]]:
+    """(parent, child) of the containers that are boilerplate by their names, the outermost ones."""
+    inside: list[Node] = [root]
+    for node in inside:
+        inside.extend(x for x in node.children if isinstance(x, Node))
+    if not any(x.named for x in inside):
+        return []
+    size, articles = {}, {}
+    for node in reversed(inside):
+        size[id(node)] = sum(size[id(x)] if isinstance(x, Node) else len(x[0].strip()) for x in node.children)
+        articles[id(node)] = node.tag in ("article", "main") or any(articles[id(x)] for x in node.children if isinstance(x, Node))
+    out, rest = [], [root]
+    for node in rest:
+        for x in node.children:
+            if isinstance(x, Node):
+                if x.named and not (2 * size[id(x)] > size[id(root)] and (articles[id(x)] or not x.whole)):
+                    out.append((node, x))
+                else:
+                    rest.append(x)
+    return out
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
     blocks = list(_blocks(root))
+    if named := _left_out(root):
+        before = {id(parent): list(parent.children) for parent, _ in named}
+        gone = {id(x) for _, x in named}
+        for parent, _ in named:
+            parent.children = [x for x in parent.children if id(x) not in gone]
+        #: A page of nothing else stays as it is.
+        if rest := list(_blocks(root)):
+            blocks = rest
+        else:
+            for parent, _ in named:
+                parent.children = before[id(parent)]
     touched: dict[int, Node] = {}
     for node, text, linked in blocks:
         up: Node | None = node
@@ -176,18 +238,30 @@ def main_text(page: str | None) -> str:
         return "\n\n".join(text for _, text, _ in blocks)
     score = lambda n: n.points * (1 - n.link_chars / max(1, n.chars))
     best = max(touched.values(), key=score)
-    kept = {id(best)}
-    for sibling in best.parent.children if best.parent is not None else ():
-        if isinstance(sibling, Node) and sibling is not best and sibling.chars:
-            links = sibling.link_chars / sibling.chars
-            if score(sibling) >= SIBLING_SHARE * score(best) or sibling.tag in ("p", "h1", "h2", "blockquote", "pre") and links < 0.25 and (sibling.chars >= PROSE_CHARS or sibling.tag in ("h1", "h2")):
-                kept.add(id(sibling))
+    above = [best]
+    while above[-1].parent is not None:
+        above.append(above[-1].parent)
+    #: The outermost article or, without one, the best container; then up to the outermost main element.
+    best = next((x for x in reversed(above) if x.tag == "article"), best)
+    above = above[above.index(best) :]
+    last = max((k for k, x in enumerate(above) if x.tag == "main"), default=0)
+    poor = len(above) > 1 and above[1].link_chars < LINK_POOR * above[1].chars
+    top = above[last] if last else above[1] if poor and best.tag != "main" else best
+    kept, lists = {id(top)}, set()
+    for inner, outer in zip(above, above[1 : above.index(top) + 1], strict=False):
+        lists.update(id(x) for x in outer.children if isinstance(x, Node) and x is not inner and x.link_chars >= LINK_LIST * max(1, x.chars))
+    if top is best and best.parent is not None:
+        for sibling in best.parent.children:
+            if isinstance(sibling, Node) and sibling is not best and sibling.chars:
+                links = sibling.link_chars / sibling.chars
+                if score(sibling) >= SIBLING_SHARE * score(best) or sibling.tag in ("p", "h1", "h2", "blockquote", "pre") and links < LINK_POOR and (sibling.chars >= PROSE_CHARS or sibling.tag in ("h1", "h2")):
+                    kept.add(id(sibling))
     out = []
     for node, text, _ in blocks:
         up = node
-        while up is not None and id(up) not in kept:
+        while up is not None and id(up) not in kept and id(up) not in lists:
             up = up.parent
-        if up is not None:
+        if up is not None and id(up) in kept:
             out.append(text)
     return "\n\n".join(out)
 
