@@ -190,6 +190,27 @@ def test_decontamination_near_and_exact(spark: SparkSession) -> None:
     assert [r.doc_id for r in decontaminate.decontaminated(frame(spark, texts), items).orderBy("doc_id").collect()] == [1, 2, 3]
 
 
+def test_decontamination_holds_one_block_of_items(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    long = [prose(40 + k, 30) for k in range(6)]
+    texts = [*long, f"{long[0]} and {long[3]}", prose(90, 50), None, "short one"]
+    items = spark.createDataFrame([*((k % 4, x) for k, x in enumerate(long)), (8, "short one"), (None, long[5])], "item_id bigint, text string")
+    index = decontaminate.build_index(frame(spark, texts))
+    whole = sorted(decontaminate.search(index, items).collect(), key=lambda r: r.doc_id)
+    held, most, broadcast = set(), [], spark.sparkContext.broadcast
+
+    def counted(value: object) -> object:
+        b = broadcast(value)
+        destroy = b.destroy
+        held.add(id(b))
+        most.append(len(held))
+        monkeypatch.setattr(b, "destroy", lambda: (held.discard(id(b)), destroy()), raising=False)
+        return b
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", counted)
+    split = sorted(decontaminate.search(index, items, block_bytes=300).collect(), key=lambda r: r.doc_id)
+    assert split == whole and [r.n_hit for r in whole[:7]] == [30] * 6 + [60] and len(most) > 1 and max(most) == 1
+
+
 # 8
 def test_packing_round_trip(spark: SparkSession) -> None:
     from tokenizers import Tokenizer

@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +27,14 @@ from windrose.llm.common import map_arrow, text_chunks, words, written
 
 WINDOW = 10
 SLOP = 1
-#: Text bytes of benchmark items that the driver holds at a time; more items are sent in more blocks.
+#: Text bytes of benchmark items that the driver holds at a time; more items are sent in more blocks, one after the other.
 QUERY_BLOCK_BYTES = 4 << 20
 #: Candidates that one step of an intersection holds.
 STEP = 1 << 20
 
-INDEX_SCHEMA = "doc_ids array<bigint>, text_keys array<bigint>, starts binary, terms binary, bounds binary, postings binary"
+INDEX_SCHEMA = "block string, doc_ids array<bigint>, text_keys array<bigint>, starts binary, terms binary, bounds binary, postings binary"
+#: What one block of items marks in one block of documents: spans as pairs of positions, and (document, item_id).
+HIT_SCHEMA = "block string, exact array<int>, near array<int>, docs array<int>, ids array<string>"
 RESULT_SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, n_near bigint, text_key bigint"
 
 
@@ -45,14 +49,14 @@ def _unplanes(raw: bytes, dtype: type) -> np.ndarray:
 
 
 def _index_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("text_keys", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("starts", "terms", "bounds", "postings"))])
+    schema = pa.schema([("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("text_keys", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("starts", "terms", "bounds", "postings"))])
     for lo, hi, data, offsets in text_chunks(batch, "text"):
         term, _, row = words(data, offsets)
         order = np.argsort(term, kind="stable").astype(np.int32)
         ranked = term[order]
         first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, np.int64)
         starts = np.r_[0, np.cumsum(np.bincount(row, minlength=hi - lo))].astype(np.int32)
-        values = [[batch.column("doc_id")[lo:hi].to_pylist()], [batch.column("text_key")[lo:hi].to_pylist()], [starts.tobytes()], [_planes(ranked[first])], [_planes(np.r_[first, len(ranked)].astype(np.int32))], [_planes(order)]]
+        values = [[uuid.uuid4().hex], [batch.column("doc_id")[lo:hi].to_pylist()], [batch.column("text_key")[lo:hi].to_pylist()], [starts.tobytes()], [_planes(ranked[first])], [_planes(np.r_[first, len(ranked)].astype(np.int32))], [_planes(order)]]
         yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(values, schema, strict=True)], schema=schema)
 
 
@@ -117,48 +121,91 @@ class _Block:
                 exact &= self.occurs(at[w, j], start + j, start + j)
             yield np.maximum(start, first), np.minimum(start + width, last + 1), np.where(exact, items[w], -1 - items[w])
 
-    def judged(self, queries: list, slop: int) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
-        n_docs = len(self.starts) - 1
+    def marked(self, query: tuple, slop: int) -> dict:
+        """The row of ``HIT_SCHEMA`` of a block of items, without its block."""
         edges = np.zeros((2, len(self.postings) + 1), np.int32)
-        named: list[set[str]] = [set() for _ in range(n_docs)]
-        for query in queries:
-            ids, by_length = query.value
-            for windows, items in by_length.values():
-                for start, end, item in self.match(windows, items, slop):
-                    for k, chosen in ((0, item >= 0), (1, np.ones(len(item), bool))):
-                        np.add.at(edges[k], start[chosen], 1)
-                        np.add.at(edges[k], end[chosen], -1)
-                    exact = item >= 0
-                    for d, i in np.unique(np.stack([np.searchsorted(self.starts, start[exact], "right") - 1, item[exact]]), axis=1).T:
-                        if ids[i] is not None:
-                            named[d].add(ids[i])
-        sums = np.concatenate([np.zeros((2, 1), np.int64), np.cumsum(np.cumsum(edges, axis=1)[:, :-1] > 0, axis=1)], axis=1)
-        hit, near = sums[:, self.starts[1:]] - sums[:, self.starts[:-1]]
-        return hit, near, named
+        named: set[tuple[int, str]] = set()
+        ids, by_length = query
+        for windows, items in by_length.values():
+            for start, end, item in self.match(windows, items, slop):
+                for k, chosen in ((0, item >= 0), (1, np.ones(len(item), bool))):
+                    np.add.at(edges[k], start[chosen], 1)
+                    np.add.at(edges[k], end[chosen], -1)
+                exact = item >= 0
+                for d, i in np.unique(np.stack([np.searchsorted(self.starts, start[exact], "right") - 1, item[exact]]), axis=1).T:
+                    if ids[i] is not None:
+                        named.add((int(d), ids[i]))
+        inside = np.diff(np.cumsum(edges, axis=1) > 0, axis=1, prepend=False, append=False)
+        return {"exact": np.flatnonzero(inside[0]).tolist(), "near": np.flatnonzero(inside[1]).tolist(), "docs": [d for d, _ in named], "ids": [x for _, x in named]}
+
+
+def _judged(starts: np.ndarray, hits: list[dict]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+    """Words hit exactly and nearly, and the items, of each document of a block that ``hits`` mark."""
+    named: list[set[str]] = [set() for _ in range(len(starts) - 1)]
+    edges = np.zeros((2, int(starts[-1]) + 2), np.int32)
+    for hit in hits:
+        for k, spans in enumerate((hit["exact"], hit["near"])):
+            np.add.at(edges[k], np.array(spans[::2], np.int64), 1)
+            np.add.at(edges[k], np.array(spans[1::2], np.int64), -1)
+        for d, x in zip(hit["docs"], hit["ids"], strict=True):
+            named[d].add(x)
+    sums = np.concatenate([np.zeros((2, 1), np.int64), np.cumsum(np.cumsum(edges, axis=1) > 0, axis=1)], axis=1)
+    hit, near = sums[:, starts[1:]] - sums[:, starts[:-1]]
+    return hit, near, named
 
 
 def search(index: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = SLOP, block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
     """Per indexed document the words hit by phrase matches and by proximity matches, and the items that occur."""
     spark = index.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = written(benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).distinct(), "items")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
-    queries = []
-    for k in range(n):
+
+    def sent(k: int):  # noqa: ANN202
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        queries.append(spark.sparkContext.broadcast(([r.item_id for r in part], query_windows([r.text for r in part], width))))
+        return spark.sparkContext.broadcast(([r.item_id for r in part], query_windows([r.text for r in part], width)))
+
+    def judge(r: dict, hits: list[dict]) -> pa.RecordBatch:
+        starts = np.frombuffer(r["starts"], np.int32).astype(np.int64)
+        hit, near, named = _judged(starts, hits)
+        digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in named]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(r["doc_ids"], pa.int64()), pa.array(np.diff(starts)), pa.array(hit), pa.array([len(x) for x in named], pa.int64()), pa.array(digest), pa.array(hit > 0), pa.array(near), pa.array(r["text_keys"], pa.int64())],
+            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near", "text_key"],
+        )
+
+    def marks(r: dict, query: tuple) -> dict:
+        return _Block(r["starts"], r["terms"], r["bounds"], r["postings"]).marked(query, slop)
+
+    if n == 1:
+        query = sent(0)
+
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for r in batch.to_pylist():
+                yield judge(r, [marks(r, query.value)])
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        return map_arrow(index, run, RESULT_SCHEMA)
+
+    schema = pa.schema([("block", pa.string()), ("exact", pa.list_(pa.int32())), ("near", pa.list_(pa.int32())), ("docs", pa.list_(pa.int32())), ("ids", pa.list_(pa.string()))])
+    found = []
+    for k in range(n):
+        query = sent(k)
+
+        def mark(batch: pa.RecordBatch, query=query) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            for r in batch.to_pylist():
+                if (hit := marks(r, query.value))["near"]:
+                    yield pa.RecordBatch.from_pylist([{"block": r["block"], **hit}], schema)
+
+        found.append(written(map_arrow(index, mark, HIT_SCHEMA), "hits"))
+        #: The driver and the workers hold one block of items at a time.
+        query.destroy()
+    hits = reduce(DataFrame.unionByName, found).groupBy("block").agg(F.collect_list(F.struct("exact", "near", "docs", "ids")).alias("hits"))
+
+    def gather(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for r in batch.to_pylist():
-            block = _Block(r["starts"], r["terms"], r["bounds"], r["postings"])
-            hit, near, named = block.judged(queries, slop)
-            digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in named]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(r["doc_ids"], pa.int64()), pa.array(np.diff(block.starts)), pa.array(hit), pa.array([len(x) for x in named], pa.int64()), pa.array(digest), pa.array(hit > 0), pa.array(near), pa.array(r["text_keys"], pa.int64())],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near", "text_key"],
-            )
-
-    return map_arrow(index, run, RESULT_SCHEMA)
+            yield judge(r, r["hits"] or [])
+
+    return map_arrow(index.select("block", "doc_ids", "text_keys", "starts").join(hits, "block", "left"), gather, RESULT_SCHEMA)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
