@@ -8,31 +8,32 @@ from pyspark.sql import functions as F
 
 from windrose.llm import decontaminate, neardup, packing, pii, quality_rules
 from windrose.llm.common import written
+from windrose.llm.queries import pii_key
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; null and empty texts fail the base conditions and go with them."""
     return quality_rules.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest doc_id stays."""
+    """Of each class of near duplicates the document with the smallest doc_id stays; null texts stay, of repeated rows one."""
     return neardup.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a phrase of the benchmark go."""
+    """Documents with a phrase of the benchmark go; null and empty texts have none, an empty benchmark removes nothing."""
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced; n_chars follows the text."""
-    out = pii.replaced(docs, count_as=None)
+    """Personal data is replaced; n_chars follows the text. Null and empty texts pass unchanged."""
+    out = pii.replaced(docs, pii_key(spark), count_as=None)
     return out.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 4096 tokens."""
+    """Pieces of the documents in sequences of 4096 tokens; a null or empty text is its closing id alone."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -28,7 +28,7 @@ def frame(spark: SparkSession, texts: list[str | None]) -> DataFrame:
 # 1
 def test_pii_is_replaced_alike_everywhere(spark: SparkSession) -> None:
     texts = ["Write to Ann.Lee@Mail.com or call +49 170 1234567, card 4111 1111 1111 1111.", "again ann.lee@mail.com", "Mrs Mary Weber came. Weber left; MARY stayed.", "plain \x01 text 10.1.2.3 end", None, "", "nothing here"]
-    rows = {r.doc_id: r for r in pii.replaced(frame(spark, texts)).collect()}
+    rows = {r.doc_id: r for r in pii.replaced(frame(spark, texts), "k").collect()}
     mails = [re.findall(r"[^ ]+@[^ ,]+", rows[i].text)[0] for i in (0, 1)]
     assert mails[0].lower() == mails[1].lower() != "ann.lee@mail.com"
     assert re.search(r"call \+4\d \d{3} \d{7}, card (\d{4} ){3}\d{4}\.$", rows[0].text) and "4111 1111 1111 1111" not in rows[0].text
@@ -43,7 +43,7 @@ def test_pii_is_replaced_alike_everywhere(spark: SparkSession) -> None:
 def test_pii_neighbours_stay_apart(spark: SparkSession) -> None:
     lone = ["+1 (826) 555-4081", "+49 170 1234567", "4111 1111 1111 1111", "6212 3456 7890 1234 567"]
     texts = [*lone, *(f"{x} 190.137.223.204" for x in lone), f"{lone[2]} 42 items", f"{lone[2]} 123 items", f"{lone[0]} 2024", f"{lone[1]} 2024"]
-    rows = {r.doc_id: r for r in pii.replaced(frame(spark, texts)).collect()}
+    rows = {r.doc_id: r for r in pii.replaced(frame(spark, texts), "k").collect()}
     drawn = [rows[i].text for i in range(4)]
     assert all(a != b and re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b) for a, b in zip(drawn, lone, strict=True))
     addresses = {rows[4 + i].text.removeprefix(drawn[i] + " ") for i in range(4)}
@@ -55,7 +55,7 @@ def test_pii_neighbours_stay_apart(spark: SparkSession) -> None:
 def test_pii_of_wider_forms_is_found(spark: SparkSession) -> None:
     found = ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "::1", "0" * 4 + "ab" * 70, "030 12345678", "01 23 45 67 89", "020 7946 0958", "+33 1 23 45 67 89", "Juan Carlos García López"]
     texts = [*(f"see {x} end" for x in found), 'x {"password": "hunter2hunter2"} y', "Juan Carlos García López came. García and López left.", "std::cout a::b x :: y Foo::bar at 12:30"]
-    rows = {r.doc_id: r for r in pii.replaced(frame(spark, texts)).collect()}
+    rows = {r.doc_id: r for r in pii.replaced(frame(spark, texts), "k").collect()}
     for i, x in enumerate(found):
         inside = rows[i].text.removeprefix("see ").removesuffix(" end")
         assert rows[i].n_entities == 1 and inside != x and not set(re.findall(r"\w{5,}", x)) & set(re.findall(r"\w+", inside))
@@ -68,10 +68,20 @@ def test_pii_of_wider_forms_is_found(spark: SparkSession) -> None:
 
 def test_pii_surrogates_are_distinct(spark: SparkSession) -> None:
     entities = spark.createDataFrame([("given_m_latin", f"name{i}") for i in range(3000)], "kind string, canonical string")
-    drawn = pii.entity_surrogates(entities).collect()
+    drawn = pii.entity_surrogates(entities, "k").collect()
     assert len({r.surrogate for r in drawn}) == len({r.canonical for r in drawn}) == 3000
 
 
+def test_pii_draws_end_where_formats_are_full(spark: SparkSession) -> None:
+    small = [("email", f"{c}@mail.com") for c in "abcdefghijklmnopqrstuvwxyzé"] + [("phone_country", f"+49{k:03d}") for k in range(1000)] + [("ssn", f"{k:02d}") for k in range(100)] + [("ipv4", "1.2.3.4")]
+    drawn = pii.entity_surrogates(spark.createDataFrame(small, "kind string, canonical string"), "k").collect()
+    assert len(drawn) == len(small) == len({(r.kind, r.surrogate) for r in drawn}) and not {(r.kind, r.surrogate) for r in drawn} & set(small)
+    assert {r.surrogate for r in drawn} != {r.surrogate for r in pii.entity_surrogates(spark.createDataFrame(small, "kind string, canonical string"), "other").collect()}
+    texts = [" ".join(f"{c}@mail.com" for c in "abcdefghijklmnopqrstuvwxyzé"), "to a@mail.com and b@mail.com"]
+    rows = [r.text.split() for r in pii.replaced(frame(spark, texts), "k").orderBy("doc_id").collect()]
+    assert len(set(rows[0])) == 27 and rows[1] == ["to", rows[0][0], "and", rows[0][1]]
+
+
 # 2
 def test_shards_are_even_and_gapless(spark: SparkSession, odd: DataFrame) -> None:
     rows = sharding.shard(odd).collect()
@@ -178,6 +188,54 @@ def test_one_of_each_class_stays(odd: DataFrame) -> None:
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 4, 5, 7]
 
 
+def test_no_text_is_lost_with_its_doc_id(spark: SparkSession) -> None:
+    a, b, c, d = (prose(60 + k, 40) for k in range(4))
+    rows = [(5, a), (5, b), (None, c), (None, c), (7, d), (8, d), (8, d), (9, ""), (9, ""), (10, None), (None, None), (5, a + " end")]
+    table = spark.createDataFrame([(i, t, "en", "clash", "clash", 1) for i, t in rows], "doc_id bigint, text string, label string, node string, _id string, _n int")
+    kept = neardup.deduplicated(table)
+    assert kept.columns == table.columns
+    found = Counter((r.doc_id, r.text) for r in kept.collect())
+    one = {(5, a), (5, a + " end")} & found.keys()
+    assert len(one) == 1 and found == Counter([*one, (5, b), (None, c), (7, d), (9, ""), (10, None), (None, None)])
+    assert neardup.deduplicated(table.limit(0)).count() == 0
+
+
+def test_blocks_of_a_hot_bucket(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    rng, base, texts = random.Random(4), prose(7, 150).split(), []
+    for _ in range(60):
+        changed = list(base)
+        for _ in range(rng.choice((1, 2, 4, 5))):
+            changed[rng.randrange(len(changed))] = "".join(rng.choice("qwxyz") for _ in range(6))
+        texts.append(" ".join(changed) + (" end" * rng.choice((1, 1, 6))))
+    expected = near_classes(texts)
+    for block in (neardup.BLOCK, 7, 2):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        found = {r.doc_id: r.class_id for r in neardup.classes(frame(spark, texts)).collect()}
+        assert [found[i] for i in range(len(texts))] == expected
+    assert 1 < len(set(expected)) < len(texts)
+
+
+def test_block_links_connect_what_all_pairs_connect() -> None:
+    rng = np.random.default_rng(5)
+    for k in range(6):
+        base = np.arange(200, dtype=np.uint64)
+        sets = []
+        for _ in range(40):
+            keep = np.sort(rng.choice(base, 200 - rng.integers(0, 45), replace=False))
+            sets.append((keep, rng.integers(1, 2 + k % 3, len(keep)).astype(float)))
+        label, side = rng.integers(0, 30, 40), rng.integers(0, 2, 40) if k % 2 else np.full(40, -1)
+
+        def joined(pairs: list[tuple[int, int]], label=label) -> list[int]:  # noqa: ANN001
+            of = label.tolist()
+            for i, j in pairs:
+                of = [min(of[i], of[j]) if c in (of[i], of[j]) else c for c in of]
+            return of
+
+        found = neardup.block_links(sets, label, side)
+        every = [(i, j) for i, j in combinations(range(40), 2) if (side[i] != side[j] or side[i] < 0) and neardup.similarity(*sets[i], *sets[j]) >= 0.8]
+        assert joined(found) == joined(every) and len(found) < len(set(label.tolist()))
+
+
 # 7
 def test_decontamination_near_and_exact(spark: SparkSession) -> None:
     item = prose(9, 14)
@@ -265,7 +323,7 @@ def test_main_text_of_other_page_shapes() -> None:
 
 
 APPLIED = {
-    "pii": lambda d, x: pii.replaced(d), "sharding": lambda d, x: sharding.shard(d), "rules": quality_rules.judge, "lm": lambda d, x: masked_lm.likelihoods(d), "neardup": lambda d, x: neardup.classes(d),
+    "pii": lambda d, x: pii.replaced(d, "k"), "sharding": lambda d, x: sharding.shard(d), "rules": quality_rules.judge, "lm": lambda d, x: masked_lm.likelihoods(d), "neardup": lambda d, x: neardup.classes(d),
     "decontaminate": lambda d, x: decontaminate.search(decontaminate.build_index(d), x.select(F.col("doc_id").alias("item_id"), F.lit("a b c").alias("text"))), "pack": lambda d, x: packing.pack(d, TOKENIZER), "classifier": classifier.classify,
 }
 

@@ -4,8 +4,12 @@ One pattern finds e-mail addresses, secrets, bank and card numbers, telephone nu
 distinct entity of the corpus gets one keyed surrogate, so mentions of it stay the same entity in all documents. The
 surrogate matches the kind and the format: digits stand where digits stood, separators and country codes stay, card
 numbers keep or fail the Luhn check as before, addresses lie in ranges reserved for examples, names keep their title,
-gender, script and case, also where a surname given in full before stands alone. Draws are checked against each other and against the entities found; where two meet or one is
-real, all but the first draw again, until surrogates are as distinct as entities.
+gender, script and case, also where a surname given in full before stands alone. Draws are checked against each other and
+against the entities found; where two meet or one is real, all but the first draw again, until surrogates are as distinct
+as entities. A format may have fewer surrogates than the corpus has entities, so from the draw ``WIDER_FROM`` on every
+further one is a character longer (a network address: from a wider range), and the draws come to an end.
+
+The key is the caller's secret: without it, surrogates tell nothing of what they stand for.
 
 Texts are cut at the mentions and joined with the surrogates by rank, so nothing else changes. Null and empty texts and
 texts without mentions pass unchanged; repeated rows get equal texts; all other columns stay as they are.
@@ -18,7 +22,8 @@ from pyspark.sql import functions as F
 
 from windrose.llm.common import written
 
-KEY = "windrose"
+#: The draw from which on surrogates grow, and the most draws: by then they have 36 more places.
+WIDER_FROM, MOST_DRAWS = 4, 40
 
 # Titles and common given names, by gender.
 TITLES = {"m": "Mr Sir Herr Señor Sr Monsieur Господин господин г-н", "f": "Mrs Ms Miss Madam Frau Señora Sra Señorita Madame Mme Mlle Госпожа госпожа г-жа"}
@@ -101,32 +106,38 @@ def _name(script: str, ending: Column, stream: Column, syllables: Column) -> Col
     return F.initcap(F.concat(body, end))
 
 
-def key_stream(kind: Column, canonical: Column, attempt: Column, key: str = KEY) -> Column:
+def key_stream(kind: Column, canonical: Column, attempt: int, key: str) -> Column:
     """What a draw takes its bytes from."""
-    return F.sha2(F.concat_ws("\x01", F.lit(key), kind, canonical, attempt.cast("string")), 512)
+    return F.sha2(F.concat_ws("\x01", F.lit(key), kind, canonical, F.lit(str(attempt))), 512)
 
 
-def surrogate(kind: Column, canonical: Column, attempt: Column, stream: Column, key: str = KEY) -> Column:
+def surrogate(kind: Column, canonical: Column, attempt: int, stream: Column, key: str) -> Column:
     """The keyed draw number ``attempt`` for an entity; ``stream`` is its ``key_stream``."""
-    same = _chars(canonical, _same_kind(_LATIN, stream))
-    as_hex = _chars(canonical, _same_kind(_HEX, stream))
+    more = F.lit("0" * max(0, attempt + 1 - WIDER_FROM))
+    wide = F.concat(canonical, more)
+    same = _chars(wide, _same_kind(_LATIN, stream))
+    as_hex = _chars(wide, _same_kind(_HEX, stream))
     local, domain = F.split_part(canonical, F.lit("@"), F.lit(1)), F.split_part(canonical, F.lit("@"), F.lit(2))
-    email = F.concat(_chars(local, _same_kind(_LATIN, stream)), F.lit("@d"), F.substring(F.sha2(F.concat_ws("\x01", F.lit(key), F.lit("domain"), domain), 256), 1, 10), F.lit(".example"))
+    email = F.concat(_chars(F.concat(local, more), _same_kind(_LATIN, stream)), F.lit("@d"), F.substring(F.sha2(F.concat_ws("\x01", F.lit(key), F.lit("domain"), domain), 256), 1, 10), F.lit(".example"))
     #: The last digit makes the sum right or wrong as it was.
     body = F.substring(same, F.lit(1), F.length(same) - 1)
     check = F.pmod(10 - _luhn(F.concat(body, F.lit("0"))) + F.when(_luhn(canonical) == 0, 0).otherwise(1 + F.pmod(_byte(stream, F.lit(63)), F.lit(9))), F.lit(10))
-    ipv4 = F.concat_ws(".", (240 + F.pmod(_byte(stream, F.lit(0)), F.lit(15))).cast("string"), *(_byte(stream, F.lit(i)).cast("string") for i in (1, 2, 3)))
+    first = 240 + F.pmod(_byte(stream, F.lit(0)), F.lit(15)) if attempt < WIDER_FROM else _byte(stream, F.lit(0))
+    ipv4 = F.concat_ws(".", first.cast("string"), *(_byte(stream, F.lit(i)).cast("string") for i in (1, 2, 3)))
+    for_examples = F.concat(F.lit("2001:db8:"), F.concat_ws(":", *(F.substring(stream, i, 4) for i in (1, 5, 9))), F.lit("::"), F.substring(stream, 13, 4))
+    if attempt >= 2 * WIDER_FROM:
+        ipv4 = for_examples
     kept = F.when(F.substring(canonical, 1, 1).isin("1", "7"), 1).otherwise(2)
     #: The leading 0 of a national number stays.
     national = F.when(canonical.startswith("0"), F.concat(F.lit("0"), F.substring(same, F.lit(2), F.length(same)))).otherwise(same)
     #: Addresses with zeros left out have too few places for distinct draws; theirs lie in the range for examples.
-    ipv6 = F.when(canonical.contains("::"), F.concat(F.lit("2001:db8:"), F.concat_ws(":", *(F.substring(stream, i, 4) for i in (1, 5, 9))), F.lit("::"), F.substring(stream, 13, 4))).otherwise(as_hex)
+    ipv6 = F.when(canonical.contains("::"), for_examples).otherwise(as_hex)
     dialled = F.concat(F.substring(canonical, F.lit(1), kept), F.substring(same, kept + 1, F.length(same)))
     iban = F.concat(F.substring(canonical, 1, 2), F.substring(same, F.lit(3), F.length(same)))
     names = F.lit(None).cast("string")
     for script in SYLLABLES:
         for role, ending in (("given_m", "m"), ("given_f", "f"), ("given_n", "n"), ("surname", "n")):
-            names = F.when(kind == f"{role}_{script}", _name(script, F.lit(ending), stream, F.least(F.lit(20), (2 + attempt).cast("int")))).otherwise(names)
+            names = F.when(kind == f"{role}_{script}", _name(script, F.lit(ending), stream, F.lit(min(20, 2 + attempt)))).otherwise(names)
     drawn = F.when(kind == "email", email).when(kind == "ipv6", ipv6).when(kind == "mac", as_hex)
     drawn = drawn.when(kind == "secret", F.when(canonical.rlike("^[0-9a-fA-F]+$"), as_hex).otherwise(same)).when(kind == "ipv4", ipv4).when(kind == "card", F.concat(body, check.cast("string")))
     return drawn.when(kind == "phone_country", dialled).when(kind == "iban", iban).when(kind == "phone", national).when(kind == "ssn", same).otherwise(names)
@@ -183,33 +194,36 @@ def mentions(found: DataFrame) -> DataFrame:
     return rows.select("uid", "at", F.posexplode(F.when(F.col("kind") == "name", names).otherwise(single)).alias("part", "x")).select("uid", "at", "part", "x.*")
 
 
-def entity_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+def entity_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canonical, surrogate) of distinct entities, surrogates distinct within their kind and never an entity."""
-    pending, attempt, settled = written(entities, "entities"), 0, None
-    everything = pending
-    while True:
-        drawn = pending.withColumn("stream", key_stream(F.col("kind"), F.col("canonical"), F.lit(attempt), key))
-        drawn = drawn.select("kind", "canonical", surrogate(F.col("kind"), F.col("canonical"), F.lit(attempt), F.col("stream"), key).alias("surrogate"), F.lit(attempt).alias("turn"))
-        pool = drawn if settled is None else settled.unionByName(drawn)
-        first = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("turn", "canonical")) == 1
-        real = everything.select("kind", F.col("canonical").alias("drawn"))
-        judged = pool.withColumn("first", first).withColumn("drawn", F.lower("surrogate")).join(real.withColumn("real", F.lit(True)).withColumn("drawn", F.lower("drawn")).distinct(), ["kind", "drawn"], "left")
-        judged = written(judged.select("kind", "canonical", "surrogate", "turn", (F.col("first") & F.col("real").isNull()).alias("good")), "draws")
-        settled = judged.filter("good").drop("good")
-        pending = judged.filter("NOT good").select("kind", "canonical")
-        attempt += 1
+    real = written(entities.select("kind", "canonical"), "entities")
+    pending, settled = real, None
+    for attempt in range(MOST_DRAWS):
+        stream = key_stream(F.col("kind"), F.col("canonical"), attempt, key)
+        drawn = pending.withColumn("stream", stream).select("kind", "canonical", surrogate(F.col("kind"), F.col("canonical"), attempt, F.col("stream"), key).alias("surrogate"))
+        #: Of those that meet one stays, whatever their number.
+        good = drawn.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical")).withColumn("drawn", F.lower("surrogate"))
+        good = good.join(real.select("kind", F.lower("canonical").alias("drawn")), ["kind", "drawn"], "left_anti").drop("drawn")
+        if settled is not None:
+            good = good.join(settled, ["kind", "surrogate"], "left_anti")
+        good = written(good.select("kind", "canonical", "surrogate"), "drawn")
+        settled = good if settled is None else settled.unionByName(good)
+        pending = written(pending.join(good, ["kind", "canonical"], "left_anti"), "pending")
         if pending.isEmpty():
-            return settled.drop("turn")
+            return settled
+    raise RuntimeError(f"surrogates still meet after {MOST_DRAWS} draws")
 
 
 def _formatted(kind: Column, raw: Column, drawn: Column) -> Column:
     """The surrogate in the mention's own format."""
     spaced = _chars(raw, lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(drawn, F.length(F.regexp_replace(F.substring(raw, F.lit(1), i + 1), "[^0-9A-Za-z]", "")), F.lit(1))).otherwise(c))
+    #: What a surrogate has beyond the mention's own places.
+    beyond = F.substring(drawn, F.length(F.regexp_replace(raw, "[^0-9A-Za-z]", "")) + 1, F.length(drawn))
     cased = F.when((raw == F.upper(raw)) & (raw != F.lower(raw)) & (F.length(raw) > 1), F.upper(drawn)).otherwise(drawn)
-    return F.when(kind.isin("ssn", "card", "phone", "phone_country", "iban"), spaced).when(kind.isin("secret", "ipv4"), drawn).otherwise(cased)
+    return F.when(kind.isin("ssn", "card", "phone", "phone_country", "iban"), F.concat(spaced, beyond)).when(kind.isin("secret", "ipv4"), drawn).otherwise(cased)
 
 
-def replaced(docs: DataFrame, key: str = KEY, text: str = "text", count_as: str | None = "n_entities") -> DataFrame:
+def replaced(docs: DataFrame, key: str, text: str = "text", count_as: str | None = "n_entities") -> DataFrame:
     """The documents with surrogates in place of personal data; ``count_as`` names a column with the number of mentions."""
     names = docs.columns
     inside = F.col(text).cast("string")
