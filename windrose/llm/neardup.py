@@ -5,13 +5,16 @@ at the rate of the weight, each at a random component of the signature. A compon
 first; an element is dropped as soon as its next arrival comes after every component's first one. Two texts agree in a
 component with the probability Jaccard of their weighted shingles. Components in bands name buckets; a bucket's smallest
 node is its pivot, and the others are verified against it on whole shingle sets. Where a bucket still holds more than
-one class afterwards, members of different classes are compared in blocks by wide signatures, and those that may be
-similar enough are verified as well. Verified links are merged by smallest label.
+one class afterwards, its members meet in blocks: one product of matrices bounds the similarity of all of a block's pairs,
+those of different classes that reach the threshold are verified, and each link found joins two classes at once. So a
+block passes on fewer links than it has members, and no pairs. Blocks are compared within themselves first, then two by
+two where a bucket still has several. Verified links are merged by smallest label.
 
 Words are runs of digits, letters and bytes beyond ASCII, lower-cased (A-Z); texts of fewer than five words are one
 shingle. Nodes are distinct word sequences, so copies meet in one row at once whatever their number. Texts without words
 only equal the same text; a null text equals nothing. ``class_id`` is the smallest doc_id of a class, null if none has
-one. Repeated rows are in one class. An empty table gives no rows.
+one. Repeated rows are in one class, rows that share a doc_id but not the text are classed each by its text. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrose.llm.common import map_arrow, mix, prefix_sums, span_hash, text_chunks, words, written
@@ -29,10 +32,11 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8, a pair shares a bucket with probability 0.9993.
 BANDS, BAND_ROWS = 24, 6
 #: Members of a pivot that are verified in one place.
-SALTED_MEMBERS = 500
-#: Members of different classes in one bucket: those of two blocks of BLOCK meet by signatures of WIDE components, and
-#: pairs are verified that agree in WIDE_AGREE of them, 5 standard deviations below what a similarity of 0.8 gives.
-BLOCK, WIDE, WIDE_AGREE = 512, 1024, 756
+SALTED_MEMBERS = 250
+#: Members of a bucket, and bytes of their packed shingles, that make a block; any two blocks of a bucket meet.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
+#: Shingles that one product of matrices takes; by how much its 32-bit sums may be off.
+COLUMNS, SLACK = 1 << 13, 1e-4
 
 _STEP = np.uint64(0x632BE59BD9B4E019)
 _ROW_BITS = np.uint64(48)
@@ -74,10 +78,10 @@ def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n_rows:
     """The first element to arrive at each of ``size`` components, by row."""
     earliest = np.full(n_rows * size, np.inf)
     holder = np.zeros(n_rows * size, np.uint64)
-    time, number = np.zeros(len(row)), np.uint64(0)
+    time, step = np.zeros(len(row)), 0
     while len(row):
-        number += np.uint64(1)
-        draw = mix(element + number * _STEP)
+        step = step + int(_STEP) & (1 << 64) - 1
+        draw = mix(element + np.uint64(step))
         time = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)) / weight
         at = row * size + (mix(draw) % np.uint64(size)).astype(np.int64)
         np.minimum.at(earliest, at, time)
@@ -144,119 +148,207 @@ def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return wide[0].view(np.uint64).ravel(), wide[1].view(np.int64).ravel().astype(float)
 
 
+def salted(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with a salt that splits the members of a pivot; written."""
+    pairs = written(pairs, "pairs")
+    sizes = pairs.groupBy("pivot").agg((F.count("*") / SALTED_MEMBERS).cast("bigint").alias("n")).filter("n > 0")
+    own = F.pmod(F.xxhash64("node", "pivot"), F.coalesce("n", F.lit(0)) + 1)
+    return pairs.join(sizes, "pivot", "left").select("pivot", "node", own.alias("salt"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
-    """The pairs (pivot, node) whose similarity is large enough; written.
+    """The salted pairs (pivot, node, salt) whose similarity is large enough; written.
 
-    The members of a pivot are dealt over salts, and the pivot is sent to each.
+    The pivot is sent once to each of its salts.
     """
-    pairs = written(pairs, "pairs")
-    pairs = pairs.join(pairs.groupBy("pivot").agg((F.count("*") / SALTED_MEMBERS).cast("bigint").alias("n")), "pivot").withColumn("salt", F.pmod(F.xxhash64("node", "pivot"), F.col("n") + 1)).drop("n")
     wanted = pairs.select(F.col("node").alias("key"), "pivot", "salt", F.lit(1).alias("turn")).unionByName(pairs.select("pivot", "salt").distinct().select(F.col("pivot").alias("key"), "pivot", "salt", F.lit(0).alias("turn")))
-    rows = wanted.join(sets.withColumnRenamed("node", "key"), "key").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "turn")
+    rows = wanted.join(sets.select(F.col("node").alias("key"), "shingles"), "key").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, pivot = None, None
         for batch in batches:
-            found: list[tuple[bytes, bytes]] = []
-            for key, of, turn, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "pivot", "turn", "shingles")), strict=True):
+            found: list[tuple[bytes, bytes, int]] = []
+            for key, of, salt, turn, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "pivot", "salt", "turn", "shingles")), strict=True):
                 if turn == 0:
                     held, pivot = _unpacked(raw), of
                 elif pivot == of and similarity(*held, *_unpacked(raw)) >= at_least - 1e-12:
-                    found.append((of, key))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.binary()), pa.array([k for _, k in found], pa.binary())], names=["pivot", "node"])
+                    found.append((of, key, salt))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["pivot", "node", "salt"])
 
-    return written(rows.mapInArrow(run, "pivot binary, node binary"), "links")
+    return written(rows.mapInArrow(run, "pivot binary, node binary, salt bigint"), "links")
 
 
 def merged(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each linked node is connected to; written."""
-    labels = links.select("node").union(links.select("pivot")).distinct().select("node", F.col("node").alias("label"))
+    """(node, label): the smallest node that each linked node is connected to; written.
+
+    A pivot's label goes once to each of its salts and from there to its members, so no task gets all of a hot pivot's links.
+    """
+    hubs = written(links.select("pivot", "salt").distinct(), "hubs")
+    labels = written(links.select("node").union(hubs.select("pivot")).distinct().select("node", F.col("node").alias("label")), "labels")
+    state = None
     while True:
-        labels = written(labels, "labels")
-        named = labels.withColumnRenamed("node", "key")
-        near = links.join(named, links["pivot"] == named["key"]).select("node", "label").union(links.join(named, links["node"] == named["key"]).select(F.col("pivot"), "label"))
-        new = near.union(labels).groupBy("node").agg(F.min("label").alias("label"))
+        named = labels.select(F.col("node").alias("key"), F.col("label").alias("next"))
+        down = links.join(hubs.join(named, F.col("pivot") == F.col("key")).select("pivot", "salt", "next"), ["pivot", "salt"]).select("node", F.col("next").alias("label"))
+        up = links.join(named, F.col("node") == F.col("key")).groupBy("pivot").agg(F.min("next").alias("label"))
+        labels = written(down.union(up).union(labels).groupBy("node").agg(F.min("label").alias("label")), "labels")
+        before, state = state, labels.agg(F.bit_xor(F.xxhash64("node", "label"))).first()[0]
+        if before == state:
+            return labels
         #: A label's own label is as good: paths halve with every round.
-        further = new.join(named.select("key", F.col("label").alias("next")), F.col("label") == F.col("key")).select("node", F.least("label", "next").alias("label"))
-        new = written(further, "labels")
-        if new.exceptAll(labels).isEmpty():
-            return new
-        labels = new
+        own = labels.select(F.col("label").alias("key")).distinct().join(labels.select(F.col("node").alias("key"), F.col("label").alias("next")), "key").filter("key <> next")
+        labels = written(labels.join(own, F.col("label") == F.col("key"), "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
 
 
-def wide_signatures(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, label and the lowest bytes of WIDE components; written."""
+def block_links(sets: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, side: np.ndarray, at_least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Pairs of members that join their classes: members of different labels and sides whose similarity is large enough,
+    and of these as many as it takes to connect what they connect.
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(lo, BLOCK)
-            each = [_unpacked(x) for x in part.column("shingles").to_pylist()]
-            row = np.repeat(np.arange(len(each)), [len(e) for e, _ in each])
-            low = signatures(row, np.concatenate([e for e, _ in each]), np.concatenate([w for _, w in each]), len(each), WIDE).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("label"), pa.array([x.tobytes() for x in low], pa.binary())], names=["node", "label", "wide"])
-
-    return written(map_arrow(nodes.join(sets, "node"), run, "node binary, label binary, wide binary"), "wide")
-
-
-def likely_pairs(members: DataFrame, wide: DataFrame) -> DataFrame:
-    """Pairs of nodes of one bucket and of different labels that may be similar enough."""
-    sizes = members.groupBy("bucket").agg((F.count("*") / BLOCK).cast("int").alias("last"))
-    dealt = members.select("bucket", "node").join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).select("node", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    rows = dealt.join(wide, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-
-    def compared(group: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        own, nodes, labels = np.array([g[3] for g in group]), [g[4] for g in group], np.unique([g[5].hex() for g in group], return_inverse=True)[1]
-        signs = np.frombuffer(b"".join(g[6] for g in group), np.uint8).reshape(len(group), WIDE)
-        same_block = group[0][1] == group[0][2]
-        for k in range(len(group)):
-            rest = np.flatnonzero((labels != labels[k]) & (np.arange(len(group)) > k) & (same_block | (own != own[k])))
-            for x in rest[(signs[rest] == signs[k]).sum(axis=1) >= WIDE_AGREE]:
-                yield min(nodes[k], nodes[x]), max(nodes[k], nodes[x])
+    With p and q the shares of a's and b's weight that lie on common shingles, the probability Jaccard is at most
+    pq / (q + (1 - q) p); it is equal to that where a and b have even weights.
+    """
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(e) for e, _ in sets])
+    weight = np.concatenate([w / w.sum() for _, w in sets])
+    _, column, times = np.unique(np.concatenate([e for e, _ in sets]), return_inverse=True, return_counts=True)
+    #: What one member alone has is common to none.
+    common = np.flatnonzero(times[column] > 1)
+    order = common[np.argsort(column[common], kind="stable")]
+    place = np.r_[0, np.cumsum(np.diff(column[order]) != 0)] if len(order) else np.zeros(0, np.int64)
+    p = np.zeros((n, n), np.float32)
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        a, b = np.searchsorted(place, [low, low + COLUMNS])
+        shares, holds = np.zeros((n, COLUMNS), np.float32), np.zeros((n, COLUMNS), np.float32)
+        shares[row[order[a:b]], place[a:b] - low] = weight[order[a:b]]
+        holds[row[order[a:b]], place[a:b] - low] = 1
+        p += shares @ holds.T
+    q = p.T
+    most = p * q / np.maximum(q + (1 - q) * p, 1e-9)
+    most = np.minimum(most, most.T)
+    even = np.array([w.min() == w.max() for _, w in sets])
+    one, two = np.nonzero(np.triu(most >= at_least - SLACK, 1) & (label[:, None] != label) & ((side[:, None] != side) | (side[:, None] < 0)))
+    root = list(range(int(label.max()) + 1))
+    found = []
+    for k in np.argsort(-most[one, two], kind="stable").tolist():
+        i, j = int(one[k]), int(two[k])
+        x, y = int(label[i]), int(label[j])
+        while root[x] != x:
+            x = root[x]
+        while root[y] != y:
+            y = root[y]
+        if x != y and (even[i] and even[j] and most[i, j] >= at_least + SLACK or similarity(*sets[i], *sets[j]) >= at_least - 1e-12):
+            root[max(x, y)] = min(x, y)
+            found.append((i, j))
+    return found
+
+
+def mixed_buckets(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """bucket, and how many members make a block there, of the buckets with members of different labels; written.
+
+    Buckets with the same members are compared once. Two members have met as pivot and node.
+    """
+    each = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.expr(f"n * {BLOCK_BYTES} div bytes"))).alias("each")
+    hashed = F.xxhash64("node")
+    counted = members.join(sets.select("node", F.octet_length("shingles").alias("bytes")), "node").groupBy("bucket").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"), F.bit_xor(hashed).alias("x"), F.sum(F.shiftrightunsigned(hashed, 32)).alias("s"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return written(counted.filter("n > 2 AND low <> high").groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket"), F.first("bytes").alias("bytes")).select("bucket", "n", each), "mixed")
+
+
+def within_blocks(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Every member of the buckets once, in a block (bucket, i, j) of its own side."""
+    return members.join(buckets, "bucket").select("node", "label", "bucket", F.pmod(F.xxhash64("node"), F.expr("(n - 1) div each") + 1).alias("i"), F.lit(0).cast("bigint").alias("j"), F.lit(-1).cast("bigint").alias("own"))
+
+
+def across_blocks(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """The members of the buckets in pairs of blocks (bucket, i, j), two sides each.
+
+    A bucket's most common label has met itself; blocks of the other members meet its blocks and one another. So where
+    few members are left out of a large class, that class is sent once.
+    """
+    rows = members.join(buckets.filter("n > each"), "bucket")
+    labels = rows.groupBy("bucket", "label").agg(F.count("*").alias("own_n"))
+    top = labels.groupBy("bucket").agg(F.max_by("label", F.struct("own_n", "label")).alias("top"), F.max("own_n").alias("top_n"))
+    rows = rows.join(top, "bucket").withColumn("in_top", F.col("label") == F.col("top")).withColumn("rest", F.expr("(n - top_n - 1) div each")).withColumn("last", F.expr("(top_n - 1) div each"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("in_top"), F.col("last")).otherwise(F.col("rest")) + 1)
+    #: Blocks of the most common label have the numbers from ``rest`` + 1 on.
+    rows = rows.withColumn("own", F.when(F.col("in_top"), F.col("rest") + 1 + own).otherwise(own))
+    others = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("in_top"), F.col("rest")).otherwise(F.col("rest") + 1 + F.col("last")))
+    rows = rows.withColumn("other", F.explode(F.filter(others, lambda x: x != F.col("own"))))
+    return rows.select("node", "label", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+
+
+def joined_classes(dealt: DataFrame, sets: DataFrame) -> DataFrame:
+    """(pivot, node, salt): links between labels, from members that lie in one block but not on one side of it (-1: none); written."""
+    rows = dealt.join(sets, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
 
         def done() -> pa.RecordBatch:
-            found = [*compared(group)] if group else []
+            names = sorted({g[5] for g in group})
+            number = {x: k for k, x in enumerate(names)}
+            found = []
+            if len(names) > 1:
+                label, side = np.array([number[g[5]] for g in group]), np.array([g[3] for g in group])
+                found = [sorted((group[a][5], group[b][5])) for a, b in block_links([_unpacked(g[6]) for g in group], label, side)]
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["pivot", "node"])
 
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "own", "node", "label", "wide")), strict=True):
+            for r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "own", "node", "label", "shingles")), strict=True):
                 if group and group[0][:3] != r[:3]:
                     yield done()
                     group.clear()
                 group.append(r)
         yield done()
 
-    return rows.mapInArrow(run, "pivot binary, node binary").distinct()
+    return written(salted(rows.mapInArrow(run, "pivot binary, node binary").distinct()), "joins")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """Every document with its class and the number of documents in it."""
+def relabelled(labels: DataFrame, further: DataFrame) -> DataFrame:
+    """``labels`` with their own labels in ``further``; labels of nodes that are alone there are nodes themselves."""
+    final = labels.join(further.select(F.col("node").alias("label"), F.col("label").alias("final")), "label", "left").select("node", F.coalesce("final", "label").alias("label"))
+    return written(final.unionByName(further.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, a hash of the text, and the label of its class (null for a null text); written."""
     rows = signed(docs)
-    buckets = written(rows.filter("size(buckets) > 0").groupBy("node").agg(F.first("buckets").alias("buckets")).select("node", F.explode("buckets").alias("bucket")), "buckets")
+    nodes = written(rows.filter("size(buckets) > 0").groupBy("node").agg(F.first("buckets").alias("buckets")), "nodes")
+    buckets = nodes.select("node", F.explode("buckets").alias("bucket"))
     pivots = written(buckets.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n"), "pivots")
     shared = written(buckets.join(pivots, "bucket"), "shared")
     sets = shingle_sets(docs, shared.select("node"))
-    links = verified(shared.filter("node <> pivot").select("pivot", "node").distinct(), sets)
-    labelled = shared.drop("pivot").join(merged(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-    members = written(labelled.join(mixed, "bucket"), "members")
-    likely = likely_pairs(members, wide_signatures(members.select("node", "label").distinct(), sets))
-    links = written(links.unionByName(verified(likely, sets)), "links")
-    labels = merged(links)
-    nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    nodes = written(nodes, "nodes")
-    sizes = nodes.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
-    named = written(nodes.select("node", "label").join(sizes, "label").drop("label"), "named")
-    return rows.select("doc_id", "text_key", "node").join(named, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "text_key")
+    labels = merged(verified(salted(shared.filter("node <> pivot").select("pivot", "node").distinct()), sets))
+    #: Within blocks first, where each member is once: what that connects need not be compared across blocks.
+    for deal in (within_blocks, across_blocks):
+        members = written(shared.drop("pivot").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "members")
+        links = joined_classes(deal(members, mixed_buckets(members, sets)), sets)
+        if not links.isEmpty():
+            labels = relabelled(labels, merged(links))
+    return written(rows.select("doc_id", "text_key", "node").join(labels, "node", "left").select("doc_id", "text_key", F.coalesce("label", "node").alias("label")), "labelled")
+
+
+def first_in_class() -> Column:
+    """Orders the rows of a class: by doc_id, nulls last, then by text."""
+    return F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """Every document with its class and the number of documents in it."""
+    rows = labelled(docs)
+    sizes = rows.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    named = rows.join(sizes, "label", "left")
+    return named.select("doc_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "text_key")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the smallest doc_id, with the columns that it came with."""
-    kept = written(classes(docs).filter("doc_id <=> class_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "kept")
-    on = docs["doc_id"].cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
-    out = docs.join(kept.distinct(), on, "left_semi")
-    repeated = kept.filter("_id IS NOT NULL").groupBy("_id").count().filter("count > 1")
-    return out if repeated.isEmpty() else out.filter("doc_id IS NULL").unionByName(out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    """One document of each class, the one with the smallest doc_id, with the columns that it came with.
+
+    Null texts stay. Of rows that repeat doc_id (or its null) and text, one stays; rows that share a doc_id with unlike texts stay.
+    """
+    found = labelled(docs).filter("label IS NOT NULL").groupBy("label", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    kept = found.groupBy("label").agg(F.min_by(F.struct(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("n").alias("_n")), first_in_class()).alias("first")).select("first.*")
+    kept = written(kept, "kept")
+    on = docs["doc_id"].cast("bigint").eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_key"])
+    out = docs.filter(docs["text"].isNotNull())
+    once = out.join(kept.filter(kept["_n"] == 1), on, "left_semi").unionByName(docs.filter(docs["text"].isNull()))
+    again = kept.filter(kept["_n"] > 1)
+    return once if again.isEmpty() else once.unionByName(out.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"]))
