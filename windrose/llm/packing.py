@@ -14,10 +14,9 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,9 @@ from windrose.llm.common import map_arrow, text_chunks, written
 
 CAPACITY = 4096
 END_ID = 2
-#: Words whose ids a worker remembers, and the bytes of the longest such word.
-CACHED_WORDS, CACHED_BYTES = 200_000, 48
+#: Words whose ids a worker learns before it forgets those that it has not seen since as many were learnt before, and the
+#: bytes of the longest word that is remembered at all.
+CACHED_WORDS, CACHED_BYTES = 400_000, 48
 #: How tokens that close a word end; a word that stands between others in one call; symbols cut off the end of a word.
 WORD_END, MARK, TAIL = "</w>", b"\x01", b"!#$%&*+,-./:;<=>?@|~"
 #: Pieces of one length and salt.
@@ -52,8 +52,7 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
+        self.tokenizer, self.known, self.before = Tokenizer.from_file(path), {}, {}
         mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         vocabulary = self.tokenizer.get_vocab()
@@ -61,55 +60,63 @@ class WordEncoder:
         self.closes[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        #: The fast form leaves out the places of the tokens in the text.
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _encode(self, parts: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """Words with their ids. Words of letters have one id that closes them, so many go through one call; others are
-        told apart by a mark, or go one by one where the mark is part of them."""
+    def _encode(self, parts: list[bytes]) -> None:
+        """Learn words. Words of letters have one id that closes them, so many go through one call; others are told apart
+        by a mark, or go one by one where the mark is part of them."""
         text = [p.decode() for p in parts]
-        plain = [x for x in text if x.isalpha()]
-        ids = self._ids(" ".join(plain))
+        plain = [k for k, x in enumerate(text) if x.isalpha()]
+        ids = self._ids(" ".join([text[k] for k in plain]))
         ends = np.flatnonzero(self.closes[ids]) * 4 + 4
-        if len(ends) != len(plain):
-            plain, ends = [], ends[:0]
-        done = set(plain)
-        rest = [x for x in text if x not in done]
-        found = list(zip(plain, _cut(ids, ends, 0), strict=True))
-        if self.mark is None or any(MARK.decode() in x for x in rest):
-            found += [(x, self._ids(x).tobytes()) for x in rest]
+        if len(ends) == len(plain):
+            self.known.update(zip([parts[k] for k in plain], _cut(ids, ends, 0), strict=True))
+            rest = [k for k, x in enumerate(text) if not x.isalpha()]
+        else:
+            rest = range(len(text))
+        if self.mark is None or any(MARK in parts[k] for k in rest):
+            self.known.update((parts[k], self._ids(text[k]).tobytes()) for k in rest)
         elif rest:
-            ids = self._ids(f" {MARK.decode()} ".join(rest))
-            found += zip(rest, _cut(ids, np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4, 4), strict=True)
-        return [(x.encode(), i) for x, i in found]
+            ids = self._ids(f" {MARK.decode()} ".join([text[k] for k in rest]))
+            self.known.update(zip([parts[k] for k in rest], _cut(ids, np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4, 4), strict=True))
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self, new: set[bytes]) -> None:
         """Symbols after a letter or digit are tokens of their own, so such words are put together from their parts."""
         joined, whole = [], set()
         for w in new:
             core = w.rstrip(TAIL)
             if core and len(core) < len(w) and core[-1:].isalnum() and b"<|" not in w:
                 joined.append((w, core, w[len(core) :]))
-                whole.update((core, w[len(core) :]))
             else:
                 whole.add(w)
-        rest = [w for w in whole if w not in self.known]
-        self.known.update(self._encode(rest) if rest else ())
-        self.known.update((w, self.known[core] + self.known[tail]) for w, core, tail in joined)
+        whole.update([core for _, core, _ in joined])
+        whole.update([tail for _, _, tail in joined])
+        whole = self._recalled(whole)
+        if whole:
+            self._encode(list(whole))
+        known = self.known
+        known.update([(w, known[core] + known[tail]) for w, core, tail in joined])
+
+    def _recalled(self, words: set[bytes]) -> set[bytes]:
+        """The words that are not known, after those known before are known again."""
+        new = words.difference(self.known)
+        again = new & self.before.keys()
+        self.known.update([(w, self.before[w]) for w in again])
+        return new - again
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """Little-endian ids of each text. Words that a call holds twice are remembered for the next ones."""
+        """Little-endian ids of each text."""
         split = [t.split() for t in texts]
-        times = Counter(chain.from_iterable(split))
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        new = [w for w in times if w not in self.known]
-        before = len(self.known)
+        new = self._recalled(set(chain.from_iterable(split)))
         self._learn(new)
         for parts in split:
             yield np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u4")
-        for w in [*islice(self.known, before, None)]:
-            if times[w] < 2 or len(w) > CACHED_BYTES:
+        for w in new:
+            if len(w) > CACHED_BYTES:
                 del self.known[w]
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.before = {}, self.known
 
 
 @cache
