@@ -334,7 +334,8 @@ def first_in_class() -> Column:
 def classes(docs: DataFrame) -> DataFrame:
     """Every document with its class and the number of documents in it."""
     rows = labelled(docs)
-    sizes = rows.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    #: Written, so that the rows of a large class can be split where they meet it.
+    sizes = written(rows.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "sizes")
     named = rows.join(sizes, "label", "left")
     return named.select("doc_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "text_key")
 
