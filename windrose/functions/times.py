@@ -46,6 +46,37 @@ def after_anchor(moment: Column, anchor: Column) -> Column:
     return F.when(moment < anchor, moment + F.expr("INTERVAL 1 DAY")).otherwise(moment)
 
 
+def clock_minutes(clock: Column) -> Column:
+    """Minutes of the day of H:MM, -1 where it is none."""
+    parts = [F.regexp_extract(F.trim(clock), r"^(\d{1,2}):(\d{2})$", k).try_cast("int") for k in (1, 2)]
+    return F.coalesce(parts[0] * 60 + parts[1], F.lit(-1))
+
+
+def nearest_day_gap(moment: Column, reference: Column) -> Column:
+    """Hours between the two on the nearest of the day before, the day itself and the day after; of two as near the first."""
+    gaps = [(micros(moment) - micros(reference)) / F.lit(float(HOUR)) + 24 * d for d in (-1, 0, 1)]
+    least = F.least(*map(F.abs, gaps))
+    return F.when(F.abs(gaps[0]) == least, gaps[0]).when(F.abs(gaps[1]) == least, gaps[1]).otherwise(gaps[2])
+
+
+def crawl_day(airport: Column, planned: Column, actual: Column, departed: Column) -> Column:
+    """The date that a record is filed under: DAD by plan, the others as it was, else by departure."""
+    return F.coalesce(F.to_date(F.when(airport == "DAD", planned).otherwise(actual)), F.to_date(departed))
+
+
+def canonical_times(airport: Column, mode: Column, day: Column, scheduled: Column, actual: Column) -> dict[str, Column]:
+    """scheduled, actual and the day of a record from the clocks that its page shows.
+
+    DAD files by the planned day, so the actual time moves towards the planned one; the others file by the actual day. Their
+    arrivals show no plan, their departures' plan moves towards the actual time.
+    """
+    by_plan = airport == "DAD"
+    planned, real = parse_on_date(day, scheduled), parse_on_date(day, actual)
+    plan = F.when(by_plan, planned).when(mode == "arrival", None).otherwise(near_reference(planned, real))
+    done = F.when(by_plan, near_reference(real, planned)).otherwise(real)
+    return {"scheduled": plan, "actual": done, "day": F.coalesce(F.to_date(F.when(by_plan, planned).otherwise(real)), day)}
+
+
 def daypart(hour: Column) -> Column:
     return F.when(hour < 6, "night").when(hour < 12, "morning").when(hour < 18, "afternoon").otherwise("evening")
 

@@ -45,17 +45,28 @@ def asof(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, rig
     return out.filter("_row IS NOT NULL").select("_row.*", *(F.when(usable, F.col("_here")[name]).alias(name) for name in take.values()))
 
 
+def neighbours(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str, take: Sequence[str], bucket: int | None = None, tie: str | None = None) -> DataFrame:
+    """``left`` with the last row of right at or before left_ts as ``_p`` and the first at or after it as ``_n``.
+
+    Both are structs of ``take`` and ``gap``, the microseconds between.
+    """
+    rows = right.select(*on, right_ts, *([tie] if tie and tie not in on else []), F.struct(F.col(right_ts).alias("at"), *take).alias("_found"))
+    back = asof(left, rows, on, left_ts, right_ts, {"_found": "_p"}, bucket=bucket, tie=tie)
+    both = asof(back, rows, on, left_ts, right_ts, {"_found": "_n"}, forward=True, bucket=bucket, tie=tie)
+    return both.withColumn("_p", F.col("_p").withField("gap", micros(left_ts) - micros(F.col("_p.at")))).withColumn("_n", F.col("_n").withField("gap", micros(F.col("_n.at")) - micros(left_ts)))
+
+
+def nearer(tolerance: int | None = None, later_wins: bool = False) -> Column:
+    """Of ``neighbours`` the nearer one, at most ``tolerance`` microseconds away; of two as near the earlier one."""
+    closer = F.col("_n.gap") <= F.col("_p.gap") if later_wins else F.col("_n.gap") < F.col("_p.gap")
+    best = F.when(F.col("_p").isNull() | F.coalesce(closer, F.lit(False)), F.col("_n")).otherwise(F.col("_p"))
+    return best if tolerance is None else F.when(best["gap"] <= tolerance, best)
+
+
 def nearest(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str, take: dict[str, str], tolerance: int | None = None, bucket: int | None = None, tie: str | None = None, later_wins: bool = False) -> DataFrame:
     """The row of right nearest in time, at most ``tolerance`` microseconds away; of two as near the earlier one."""
-    wanted = {**take, right_ts: "_at"}
-    back = asof(left, right, on, left_ts, right_ts, {c: f"_p_{n}" for c, n in wanted.items()}, bucket=bucket, tie=tie)
-    both = asof(back, right, on, left_ts, right_ts, {c: f"_n_{n}" for c, n in wanted.items()}, forward=True, bucket=bucket, tie=tie)
-    gap_p, gap_n = micros(left_ts) - micros("_p__at"), micros("_n__at") - micros(left_ts)
-    prefer_next = F.col("_p__at").isNull() | (gap_n <= gap_p if later_wins else gap_n < gap_p)
-    use_next = F.coalesce(F.col("_n__at").isNotNull() & prefer_next, F.lit(False))
-    gap = F.when(use_next, gap_n).otherwise(gap_p)
-    fits = F.lit(True) if tolerance is None else gap <= tolerance
-    return both.select(*left.columns, *(F.when(fits, F.when(use_next, F.col(f"_n_{n}")).otherwise(F.col(f"_p_{n}"))).alias(n) for n in take.values()), F.when(fits, gap).alias("gap_us"))
+    both = neighbours(left, right, on, left_ts, right_ts, [*take], bucket, tie).withColumn("_best", nearer(tolerance, later_wins))
+    return both.select(*left.columns, *(F.col("_best")[c].alias(n) for c, n in take.items()), F.col("_best")["gap"].alias("gap_us"))
 
 
 def within_after(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str, span: int, strict: bool = False, bucket: int | None = None) -> Column:

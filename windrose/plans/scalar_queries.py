@@ -61,18 +61,21 @@ def wind_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("risk_scores", """
 WITH k AS (SELECT event_id, value AS v, json_extract_string(props, '$.k')::INT AS k, hour(ts) AS h FROM events),
-w AS (SELECT event_id, (k % 9) AS p, v / 5 AS wind, k * 100.0 AS vis, 80 + k % 20 AS hum, k % 30 AS temp, k % 30 - (k % 4) AS dew, k AS cloud, k AS low, k * 30 AS cape, -(k % 7) AS li, CASE WHEN k % 50 = 45 THEN 45 WHEN k % 50 = 0 THEN 95 ELSE 1 END AS code, k % 8 AS tail, h FROM k),
+w AS (SELECT event_id, (k % 9) AS p, v / 5 AS wind, k * 100.0 AS vis, 80 + k % 20 AS hum, k % 30 AS temp, k % 30 - (k % 4) AS dew, k AS cloud, k AS low, k * 30 AS cape, -(k % 7) AS li, CASE WHEN k % 50 = 45 THEN 45 WHEN k % 50 = 0 THEN 95 ELSE 1 END AS code, k % 8 AS tail, k % 25 AS across, h FROM k),
 f AS (SELECT *, (p > 0)::INT AS rain, (p >= 5)::INT AS heavy, (wind >= 30)::INT AS strong, (wind >= 50)::INT AS gale, (vis < 5000)::INT AS lowv,
       greatest((vis < 1000 AND hum > 90)::INT, (temp - dew <= 1.5 AND hum >= 90 AND wind < 10 AND h BETWEEN 0 AND 8)::INT, (code IN (45, 48))::INT) AS fog,
-      greatest((cloud > 80 AND p > 0)::INT, (cape >= 1500 AND li <= -3)::INT, (code IN (95, 96, 99))::INT) AS storm FROM w)
-SELECT event_id, rain AS is_rain, fog AS is_fog, storm AS is_thunderstorm, lowv + (vis < 4828.032)::INT + 2 * (vis < 1609.344)::INT AS visibility_severity,
-       (cape >= 1000)::INT + (cape >= 1500)::INT + (li <= -3)::INT + (li <= -5)::INT AS convection_score, CASE WHEN tail >= 5 THEN CASE WHEN rain = 1 THEN 2 ELSE 1 END ELSE 0 END AS forced_swap_risk,
-       least(5, rain + heavy + strong + 2 * gale + lowv + 2 * fog + storm + least(2, (temp <= 5)::INT * CASE WHEN heavy = 1 THEN 2 WHEN rain = 1 THEN 1 ELSE 0 END)) AS delay_risk FROM f""")
+      greatest((cloud > 80 AND p > 0)::INT, (cape >= 1500 AND li <= -3)::INT, (code IN (95, 96, 99))::INT) AS storm FROM w),
+r AS (SELECT *, (low >= 80)::INT AS ceiling, CASE WHEN heavy = 1 THEN 2 WHEN rain = 1 THEN 1 ELSE 0 END * (temp > 5)::INT AS wet, CASE WHEN heavy = 1 THEN 2 WHEN rain = 1 THEN 1 ELSE 0 END * (temp <= 5)::INT AS ice, lowv + (vis < 4828.032)::INT + 2 * (vis < 1609.344)::INT AS severity FROM f),
+s AS (SELECT *, CASE WHEN tail >= 5 THEN CASE WHEN wet > 0 THEN 2 ELSE 1 END ELSE 0 END AS swap FROM r)
+SELECT event_id, rain AS is_rain, fog AS is_fog, storm AS is_thunderstorm, ceiling AS is_low_ceiling, wet AS runway_wet, ice AS runway_ice_risk, severity AS visibility_severity, (across >= 10)::INT AS is_crosswind_10kt, (across >= 15)::INT AS is_crosswind_15kt, (across >= 20)::INT AS is_crosswind_20kt,
+       (cape >= 1000)::INT + (cape >= 1500)::INT + (li <= -3)::INT + (li <= -5)::INT AS convection_score, swap AS forced_swap_risk,
+       least(5, heavy + strong + 2 * gale + lowv + 2 * fog + ice + storm + ceiling) AS delay_risk,
+       least(8, severity + (across >= 10)::INT + (across >= 15)::INT + (across >= 20)::INT + heavy + wet + swap + storm + ceiling) AS operational_risk FROM s""")
 def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    seen = {"precipitation": k % 9, "wind": F.col("value") / 5, "visibility": k * 100.0, "humidity": 80 + k % 20, "temperature": k % 30, "dew_point": k % 30 - k % 4, "cloud": k, "low_cloud": k, "cape": k * 30, "lifted": -(k % 7), "code": F.when(k % 50 == 45, 45).when(k % 50 == 0, 95).otherwise(1), "tailwind_kt": k % 8, "hour": F.hour("ts")}
+    seen = {"precipitation": k % 9, "wind": F.col("value") / 5, "visibility": k * 100.0, "humidity": 80 + k % 20, "temperature": k % 30, "dew_point": k % 30 - k % 4, "cloud": k, "low_cloud": k, "cape": k * 30, "lifted": -(k % 7), "code": F.when(k % 50 == 45, 45).when(k % 50 == 0, 95).otherwise(1), "tailwind_kt": k % 8, "crosswind_kt": k % 25, "hour": F.hour("ts")}
     found = rules.weather_features(seen)
-    return events(spark, sf_dir).select("event_id", *(found[n].alias(n) for n in ("is_rain", "is_fog", "is_thunderstorm", "visibility_severity", "convection_score", "forced_swap_risk", "delay_risk")))
+    return events(spark, sf_dir).select("event_id", *(found[n].alias(n) for n in ("is_rain", "is_fog", "is_thunderstorm", "is_low_ceiling", "runway_wet", "runway_ice_risk", "visibility_severity", "is_crosswind_10kt", "is_crosswind_15kt", "is_crosswind_20kt", "convection_score", "forced_swap_risk", "delay_risk", "operational_risk")))
 
 
 @register("bins_profile", """

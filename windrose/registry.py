@@ -24,7 +24,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from windrose.plans import report_queries, scalar_queries, temporal_queries  # noqa: F401
+    from windrose.plans import audit_queries, flight_queries, model_queries, report_queries, scalar_queries, source_queries, temporal_queries  # noqa: F401
 
     return _QUERIES
 
