@@ -1,7 +1,7 @@
 """Sharding by histogram sort.
 
-Every row gets a 60-bit key: 36 bits of the text's MD5, then 24 bits of the doc_id's, so that equal texts lie together
-and yet a group of any size can be cut. Splitters are found by counting, across partitions, the exact bytes below evenly
+Every row gets a 62-bit key: 28 bits of the text's MD5, 20 bits of the doc_id's, then 14 bits that differ from row to row,
+so that equal texts lie together and yet a group of any size can be cut, one of equal rows too. Splitters are found by counting, across partitions, the exact bytes below evenly
 spaced probe keys and narrowing each splitter's interval to the probe cell that its target falls in, until the splitters
 meet their tolerance. Only interval and cell counts reach the driver, a number that does not depend on the data. Then
 rows are exchanged once, to ranges that hold equal bytes, and numbered there.
@@ -9,8 +9,9 @@ rows are exchanged once, to ranges that hold equal bytes, and numbered there.
 Shard splitters have tolerance 0: the row whose bytes cross a multiple of total / shards begins the next shard, so shards
 differ from the ideal by one row at most. Ranges within a shard may be off by ``RANGE_TOLERANCE``.
 
-A null text has size 1 and the checksum of no bytes. Rows with the same doc_id and text share a key and stay together;
-their slots follow one another. A null doc_id counts as an empty one. An empty table gives no rows.
+A null text has size 1 and the checksum of no bytes. Rows with the same doc_id and text lie side by side, on both sides of
+a splitter where it cuts them; which of them lies where is open, as they are equal. A null doc_id counts as an empty one.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,21 +22,24 @@ from pyspark.sql import functions as F
 from windrose.llm.common import written
 
 SHARDS = 8
-KEY_BITS, TEXT_DIGITS, ID_DIGITS = 60, 9, 6
-#: Cells per splitter and round; ranges per shard, and how far their bytes may be off.
+TEXT_DIGITS, ID_DIGITS, ROW_BITS = 7, 5, 14
+KEY_BITS = 4 * (TEXT_DIGITS + ID_DIGITS) + ROW_BITS
+#: Cells per splitter and round; the fewest ranges per shard and the rows that a range should hold, and how far a range's
+#: bytes may be off.
 CELL_BITS = 6
-RANGES_PER_SHARD, RANGE_TOLERANCE = 16, 0.1
+RANGES_PER_SHARD, RANGE_ROWS, RANGE_TOLERANCE = 16, 2_000_000, 0.1
 
 
 def key_of(text: Column, doc_id: Column) -> Column:
     digits = F.concat(F.substring(F.md5(text.cast("binary")), 1, TEXT_DIGITS), F.substring(F.md5(doc_id.cast("binary")), 1, ID_DIGITS))
-    return F.conv(digits, 16, 10).cast("bigint")
+    return F.shiftleft(F.conv(digits, 16, 10).cast("bigint"), ROW_BITS)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, size, checksum and key of every row."""
     text, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key_of(text, doc_id).alias("key"))
+    row = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND((1 << ROW_BITS) - 1)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key_of(text, doc_id).bitwiseOR(row).alias("key"))
 
 
 def splitters(rows: DataFrame, parts: int, exact_every: int, total: int, tolerance: float = RANGE_TOLERANCE) -> list[int]:
@@ -46,13 +50,13 @@ def splitters(rows: DataFrame, parts: int, exact_every: int, total: int, toleran
     done: dict[int, int] = {}
     while found:
         intervals = sorted({(low, width) for low, width, _ in found.values()})
-        number, cell = F.lit(None).cast("int"), F.lit(None).cast("bigint")
-        for i, (low, width) in enumerate(intervals):
-            inside = (F.col("key") >= low) & (F.col("key") < low + width)
-            step = max(1, width >> CELL_BITS)
-            number = F.when(inside, F.lit(i)).otherwise(number)
-            cell = F.when(inside, F.expr(f"(key - {low}L) div {step}L")).otherwise(cell)
-        counted = rows.select(number.alias("number"), cell.alias("cell"), "size").filter("number IS NOT NULL").groupBy("number", "cell").agg(F.sum("size").alias("bytes")).collect()
+        #: Intervals do not meet; a key lies in the last one that begins at or before it, or in none.
+        lows, widths = (F.array(*(F.lit(x[k]).cast("bigint") for x in intervals)) for k in (0, 1))
+        number = F.size(F.filter(lows, lambda x: x <= F.col("key")))
+        beyond = F.col("key") - F.get(lows, number - 1)
+        inside = beyond < F.get(widths, number - 1)
+        cell = F.expr("beyond div greatest(1, width)")
+        counted = rows.select("size", (number - 1).alias("number"), beyond.alias("beyond"), F.shiftright(F.get(widths, number - 1), CELL_BITS).alias("width"), inside.alias("inside")).filter("inside").select("number", cell.alias("cell"), "size").groupBy("number", "cell").agg(F.sum("size").alias("bytes")).collect()
         cells: dict[int, list[tuple[int, int]]] = {}
         for r in sorted(counted):
             cells.setdefault(r.number, []).append((r.cell, r.bytes))
@@ -71,10 +75,11 @@ def splitters(rows: DataFrame, parts: int, exact_every: int, total: int, toleran
     return [done[j] for j in range(1, parts)]
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, ranges_per_shard: int = RANGES_PER_SHARD) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Every row with its shard, and its slot in it by key."""
     rows = written(keyed(docs), "keys")
-    total = rows.agg(F.sum("size").alias("n")).first().n or 0
+    whole = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
+    total, ranges_per_shard = whole.bytes or 0, max(RANGES_PER_SHARD, -(-whole.n // (shards * range_rows)))
     first = splitters(rows, shards * ranges_per_shard, ranges_per_shard, total) if total else []
     edges = F.array(*map(F.lit, first)) if first else F.array().cast("array<bigint>")
     part = F.size(F.filter(edges, lambda x: x <= F.col("key")))
@@ -93,7 +98,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges_per_shard: int = RANGES_
 SQL = """
 WITH k AS (SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size,
                   list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b,
-                  ('0x' || substr(md5(coalesce(text, '')), 1, 9) || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 6))::BIGINT AS key FROM documents),
+                  ('0x' || substr(md5(coalesce(text, '')), 1, 7) || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 5))::BIGINT AS key FROM documents),
 c AS (SELECT doc_id, size, key, xor(4294967295, coalesce(list_reduce(b, lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384 * (r & 1))), 4294967295), 4294967295)) AS text_crc32 FROM k),
 s AS (SELECT *, sum(size) OVER (ORDER BY key RANGE UNBOUNDED PRECEDING)::BIGINT AS upto, sum(size) OVER ()::BIGINT AS total FROM c),
 n AS (SELECT *, ((8 * upto - 1) // total)::INTEGER AS shard FROM s)
