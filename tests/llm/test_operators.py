@@ -99,6 +99,16 @@ def test_shards_are_even_and_gapless(spark: SparkSession, odd: DataFrame) -> Non
     assert all(r.text_crc32 == zlib.crc32((given[r.doc_id] or "").encode()) and r.size == len((given[r.doc_id] or "").encode()) + 1 for r in rows)
 
 
+def test_equal_rows_are_cut_too(spark: SparkSession) -> None:
+    rows = [(None, None)] * 700 + [(1, "same " * 20)] * 40 + [(i, prose(i, 15)) for i in range(60)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), range_rows=5).collect()
+    sizes = Counter()
+    for r in found:
+        sizes[r.shard] += r.size
+    assert len(found) == 800 and max(sizes.values()) - min(sizes.values()) <= 2 * max(r.size for r in found)
+    assert all(sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found))) for s in range(8))
+
+
 # 3
 def test_quality_counts_and_base(spark: SparkSession) -> None:
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -118,11 +128,12 @@ def test_quality_counts_and_base(spark: SparkSession) -> None:
 
 
 def test_only_certified_strata_have_cutoffs(spark: SparkSession) -> None:
-    good, bad = prose(1, 120), " ".join(w + "#" * 3 for w in prose(2, 120).split())
-    rows = [(i, bad if i % 3 == 0 else good, lang, "s", None, None, None, None) for lang, first, n in (("en", 0, 3000), ("de", 3000, 90), (None, 3090, 90)) for i in range(first, first + n)]
-    labels = spark.createDataFrame([(r[0], int(r[0] % 3 > 0), 0) for r in rows], "doc_id bigint, quality int, toxic int")
+    spoilt = lambda k: " ".join(w + "#" * 3 for w in prose(k, 60).split())
+    rows = [(i, spoilt(i) if i % 3 == 0 else prose(i, 60), lang, "s", None, None, None, None) for lang, first, n in (("en", 0, 3000), ("de", 3000, 90), (None, 3090, 90)) for i in range(first, first + n)]
+    rows += [(4000 + i, rows[3000 + i % 90][1], "de", "s", None, None, None, None) for i in range(3000)]
+    labels = spark.createDataFrame([(r[0], int(r[0] % 3 > 0), 0) for r in rows if r[0] < 4000] + [(4000 + i, int((3000 + i % 90) % 3 > 0), 0) for i in range(3000)], "doc_id bigint, quality int, toxic int")
     kept = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, SCHEMA), labels).collect()}
-    assert all(kept[i] == (i % 3 > 0) for i in range(3000)) and all(kept[i] for i in range(3000, 3180))
+    assert all(kept[i] == (i % 3 > 0) for i in range(3000)) and all(kept[i] for i in kept if i >= 3000)
 
 
 def test_exact_bound_and_fixed_sequence() -> None:

@@ -9,8 +9,9 @@ stratum loses more than ``RISK`` of its good documents.
 
 A document whose base conditions fail is rejected whatever its stratum. Null texts have no words and so fail. The null
 stratum is one like the others. Strata whose labels are too few for any bound have no cutoffs, only the base conditions.
-Labels without quality are ignored, of repeated labels the higher counts; repeated documents are judged each. Empty tables
-give no rows.
+Labels without quality are ignored, of repeated labels the higher counts. A text counts once in a stratum, with the highest
+of its labels and in one half alone, so that copies and repeated documents are no draws of their own; all are judged. Empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def _counted(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 def features(docs: DataFrame, stratum: str = "lang", carry: bool = False) -> DataFrame:
     """doc_id, stratum and the counts of every whole text; ``carry`` adds the text and the other columns as c0, c1, ..."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if carry))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if carry))
     given = [c for c in rows.columns if carry or c != "text"]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -145,11 +146,12 @@ def certified_steps(good_at: dict[int, int], n_good: int, n_steps: int, level: f
 def thresholds(found: DataFrame, labels: DataFrame, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
     """(stratum, rule, cutoff): learnt from the documents that pass the base conditions; UNNAMED stands for the null stratum.
 
-    One half of the labelled documents, by a hash of doc_id, orders the path; the other half is the holdout that certifies it.
+    One half of the labelled texts, by a hash of the text, orders the path; the other half is the holdout that certifies it.
     """
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("quality") > 0).cast("int")).alias("quality"))
     rows = found.filter(~base_failed()).join(known, "doc_id")
-    rows = rows.select(F.coalesce("stratum", F.lit(UNNAMED)).alias("stratum"), "quality", (F.xxhash64("doc_id") % 2 == 0).alias("holdout"), F.array(*map(rule_value, RULES)).alias("values"))
+    rows = rows.groupBy(F.coalesce("stratum", F.lit(UNNAMED)).alias("stratum"), "text_key").agg(F.max("quality").alias("quality"), F.first(F.array(*map(rule_value, RULES))).alias("values"))
+    rows = rows.select("stratum", "quality", (F.xxhash64("text_key", F.lit("half")) % 2 == 0).alias("holdout"), "values")
     rows = written(rows, "labelled")
     level = alpha / max(1, rows.agg(F.count_distinct("stratum").alias("n")).first().n)
 
