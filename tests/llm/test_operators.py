@@ -333,6 +333,33 @@ def test_main_text_of_other_page_shapes() -> None:
     assert html_text.main_text(deep).split("\n\n", 2) == ["Start.", "Low.", plain]
 
 
+def test_pages_as_a_table(spark: SparkSession) -> None:
+    long = "<article>" + "<p>Words, and words, and many more words, so that it is an article.</p>" * 2000 + "</article>"
+    rows = [(1, "u", None, "x"), (1, "u", "", "x"), (None, None, "plain", "x"), (2, "v", long, "x"), (2, "v", long, "x")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
+    found = html_text.extract(pages)
+    assert found.columns == ["page_id", "url", "text", "n_chars"]
+    said = "\n\n".join(["Words, and words, and many more words, so that it is an article."] * 2000)
+    assert Counter(map(tuple, found.collect())) == Counter([(1, "u", "", 0)] * 2 + [(None, None, "plain", 5)] + [(2, "v", said, len(said))] * 2)
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_packs_are_filled_shortest_first() -> None:
+    rng = random.Random(2)
+    for _ in range(20):
+        histogram = Counter(rng.choice((rng.randint(1, 30), rng.randint(1, 100), 100)) for _ in range(200))
+        packs: list[list[int]] = []
+        for length in sorted(histogram.elements(), reverse=True):
+            least = min(packs, key=sum, default=None)
+            if least is None or sum(least) + length > 100:
+                packs.append([length])
+            else:
+                least.append(length)
+        found = packing.patterns(histogram, 100)
+        assert Counter({tuple(p): 0 for _, p in found}).keys() and sum((Counter({x: c * p.count(x) for x in set(p)}) for c, p in found), Counter()) == histogram
+        assert all(sum(p) <= 100 for _, p in found) and abs(sum(c for c, _ in found) - len(packs)) <= max(1, len(packs) // 50)
+
+
 APPLIED = {
     "pii": lambda d, x: pii.replaced(d, "k"), "sharding": lambda d, x: sharding.shard(d), "rules": quality_rules.judge, "lm": lambda d, x: masked_lm.likelihoods(d), "neardup": lambda d, x: neardup.classes(d),
     "decontaminate": lambda d, x: decontaminate.search(decontaminate.build_index(d), x.select(F.col("doc_id").alias("item_id"), F.lit("a b c").alias("text"))), "pack": lambda d, x: packing.pack(d, TOKENIZER), "classifier": classifier.classify,
