@@ -14,11 +14,42 @@ def unpivoted(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -
     return df.select(*keep, F.explode(cells).alias("x")).select(*keep, "x.*")
 
 
-def described(df: DataFrame, columns: Sequence[str], quantiles: Sequence[float] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
-    """Per column: rows, missing, distinct, extremes, mean, deviation and exact quantiles."""
-    aggs = [F.count("*").alias("n_rows"), F.sum(F.col("value").isNull().cast("bigint")).alias("n_missing"), F.count_distinct("value").alias("n_distinct"), F.min("value").alias("lowest"), F.max("value").alias("highest"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("deviation")]
-    aggs += [F.percentile("value", F.lit(q)).alias(f"p{round(100 * q):02d}") for q in quantiles]
-    return unpivoted(df, columns).groupBy("column").agg(*aggs)
+def quantiles(counts: DataFrame, on: Sequence[str], value: str, n: str, levels: Sequence[float], parts: int = 64) -> DataFrame:
+    """(on..., name of each level): exact quantiles, interpolated between ranks, of the values that ``counts`` holds n times each.
+
+    Values are dealt over parts of about equal size by edges from a sketch, and only the parts in which a wanted rank falls
+    are put in order, each in a task of its own; so no task holds all values of a key.
+    """
+    known = counts.filter(F.col(value).isNotNull())
+    edges = known.groupBy(*on).agg(F.percentile_approx(value, F.array(*(F.lit(k / parts) for k in range(1, parts))), 1000).alias("_edges"))
+    same = F.lit(True)
+    for i, c in enumerate(on):
+        edges = edges.withColumnRenamed(c, f"_k{i}")
+        same &= F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    dealt = known.join(edges, same).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(value)))).select(*on, "_part", F.col(value).alias("_v"), F.col(n).alias("_m"))
+    sums = dealt.groupBy(*on, "_part").agg(F.sum("_m").alias("_size"))
+    whole = Window.partitionBy(*on)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_size").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_size").over(whole))
+    at = F.explode(F.array(*(F.struct(F.lit(i).alias("level"), (F.lit(float(q)) * (F.col("_all") - 1)).alias("place")) for i, q in enumerate(levels))))
+    wanted = sums.select("*", at.alias("_x")).withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_x.place"), F.ceil("_x.place")))))
+    wanted = wanted.filter("_rank >= _before AND _rank < _before + _size").select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(on)), F.col("_part").alias("_p"), F.col("_rank").cast("bigint").alias("_rank"), (F.col("_rank") - F.col("_before")).alias("_inside"), "_x.level", "_x.place")
+    needed = wanted.select(*(f"_k{i}" for i in range(len(on))), "_p").distinct()
+    here = F.col("_part") == F.col("_p")
+    ordered = dealt.join(needed, same & here, "left_semi").withColumn("_upto", F.sum("_m").over(Window.partitionBy(*on, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    found = ordered.join(wanted, same & here & (F.col("_inside") < F.col("_upto")) & (F.col("_inside") >= F.col("_upto") - F.col("_m")))
+    both = found.groupBy(*on, "level", "place").agg(F.min_by("_v", "_rank").alias("_low"), F.max_by("_v", "_rank").alias("_high"))
+    line = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("place") - F.floor("place"))
+    return both.groupBy(*on).agg(*(F.max(F.when(F.col("level") == i, line)).alias(f"p{round(100 * q):02d}") for i, q in enumerate(levels)))
+
+
+def described(df: DataFrame, columns: Sequence[str], levels: Sequence[float] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
+    """Per column: rows, missing, distinct, extremes, mean, deviation and exact quantiles, from one pass and counts by value."""
+    one = {"n_rows": lambda c: F.count("*"), "n_missing": lambda c: F.count_if(c.isNull()), "lowest": F.min, "highest": F.max, "mean": F.avg, "deviation": F.stddev_samp}
+    row = df.agg(F.array(*(F.struct(F.lit(c).alias("column"), *(f(F.col(c).cast("double")).alias(n) for n, f in one.items())) for c in columns)).alias("x"))
+    counts = unpivoted(df, columns).filter("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
+    distinct = counts.groupBy("column").agg(F.count("*").alias("n_distinct"))
+    out = row.select(F.inline("x")).join(F.broadcast(distinct), "column", "left").join(F.broadcast(quantiles(counts, ["column"], "value", "n", levels)), "column", "left")
+    return out.withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
