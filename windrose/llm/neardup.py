@@ -31,8 +31,8 @@ from windrose.llm.common import map_arrow, mix, prefix_sums, span_hash, text_chu
 SHINGLE, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8, a pair shares a bucket with probability 0.9993.
 BANDS, BAND_ROWS = 24, 6
-#: Members of a pivot that are verified in one place.
-SALTED_MEMBERS = 250
+#: Members of a pivot that are verified in one place, and places that learn how many a large pivot has.
+SALTED_MEMBERS, SUBS = 250, 16
 #: Members of a bucket, and bytes of their packed shingles, that make a block; any two blocks of a bucket meet.
 BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Shingles that one product of matrices takes; by how much its 32-bit sums may be off.
@@ -152,8 +152,10 @@ def salted(pairs: DataFrame) -> DataFrame:
     """``pairs`` with a salt that splits the members of a pivot; written."""
     pairs = written(pairs, "pairs")
     sizes = pairs.groupBy("pivot").agg((F.count("*") / SALTED_MEMBERS).cast("bigint").alias("n")).filter("n > 0")
+    #: The counts of large pivots, which are few, go to several places each, so that their members need not meet for them.
+    sizes = sizes.withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(SUBS - 1))))
     own = F.pmod(F.xxhash64("node", "pivot"), F.coalesce("n", F.lit(0)) + 1)
-    return pairs.join(sizes, "pivot", "left").select("pivot", "node", own.alias("salt"))
+    return pairs.withColumn("sub", F.pmod(F.xxhash64("node"), F.lit(SUBS)).cast("int")).join(sizes, ["pivot", "sub"], "left").select("pivot", "node", own.alias("salt"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
