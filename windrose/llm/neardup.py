@@ -355,3 +355,21 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     once = out.join(kept.filter(kept["_n"] == 1), on, "left_semi").unionByName(docs.filter(docs["text"].isNull()))
     again = kept.filter(kept["_n"] > 1)
     return once if again.isEmpty() else once.unionByName(out.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+#: The same rows; on large tables it would take too much memory.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+n AS (SELECT *, dense_rank() OVER (ORDER BY CASE WHEN len(w) > 0 THEN 'w' || array_to_string(w, ' ') ELSE 't' || text END) AS node FROM d),
+s AS (SELECT node, any_value(w) AS w FROM n WHERE len(w) > 0 GROUP BY node),
+g AS (SELECT node, x, count(*)::DOUBLE AS c FROM (SELECT node, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS x FROM s) GROUP BY 1, 2),
+t AS (SELECT node, x, c, c / sum(c) OVER (PARTITION BY node) AS share FROM g),
+p AS (SELECT a.node AS i, b.node AS j, sum(a.share) AS p, sum(b.share) AS q FROM t a JOIN t b ON a.x = b.x AND a.node < b.node GROUP BY 1, 2),
+z AS (SELECT i, j, x, sum(a) AS a, sum(b) AS b FROM (SELECT i, j, x, c AS a, 0 AS b FROM p JOIN t ON node = i WHERE p * q / (q + (1 - q) * p) >= 0.799999 UNION ALL SELECT i, j, x, 0, c FROM p JOIN t ON node = j WHERE p * q / (q + (1 - q) * p) >= 0.799999) GROUP BY 1, 2, 3),
+e AS (SELECT i, j FROM (SELECT y.i, y.j, y.x, sum(greatest(z.a / y.a, z.b / y.b)) AS below FROM z y JOIN z ON y.i = z.i AND y.j = z.j WHERE y.a > 0 AND y.b > 0 GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING sum(1 / below) >= 0.8 - 1e-12),
+l AS (SELECT i, j FROM e UNION ALL SELECT j, i FROM e),
+r AS (SELECT node, node AS other FROM (SELECT DISTINCT node FROM n) UNION SELECT r.node, l.j FROM r JOIN l ON r.other = l.i),
+k AS (SELECT node, min(other) AS label FROM r GROUP BY 1),
+c AS (SELECT label, min(doc_id) AS class_id, count(*) AS class_size FROM n JOIN k USING (node) GROUP BY 1)
+SELECT doc_id, class_id, class_size FROM n JOIN k USING (node) JOIN c USING (label) UNION ALL SELECT doc_id, doc_id, 1 FROM documents WHERE text IS NULL
+"""

@@ -70,4 +70,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_histogram_sort": sharding.SQL, "op7_decontamination": decontaminate.SQL}
+    return {"op2_histogram_sort": sharding.SQL, "op5_probminhash": neardup.SQL, "op6_suffix_dedup": suffix_dedup.SQL, "op7_decontamination": decontaminate.SQL}

@@ -197,3 +197,16 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     known = blocks.join(first, "block", "left")
     second = answered(map_arrow(known, remaining, SENT))
     return map_arrow(known.join(second.withColumnRenamed("replies", "more"), "block", "left"), cut, RESULT)
+
+
+#: The same rows; on large tables it would take too much memory.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT r, i, hash(b[i + 1 : i + 400]) AS k FROM (SELECT r, b, unnest(range(0, n - 399)) AS i FROM d)),
+m AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+g AS (SELECT r, i, sum(CASE WHEN gap <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS g FROM m),
+s AS (SELECT r, min(i) AS low, max(i) + 400 AS high FROM g GROUP BY r, g),
+c AS (SELECT r, low, high, lag(high, 1, 0) OVER (PARTITION BY r ORDER BY low) AS before FROM s),
+k AS (SELECT r, sum(high - low)::BIGINT AS gone, count(*) AS spans, string_agg(hex(b[before + 1 : low]), '' ORDER BY low) || hex(any_value(b)[max(high) + 1 : ]) AS kept FROM c JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(CASE WHEN k.r IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
