@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrose.functions.clean import clipped
+from windrose.operators.profile import quantiles
 
 
 def filled_both_ways(df: DataFrame, on: Sequence[str], order_by: Sequence[str], column: str, name: str) -> DataFrame:
@@ -20,14 +21,18 @@ def filled_both_ways(df: DataFrame, on: Sequence[str], order_by: Sequence[str],
 
 
 def interpolated(df: DataFrame, on: Sequence[str], order_by: Sequence[str], column: str, name: str) -> DataFrame:
-    """Linear by row number between known neighbours; at the ends the nearest known value; else the median of all."""
+    """Linear by row number between known neighbours; at the ends the nearest known value; else the median of all.
+
+    A key with any known value has no gap left for its own median to fill, so that step has nothing to do.
+    """
     w = Window.partitionBy(*on).orderBy(*order_by)
     df = df.withColumn("_i", F.row_number().over(w))
     at = F.when(F.col(column).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(column).alias("v")))
     df = df.withColumn("_p", F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
     share = F.try_divide((F.col("_i") - F.col("_p.i")).cast("double"), (F.col("_n.i") - F.col("_p.i")).cast("double"))
     line = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * share
-    median = df.agg(F.percentile(column, F.lit(0.5)).alias("_median"))
+    counts = df.groupBy(F.col(column).alias("_value")).agg(F.count("*").alias("_n"))
+    median = quantiles(counts, [], "_value", "_n", [0.5]).withColumnRenamed("p50", "_median")
     out = df.withColumn(name, F.coalesce(F.col(column), line, F.col("_p.v"), F.col("_n.v"))).join(F.broadcast(median), F.lit(True), "left")
     return out.withColumn(name, F.coalesce(name, "_median")).drop("_i", "_p", "_n", "_median")
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from windrose.operators.profile import with_below
+
 
 def majority(votes: Sequence[Column], conflict: str = "CONFLICT") -> Column:
     """What at least two of three raters say."""
@@ -36,8 +38,7 @@ def class_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def auc(df: DataFrame, truth: str, score: str, on: Sequence[str] = ()) -> DataFrame:
     """Area under the curve by ranks, ties averaged; null with one class only. Ranks come from counts by score."""
     counts = df.filter(F.col(score).isNotNull()).groupBy(*on, score).agg(F.sum(F.col(truth).cast("bigint")).alias("pos"), F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*on).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank", below + (F.col("n") + 1) / 2)
+    ranked = with_below(counts, on, score, "n").withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy(*on).agg(F.sum(F.col("rank") * F.col("pos")).alias("ranks"), F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     pos, neg = F.col("pos").cast("double"), (F.col("n") - F.col("pos")).cast("double")
     return sums.select(*on, F.try_divide(F.col("ranks") - pos * (pos + 1) / 2, pos * neg).alias("auc"))

@@ -14,22 +14,47 @@ def unpivoted(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -
     return df.select(*keep, F.explode(cells).alias("x")).select(*keep, "x.*")
 
 
-def quantiles(counts: DataFrame, on: Sequence[str], value: str, n: str, levels: Sequence[float], parts: int = 64) -> DataFrame:
-    """(on..., name of each level): exact quantiles, interpolated between ranks, of the values that ``counts`` holds n times each.
+def _same(on: Sequence[str]) -> Column:
+    """The keys equal those that go by the names _k0, _k1, ...; nulls are equal."""
+    out = F.lit(True)
+    for i, c in enumerate(on):
+        out &= F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return out
 
-    Values are dealt over parts of about equal size by edges from a sketch, and only the parts in which a wanted rank falls
-    are put in order, each in a task of its own; so no task holds all values of a key.
-    """
+
+def in_parts(counts: DataFrame, on: Sequence[str], value: str, n: str, parts: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(on..., _part, _v, _m): the known values dealt over parts in order, by edges from a sketch; and each part's size with
+    what lies ``_before`` it and the size of ``_all``. So no task has to hold or order all values of a key."""
     known = counts.filter(F.col(value).isNotNull())
     edges = known.groupBy(*on).agg(F.percentile_approx(value, F.array(*(F.lit(k / parts) for k in range(1, parts))), 1000).alias("_edges"))
-    same = F.lit(True)
     for i, c in enumerate(on):
         edges = edges.withColumnRenamed(c, f"_k{i}")
-        same &= F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    dealt = known.join(edges, same).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(value)))).select(*on, "_part", F.col(value).alias("_v"), F.col(n).alias("_m"))
-    sums = dealt.groupBy(*on, "_part").agg(F.sum("_m").alias("_size"))
+    dealt = known.join(edges, _same(on)).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges", *(f"_k{i}" for i in range(len(on)))).withColumnRenamed(value, "_v").withColumnRenamed(n, "_m")
     whole = Window.partitionBy(*on)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_size").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_size").over(whole))
+    before = F.coalesce(F.sum("_size").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = dealt.groupBy(*on, "_part").agg(F.sum("_m").alias("_size")).withColumn("_before", before).withColumn("_all", F.sum("_size").over(whole))
+    return dealt, sums
+
+
+def with_below(counts: DataFrame, on: Sequence[str], value: str, n: str) -> DataFrame:
+    """``counts`` of known values with ``below``: how many rows of the key have a smaller value."""
+    dealt, sums = in_parts(counts, on, value, n)
+    for i, c in enumerate(on):
+        sums = sums.withColumnRenamed(c, f"_k{i}")
+    sums = sums.select(*(f"_k{i}" for i in range(len(on))), F.col("_part").alias("_p"), "_before")
+    inside = Window.partitionBy(*on, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumn("_inside", F.coalesce(F.sum("_m").over(inside), F.lit(0))).join(sums, _same(on) & (F.col("_part") == F.col("_p")))
+    rest = [c for c in counts.columns if c not in (*on, value, n)]
+    return out.select(*on, F.col("_v").alias(value), F.col("_m").alias(n), *rest, (F.col("_before") + F.col("_inside")).alias("below"))
+
+
+def quantiles(counts: DataFrame, on: Sequence[str], value: str, n: str, levels: Sequence[float]) -> DataFrame:
+    """(on..., name of each level): exact quantiles, interpolated between ranks, of the values that ``counts`` holds n times each.
+
+    Only the parts in which a wanted rank falls are put in order, each in a task of its own.
+    """
+    dealt, sums = in_parts(counts, on, value, n)
+    same = _same(on)
     at = F.explode(F.array(*(F.struct(F.lit(i).alias("level"), (F.lit(float(q)) * (F.col("_all") - 1)).alias("place")) for i, q in enumerate(levels))))
     wanted = sums.select("*", at.alias("_x")).withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_x.place"), F.ceil("_x.place")))))
     wanted = wanted.filter("_rank >= _before AND _rank < _before + _size").select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(on)), F.col("_part").alias("_p"), F.col("_rank").cast("bigint").alias("_rank"), (F.col("_rank") - F.col("_before")).alias("_inside"), "_x.level", "_x.place")

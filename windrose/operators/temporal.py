@@ -34,11 +34,13 @@ def asof(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, rig
     before = Window.partitionBy(*keys).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_here", F.last("_found", ignorenulls=True).over(before))
     if bucket:
-        last = both.groupBy(*keys).agg(F.max_by("_found", F.when(F.col("_found").isNotNull(), F.struct("_t", "_side", "_tie"))).alias("_last"))
-        earlier = Window.partitionBy(*on).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-        carried = last.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
-        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-        out = out.filter("_row IS NOT NULL").join(carried, same, "left").withColumn("_here", F.coalesce("_here", "_carried"))
+        #: The last row of a stretch serves the stretches up to the next one that has any; the last of all, those after it.
+        last = r.withColumn("_stretch", stretch).groupBy(*keys).agg(F.max_by("_found", F.struct("_t", "_side", "_tie")).alias("_last"))
+        spans = last.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(on)), F.col("_stretch").alias("_from"), F.lead("_stretch").over(Window.partitionBy(*on).orderBy("_stretch")).alias("_to"), "_last")
+        between = spans.filter("_to IS NOT NULL").select(*(f"_k{i}" for i in range(len(on))), F.explode(F.sequence(F.col("_from") + 1, F.col("_to"))).alias("_at"), F.col("_last").alias("_carried"))
+        after = spans.filter("_to IS NULL").select(*(F.col(f"_k{i}").alias(f"_j{i}") for i in range(len(on))), F.col("_from").alias("_end"), F.col("_last").alias("_final"))
+        out = out.filter("_row IS NOT NULL").join(between, [*(F.col(k) == F.col(f"_k{i}") for i, k in enumerate(on)), F.col("_stretch") == F.col("_at")], "left")
+        out = out.join(after, [*(F.col(k) == F.col(f"_j{i}") for i, k in enumerate(on)), F.col("_stretch") > F.col("_end")], "left").withColumn("_here", F.coalesce("_here", "_carried", "_final"))
     usable = F.col("_t").isNotNull()
     for k in on:
         usable &= F.col(k).isNotNull()
