@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -64,3 +65,17 @@ def dropped(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]
     """``df`` without the columns of exactly these names, and the names that it had."""
     present = [c for c in columns if c in df.columns]
     return df.drop(*present), present
+
+
+def found_column(columns: Sequence[str], wanted: Sequence[str]) -> str | None:
+    """The column that one of the names means: the same but for case and signs, else the first that holds one."""
+    plain = lambda name: re.sub("[^a-z0-9]", "", name.lower())
+    names = [plain(w) for w in wanted]
+    same = (c for w in names for c in columns if plain(c) == w)
+    holding = (c for w in names for c in columns if w in plain(c))
+    return next(same, None) or next(holding, None)
+
+
+def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """``df`` with every named column; where it is absent or null, its default."""
+    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(v)) if c in df.columns else F.lit(v) for c, v in defaults.items()})

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from windrose.functions import rules, times
+from windrose.functions import clean, rules, times
 from windrose.operators import flights as repair
 from windrose.plans.flight_queries import FLIGHTS, flights
 from windrose.plans.temporal_queries import events
 from windrose.registry import register
+from windrose.sources.pages import aircraft_and_tail, term_value
+from windrose.sources.pages import board_rows as html_rows
+from windrose.sources.pages import detail_fields as panel_fields
+from windrose.sources.pages import history_rows as table_rows
 
 COLUMNS = ["flight_no", "tail", "actual", "scheduled", "runway"]
 PAGES = ("SGN", "HAN", "DAD")
@@ -158,3 +162,79 @@ def gate_and_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
     ruled = rules.terminal(at, u % 3 > 0, F.concat(F.when(u % 5 == 0, "VJ").otherwise("VN"), u.cast("string")), F.when(u % 7 == 0, "VietJet Air").otherwise("Other"))
     shown = F.when(i % 5 == 0, "—").when(i % 5 == 1, "4").when(i % 5 == 2, "Unknown")
     return events(spark, sf_dir).select("event_id", jet.alias("is_jet_bridge"), (1 - jet).alias("is_remote"), ruled.alias("ruled"), rules.shown_terminal(F.when(i % 6 == 0, "Cargo").otherwise("passenger"), shown, ruled).alias("terminal"))
+
+
+@register("board_rows", """
+SELECT user_id % 7 AS page_id, event_id, '10:0' || (event_id % 10) AS scheduled, '1' || (event_id % 3) || ':30' AS actual, 'Ha Noi' AS city, 'HAN' AS iata FROM events WHERE event_id % 2 = 0
+UNION ALL SELECT user_id % 7, event_id, '1' || (event_id % 3) || ':30', '1' || (event_id % 3) || ':30', NULL, NULL FROM events WHERE event_id % 2 = 1""")
+def board_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boards of many rows: a struck-out time is the scheduled one, else both are the same."""
+    i = F.col("event_id")
+    struck = F.when(i % 2 == 0, F.format_string("<del> 10:0%d </del>", i % 10)).otherwise("")
+    place = F.when(i % 2 == 0, "<b>Ha  Noi</b> (HAN)").otherwise("somewhere")
+    row = F.concat(F.lit("<TR class='x'><td>"), struck, F.format_string("1%d:30</td><td>", i % 3), place, F.lit("</td><td>"), i.cast("string"), F.lit("</td></tr>"))
+    pages = events(spark, sf_dir).groupBy((F.col("user_id") % 7).alias("page_id")).agg(F.concat(F.lit("<table><tr><th>Time</th></tr>"), F.array_join(F.collect_list(row), "\n"), F.lit("</table>")).alias("html"))
+    return html_rows(pages).select("page_id", F.get("cells", F.lit(2)).cast("bigint").alias("event_id"), "scheduled", "actual", "city", "iata")
+
+
+@register("history_rows", """
+SELECT user_id % 7 AS page_id, event_id::VARCHAR AS flight, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'B78X' END AS aircraft, CASE WHEN event_id % 5 IN (0, 1) THEN NULL ELSE 'VN-A' || (event_id % 9) END AS tail, CASE WHEN event_id % 4 > 0 THEN '10:00' END AS std FROM events""")
+def history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    plane = F.when(i % 5 == 0, "—").when(i % 5 == 1, "B78X").otherwise(F.format_string("B78X (<a>VN-A%d</a>)", i % 9))
+    row = F.concat(F.lit('<tr class=" data-row x"><td>'), i.cast("string"), F.lit("</td><td>"), plane, F.lit("</td><td>"), F.when(i % 4 == 0, "—").otherwise("10:00"), F.lit("</td></tr><tr class='note'><td>no row</td></tr>"))
+    pages = events(spark, sf_dir).groupBy((F.col("user_id") % 7).alias("page_id")).agg(F.array_join(F.collect_list(row), "").alias("html"))
+    found = table_rows(pages, {"flight": 0, "plane": 1, "std": 2})
+    aircraft, tail = aircraft_and_tail(F.col("plane"))
+    return found.select("page_id", "flight", aircraft.alias("aircraft"), tail.alias("tail"), "std")
+
+
+@register("detail_fields", """
+SELECT event_id, event_type AS category, 'VN' || user_id AS flight, CASE WHEN event_id % 3 > 0 THEN 'VN-A' || user_id END AS tail, CASE WHEN event_id % 2 = 0 THEN '3' END AS terminal FROM events""")
+def detail_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panels of a tracking site: values of terms, texts of elements, the terminal after its term."""
+    i = F.col("event_id")
+    body = F.concat(
+        F.lit('<div><dl data-testid="item__category"><dt>Category</dt><dd> '), F.col("event_type"), F.lit('</dd></dl><dl class="a" data-testid="item__flight"><dt>Flight</dt><dd>VN'), F.col("user_id").cast("string"), F.lit("</dd></dl>"),
+        F.when(i % 3 > 0, F.concat(F.lit('<a href="#" data-testid="item__registration">VN-A'), F.col("user_id").cast("string"), F.lit("</a>"))).otherwise(""), F.when(i % 2 == 0, "<dl><dt>Terminal (T)</dt> <dd>3</dd></dl>").otherwise(""), F.lit("</div>"),
+    )
+    rows = events(spark, sf_dir).select("event_id", body.alias("html"))
+    found = panel_fields(F.col("html"), {"category": "item__category", "flight": "item__flight", "tail": "item__registration"})
+    return rows.select("event_id", *(c.alias(n) for n, c in found.items()), term_value(F.col("html"), "Terminal").alias("terminal"))
+
+
+@register("schema_completion", """
+SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '25R' END AS runway, strftime(ts, '%H:%M') AS scheduled_time, CAST(NULL AS VARCHAR) AS gate FROM events""")
+def schema_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An older name is taken over, missing columns come as null, invalid runways too, unwanted columns go."""
+    rows = events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 4 == 0, " 25r").otherwise("99X").alias("runway"), F.date_format("ts", "HH:mm").alias("flight_time"), "value")
+    rows = clean.completed(rows, ["scheduled_time", "gate"], {"flight_time": "scheduled_time"})
+    rows, gone = clean.dropped(rows, ["value", "Runway"])
+    return rows.withColumn("runway", clean.valid_or_null(F.col("runway"), clean.RUNWAY)) if gone == ["value"] else rows
+
+
+@register("audit_removals", FLIGHTS + """,
+bad AS (SELECT airport, row_id FROM flights WHERE row_id % 11 = 0)
+SELECT f.row_id, f.airport, CASE f.airport WHEN 'SGN' THEN 'south' WHEN 'HAN' THEN 'north' END AS region, coalesce(f.tail, 'A' || (f.row_id % 5)) AS tail FROM flights f WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.airport = f.airport AND bad.row_id = f.row_id) AND f.airport IN ('SGN', 'DAD') AND f.mode = 'arrival'""")
+def audit_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that an audit names go, a choice of airports and mode stays, a lookup names regions, an imputed table fills gaps."""
+    rows = flights(spark, sf_dir)
+    gone = rows.filter("row_id % 11 = 0").select("airport", "row_id")
+    imputed = rows.select("row_id", F.concat(F.lit("A"), (F.col("row_id") % 5).cast("string")).alias("imputed_tail"))
+    kept = rows.join(gone, ["airport", "row_id"], "left_anti").filter(F.col("airport").isin("SGN", "DAD") & (F.col("mode") == "arrival"))
+    return kept.join(imputed, "row_id", "left").select("row_id", "airport", rules.lookup(F.col("airport"), {"SGN": "south", "HAN": "north"}).alias("region"), F.coalesce("tail", "imputed_tail").alias("tail"))
+
+
+@register("column_lookup", """SELECT 'event_id' AS id_column, 'value' AS delay_column, CAST(NULL AS VARCHAR) AS none, (SELECT count(*) FROM events) AS n""")
+def column_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns by names that people write: the same but for case and signs, else the first that holds the name."""
+    rows = events(spark, sf_dir)
+    found = {n: clean.found_column(rows.columns, wanted) for n, wanted in (("id_column", ["Event ID"]), ("delay_column", ["minutes", "VAL"]), ("none", ["gate"]))}
+    return rows.agg(F.count("*").alias("n")).select(*(F.lit(c).cast("string").alias(n) for n, c in found.items()), "n")
+
+
+@register("master_with_defaults", """SELECT event_id, coalesce(CASE WHEN event_id % 3 > 0 THEN value END, 0.0) AS value, 'CODE_99' AS code, user_id FROM events""")
+def master_with_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A master table read with what it may lack: absent columns and nulls take their defaults."""
+    rows = events(spark, sf_dir).select("event_id", "user_id", F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("value"))
+    return clean.with_defaults(rows, {"value": 0.0, "code": "CODE_99"}).select("event_id", "value", "code", "user_id")

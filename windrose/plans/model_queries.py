@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from windrose.functions.rules import standard_turnaround
 from windrose.functions.times import daypart, is_peak, minutes_between
 from windrose.operators import learning, metrics
 from windrose.plans.flight_queries import FLIGHTS, flights
+from windrose.plans.source_queries import folder
 from windrose.registry import register
 
 SPLIT = "2024-01-02 06:00:00"
@@ -69,3 +71,16 @@ def model_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of each feature set and model on the later flights; trees and descent have no form in SQL."""
     train, test = _halves(spark, sf_dir)
     return learning.ablation(train.cache(), test.cache(), FEATURE_SETS, ["median", "ridge", "forest", "boosted_absolute"])
+
+
+@register("model_round_trip", FLIGHTS + f"""
+SELECT count(*) AS n, 0::BIGINT AS n_differing FROM flights WHERE mode = 'departure' AND actual IS NOT NULL AND scheduled IS NOT NULL AND scheduled >= TIMESTAMP '{SPLIT}'""")
+def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fitted pipeline written to the shared folder and read again predicts the same."""
+    train, test = _halves(spark, sf_dir)
+    path = folder(spark)
+    model = learning.fitted(train, "ridge", NUMBERS, WORDS)
+    model.write().save(path)
+    first = learning.predicted(model, test).select("row_id", F.col("prediction").alias("a"))
+    again = learning.predicted(PipelineModel.load(path), test).select("row_id", F.col("prediction").alias("b"))
+    return first.join(again, "row_id").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("a") - F.col("b")) > 1e-9).alias("n_differing"))
