@@ -138,4 +138,4 @@ def autocorrelations(df: DataFrame, order: Sequence[str], column: str, lags: int
 
 def sampled(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """The n rows with the smallest keyed hash."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)

@@ -192,7 +192,7 @@ def wind_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy(rules.sector(F.get_json_object("props", "$.k").cast("int") * 22.5).alias("sector")).agg(F.count("*").alias("n"))
 
 
-@register("seeded_sample")
+@register("seeded_sample", "SELECT event_id, event_type, value FROM events ORDER BY md5('42|' || event_id), event_id LIMIT 200")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sampling operator: its limit is the feature."""
     return profile.sampled(events(spark, sf_dir).select("event_id", "event_type", "value"), "event_id", 200)
