@@ -39,7 +39,7 @@ def test_stages_on_odd_rows(spark: SparkSession, tmp_path: Path) -> None:
     kept = stages["pii"](spark, kept, str(tmp_path))
     texts = {(r.doc_id, r.n_chars): r.text for r in kept.collect()}
     assert kept.columns == docs.columns and all(n == len(t) for (_, n), t in texts.items()) and not any("jo.doe" in t for t in texts.values())
-    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    packed = stages["packing"](spark, kept, str(tmp_path)).collect()
     assert Counter(r.doc_id for r in packed) == Counter(i for i, _ in expected if i != 10)
 
 
