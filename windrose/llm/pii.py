@@ -60,6 +60,9 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{Lu}}г])(?:(?:{_ANY_TITLE})\.?\s{_TOKEN}(?:[ -]{_TOKEN}){{0,2}}|(?:{_ANY_GIVEN})(?:[ -](?:{_ANY_GIVEN})(?![\p{{L}}\p{{N}}])){{0,3}}(?:[ -]{_TOKEN}){{0,2}}(?![\p{{L}}\p{{N}}]))",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What only secrets and names can do without: a digit, an at sign, a colon, or the hyphens of a network card's address.
+GUARD = r"[0-9@:]|(?:-[A-Fa-f]{2}){5}"
+UNGUARDED = "|".join(f"(?:{PATTERNS[k]})" for k in ("secret", "name"))
 #: Stands at both ends of a mention while a text is cut; texts that hold it are cut another way.
 MARK = "\x01"
 _LATIN, _HEX = "abcdefghijklmnopqrstuvwxyz", "abcdef"
@@ -145,7 +148,8 @@ def surrogate(kind: Column, canonical: Column, attempt: int, stream: Column, key
 
 def marked(inside: Column) -> Column:
     """The text cut at its mentions: texts between mentions at even places, mentions at odd ones."""
-    cut = F.split(F.regexp_replace(inside, PATTERN, f"{MARK}$0{MARK}"), MARK, -1)
+    short, whole = (F.regexp_replace(inside, p, f"{MARK}$0{MARK}") for p in (UNGUARDED, PATTERN))
+    cut = F.split(F.when(inside.rlike(GUARD), whole).otherwise(short), MARK, -1)
     pieces, matches = F.split(inside, PATTERN, -1), F.regexp_extract_all(inside, F.lit(PATTERN), F.lit(0))
     slow = F.flatten(F.transform(pieces, lambda p, i: F.when(i < F.size(matches), F.array(p, F.get(matches, i))).otherwise(F.array(p))))
     return F.when(inside.contains(MARK), slow).otherwise(cut)
