@@ -156,6 +156,24 @@ def test_masked_lm_prefers_learnt_order(spark: SparkSession) -> None:
     assert rows[320].n_words == 0 and rows[320].log_likelihood == 0
 
 
+def test_masked_lm_within_classes(spark: SparkSession) -> None:
+    rng = random.Random(6)
+    heads, tails = prose(1, 150).split(), prose(2, 150).split()
+    lines = [" ".join(x for k in rng.sample(range(150), 12) for x in (("red" if k % 2 else "blue"), heads[k], tails[k])) for _ in range(200)]
+    texts = frame(spark, lines).select("text")
+    vocabulary = masked_lm.Vocabulary(masked_lm.bucket_counts(texts))
+    counts = masked_lm.neighbour_counts(texts.repartition(5), vocabulary)
+    for side in (0, 1):
+        assert counts[side].sum() == sum(len(x.split()) for x in lines)
+    assert (counts == masked_lm.neighbour_counts(texts.repartition(40), vocabulary)).all()
+    found = masked_lm.Neighbours(counts, vocabulary)
+    for c in (3, 50, 60, 63):
+        members = np.flatnonzero(vocabulary.class_of == c)
+        for left, right in ((0, 1), (64, 7), (55, 64)):
+            p = np.exp(vocabulary.log_share[members] + found.of(members, np.full(len(members), c), np.full(len(members), left), np.full(len(members), right)))
+            assert p.sum() == pytest.approx(1, abs=1e-3)
+
+
 def test_masked_lm_trains_on_every_word(spark: SparkSession) -> None:
     texts = frame(spark, ["one two three four", "five", "six seven"] * 20).select("text")
     assert not np.array_equal(masked_lm.train(texts, masked_lm.Vocabulary(masked_lm.bucket_counts(texts))).flat, masked_lm.Network.drawn().flat)

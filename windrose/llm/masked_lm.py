@@ -2,8 +2,10 @@
 
 Words are hashed into buckets; the buckets' counts over the whole corpus put the most frequent ones into classes of their
 own and the others into classes of about equal weight. A window network, trained here, predicts the class of every word
-from the classes of the ``WINDOW`` words on either side; within its class a bucket has its share of the counts. A
-document's score is the sum of these conditional log-probabilities over all its words, and their mean.
+from the classes of the ``WINDOW`` words on either side. Within its class a bucket is predicted from both sides too: its
+share of the counts times how much more often than the class it stands beside the classes that are next to it on the left
+and on the right, divided by the sum of that over the class. A document's score is the sum of these conditional
+log-probabilities over all its words, and their mean.
 
 Training runs data-parallel over all documents. Every word is masked in exactly one of the ``ROUNDS`` rounds, dealt by
 its position and the words of its text. In each round a task starts from the common weights and takes minibatch steps over
@@ -20,15 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrose.llm.common import map_arrow, mix, text_chunks, words
+from windrose.llm.common import map_arrow, mix, text_chunks, words, written
 
 BUCKETS, CLASSES, OWN = 1 << 16, 64, 48
 WINDOW, HIDDEN = 3, 24
 ROUNDS, BATCH = 2, 4096
 RATE, SEED = 0.01, 7
+#: Parts of the table of neighbours, tables added up in one place, and words that the class's neighbours count for.
+PARTS, FAN, PRIOR = 64, 32, 20.0
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 
 
@@ -144,6 +150,71 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def beside(classes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The class on the left and on the right of every word; CLASSES where the text has ended."""
+    out = np.full((2, len(row)), CLASSES, np.int64)
+    inside = np.flatnonzero(row[1:] == row[:-1])
+    out[0, inside + 1], out[1, inside] = classes[inside], classes[inside + 1]
+    return out
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(counts.tobytes())
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """One row with the sum of the counts of a part."""
+    total = sum(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64) for x in table.column("counts").to_pylist())
+    return pa.table({"part": table.column("part").slice(0, 1), "task": table.column("task").slice(0, 1), "counts": pa.array([_packed(total)], pa.binary())})
+
+
+def neighbour_counts(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """[side, bucket, class]: how often each class stands on the left (0) and right (1) of a bucket."""
+    known, schema = texts.sparkSession.sparkContext.broadcast(vocabulary), "part int, task bigint, counts binary"
+    size = BUCKETS * (CLASSES + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, size), np.int64)
+        for batch in batches:
+            for _, _, bucket, row in _bucketed(batch):
+                for side, classes in enumerate(beside(known.value.class_of[bucket].astype(np.int64), row)):
+                    cells, times = np.unique(bucket * (CLASSES + 1) + classes, return_counts=True)
+                    counts[side, cells] += times
+        parts, task = counts.reshape(2, PARTS, -1), TaskContext.get().partitionId()
+        full = [k for k in range(PARTS) if parts[:, k].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([task] * len(full), pa.int64()), pa.array([_packed(np.ascontiguousarray(parts[:, k])) for k in full], pa.binary())], names=["part", "task", "counts"])
+
+    tables = written(texts.mapInArrow(run, schema), "neighbours")
+    n = (tables.agg(F.max("task")).first()[0] or 0) + 1
+    while n > 1:
+        tables, n = written(tables.withColumn("task", F.expr(f"task div {FAN}")).groupBy("part", "task").applyInArrow(_added, schema), "neighbours"), -(-n // FAN)
+    out = np.zeros((2, PARTS, size // PARTS), np.int64)
+    for r in tables.collect():
+        out[:, r.part] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.counts)), np.int64).reshape(2, -1)
+    return out.reshape(2, BUCKETS, CLASSES + 1)
+
+
+class Neighbours:
+    """Logs of how much likelier a bucket than its class stands beside each class, and of their sums over a class."""
+
+    def __init__(self, counts: np.ndarray, vocabulary: Vocabulary) -> None:
+        of, share = vocabulary.class_of, np.exp(vocabulary.log_share)
+        self.log_ratio = np.zeros(counts.shape, np.float16)
+        self.log_sum = np.zeros((CLASSES, CLASSES + 1, CLASSES + 1), np.float32)
+        for c in range(CLASSES):
+            members = np.flatnonzero(of == c)
+            own = counts[:, members].astype(float)
+            whole = own.sum(axis=1) + 0.5
+            usual = (whole / whole.sum(axis=1, keepdims=True))[:, None]
+            ratio = (own / usual + PRIOR) / (own.sum(axis=2, keepdims=True) + PRIOR)
+            self.log_ratio[:, members] = np.log(ratio)
+            left, right = np.exp(self.log_ratio[:, members].astype(float))
+            self.log_sum[c] = np.log((left * share[members, None]).T @ right)
+
+    def of(self, bucket: np.ndarray, classes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return self.log_ratio[0, bucket, left].astype(np.float32) + self.log_ratio[1, bucket, right] - self.log_sum[classes, left, right]
+
+
 def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Network:
     context = texts.sparkSession.sparkContext
     known, flat = context.broadcast(vocabulary), Network.drawn().flat
@@ -172,18 +243,20 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Net
     return Network(flat)
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFrame:
-    known = docs.sparkSession.sparkContext.broadcast((vocabulary, network.flat))
+def score(docs: DataFrame, vocabulary: Vocabulary, neighbours: Neighbours, network: Network) -> DataFrame:
+    known = docs.sparkSession.sparkContext.broadcast((vocabulary, neighbours, network.flat))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        vocabulary, flat = known.value
+        vocabulary, neighbours, flat = known.value
         network = Network(flat)
         for lo, hi, bucket, row in _bucketed(batch):
             classes, total = vocabulary.class_of[bucket], np.zeros(hi - lo)
+            left, right = beside(classes, row)
             for k in range(0, len(row), BATCH):
                 at = np.arange(k, min(k + BATCH, len(row)))
                 logp = network.log_probabilities(contexts(classes, row, at))[1][np.arange(len(at)), classes[at]]
-                total += np.bincount(row[at], logp + vocabulary.log_share[bucket[at]], hi - lo)
+                inner = vocabulary.log_share[bucket[at]] + neighbours.of(bucket[at], classes[at], left[at], right[at])
+                total += np.bincount(row[at], logp + inner, hi - lo)
             n = np.bincount(row, minlength=hi - lo)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array(n.astype(np.int64)), pa.array(total), pa.array(total / np.maximum(1, n))], names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
 
@@ -195,4 +268,5 @@ def likelihoods(docs: DataFrame) -> DataFrame:
     """doc_id, words, and the sum and mean of their conditional log-probabilities."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
     vocabulary = Vocabulary(bucket_counts(texts))
-    return score(docs, vocabulary, train(texts, vocabulary))
+    neighbours = Neighbours(neighbour_counts(texts, vocabulary), vocabulary)
+    return score(docs, vocabulary, neighbours, train(texts, vocabulary))
