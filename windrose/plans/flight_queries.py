@@ -90,12 +90,12 @@ a AS (SELECT w.row_id, runway, usual, reverse, orientation, iata, flight_no, coa
         CASE WHEN is_return IS NULL THEN NULL WHEN is_return THEN 'keep_return_emergency' WHEN lower(trim(category)) IN ('passenger', 'unknown', 'cargo') THEN 'drop_unmatched_same_origin' ELSE 'keep_noncommercial_same_origin' END AS action
       FROM w LEFT JOIN ret USING (row_id) WHERE mode = 'arrival'),
 b AS (SELECT *, upper(trim(coalesce(runway, CASE WHEN orientation = 'reverse' THEN reverse ELSE usual END))) AS now FROM a)
-SELECT row_id, action, is_return, round(gap, 6) AS return_gap,
+SELECT row_id, action, is_return, round(gap, 9) AS return_gap,
        CASE action WHEN 'keep_return_emergency' THEN CASE now WHEN '25R' THEN '25L' WHEN '07L' THEN '07R' WHEN '11L' THEN '11R' WHEN '29R' THEN '29L' WHEN '35L' THEN '35R' WHEN '17R' THEN '17L' ELSE now END
          WHEN 'keep_noncommercial_same_origin' THEN CASE WHEN orientation = 'reverse' THEN reverse ELSE usual END ELSE runway END AS runway,
        CASE WHEN action = 'keep_noncommercial_same_origin' THEN NULL ELSE iata END AS iata, CASE WHEN action = 'keep_noncommercial_same_origin' THEN NULL ELSE flight_no END AS flight_no FROM b""")
 def same_origin_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair.same_origin(repair.oriented(flights(spark, sf_dir))).select("row_id", "action", "is_return", F.round("return_gap", 6).alias("return_gap"), "runway", "iata", "flight_no")
+    return repair.same_origin(repair.oriented(flights(spark, sf_dir))).select("row_id", "action", "is_return", F.round("return_gap", 9).alias("return_gap"), "runway", "iata", "flight_no")
 
 
 SWAPS = """pairs AS (SELECT d.row_id, a.row_id AS arr_row, a.tail AS arr_tail, (epoch_us(a.event) - epoch_us(d.event)) / 60000000.0 AS gap, row_number() OVER (PARTITION BY d.row_id ORDER BY a.event, a.row_id) AS k,
@@ -158,13 +158,13 @@ def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("turnaround_features", FLIGHTS + "," + INCOMING + """
-SELECT row_id, prev_row, prev_arrival, prev_imputed, regexp_matches(lower(coalesce(prev_status, '')), 'divert|return|emergency')::INT AS is_diverted_prev, std AS standard_turnaround, round(arrival_delay, 6) AS arrival_delay, round_even(dd, 0)::BIGINT AS departure_delay,
-       round_even(least(720, greatest(-60, dd)), 0)::BIGINT AS target, long::INT AS is_long_ground, round_even(coalesce(buffer, 0), 0)::BIGINT AS turnaround_buffer, round(CASE WHEN NOT long THEN buffer END, 6) AS turnaround_buffer_model,
-       round_even(coalesce(greatest(0, std - raw), 0), 0)::BIGINT AS turnaround_deficit, round_even(coalesce(greatest(0, raw - std), 0), 0)::BIGINT AS turnaround_slack, round_even(stag, 0)::BIGINT AS stagnation, round(CASE WHEN NOT long THEN stag END, 6) AS stagnation_model,
-       round(coalesce(greatest(0, std - raw), 0), 6) AS tobt_deficit FROM del""")
+SELECT row_id, prev_row, prev_arrival, prev_imputed, regexp_matches(lower(coalesce(prev_status, '')), 'divert|return|emergency')::INT AS is_diverted_prev, std AS standard_turnaround, round(arrival_delay, 9) AS arrival_delay, round_even(dd, 0)::BIGINT AS departure_delay,
+       round_even(least(720, greatest(-60, dd)), 0)::BIGINT AS target, long::INT AS is_long_ground, round_even(coalesce(buffer, 0), 0)::BIGINT AS turnaround_buffer, round(CASE WHEN NOT long THEN buffer END, 9) AS turnaround_buffer_model,
+       round_even(coalesce(greatest(0, std - raw), 0), 0)::BIGINT AS turnaround_deficit, round_even(coalesce(greatest(0, raw - std), 0), 0)::BIGINT AS turnaround_slack, round_even(stag, 0)::BIGINT AS stagnation, round(CASE WHEN NOT long THEN stag END, 9) AS stagnation_model,
+       round(coalesce(greatest(0, std - raw), 0), 9) AS tobt_deficit FROM del""")
 def turnaround_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = turnaround.ground_times(_incoming(spark, sf_dir))
-    exact = [F.round(c, 6).alias(c) for c in ("arrival_delay", "turnaround_buffer_model", "stagnation_model", "tobt_deficit")]
+    exact = [F.round(c, 9).alias(c) for c in ("arrival_delay", "turnaround_buffer_model", "stagnation_model", "tobt_deficit")]
     return found.select("row_id", "prev_row", "prev_arrival", "prev_imputed", "is_diverted_prev", "standard_turnaround", *exact, "departure_delay", "target", "is_long_ground", "turnaround_buffer", "turnaround_deficit", "turnaround_slack", "stagnation")
 
 
