@@ -21,13 +21,14 @@ def as_text(columns: Sequence[str]) -> StructType:
     return StructType([StructField(c, StringType()) for c in columns])
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType | Sequence[str], words: Sequence[str] = (), header: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType | Sequence[str], words: Sequence[str] = (), header: bool = True, many_lines: bool = False) -> DataFrame:
     """CSV by a declared schema (names alone: all text); fields that are one of ``words`` are null, malformed ones too.
 
-    Columns go by place, so a byte order mark before the first name does no harm.
+    Columns go by place, so a byte order mark before the first name does no harm. ``many_lines``: fields hold line ends; such
+    files cannot be split among tasks.
     """
     wanted = schema if isinstance(schema, StructType) else as_text(schema)
-    text = spark.read.schema(as_text(wanted.fieldNames())).option("header", header).option("enforceSchema", True).option("mode", "PERMISSIVE").option("multiLine", True).option("escape", '"').csv(path if isinstance(path, str) else list(path))
+    text = spark.read.schema(as_text(wanted.fieldNames())).option("header", header).option("enforceSchema", True).option("mode", "PERMISSIVE").option("multiLine", many_lines).option("escape", '"').csv(path if isinstance(path, str) else list(path))
     known = [F.when(F.col(f"`{f.name}`").isin(*words), None).otherwise(F.col(f"`{f.name}`")) if words else F.col(f"`{f.name}`") for f in wanted.fields]
     return text.select(*(c.alias(f.name) if isinstance(f.dataType, StringType) else c.try_cast(f.dataType).alias(f.name) for c, f in zip(known, wanted.fields, strict=True)))
 
