@@ -244,6 +244,21 @@ def test_blocks_of_a_hot_bucket(spark: SparkSession, monkeypatch: pytest.MonkeyP
     assert 1 < len(set(expected)) < len(texts)
 
 
+def test_every_two_of_a_bucket_meet(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    nodes = [bytes([k]) for k in range(30)]
+    label = lambda k: nodes[0] if k < 14 else nodes[k]
+    members = spark.createDataFrame([(nodes[k], label(k), 7) for k in range(30)], "node binary, label binary, bucket bigint")
+    sets = spark.createDataFrame([(n, bytes(100)) for n in nodes], "node binary, shingles binary")
+    met = set()
+    for deal in (neardup.within_blocks, neardup.across_blocks):
+        groups: dict[tuple, list] = {}
+        for r in deal(members, neardup.mixed_buckets(members, sets)).collect():
+            groups.setdefault((r.i, r.j), []).append((bytes(r.node), r.own))
+        met |= {(a, b) for g in groups.values() for (a, x), (b, y) in combinations(sorted(g), 2) if x != y or x < 0}
+    assert {(a, b) for a, b in combinations(nodes, 2) if label(a[0]) != label(b[0])} <= met
+
+
 def test_block_links_connect_what_all_pairs_connect() -> None:
     rng = np.random.default_rng(5)
     for k in range(6):

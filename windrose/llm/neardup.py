@@ -262,8 +262,8 @@ def within_blocks(members: DataFrame, buckets: DataFrame) -> DataFrame:
 def across_blocks(members: DataFrame, buckets: DataFrame) -> DataFrame:
     """The members of the buckets in pairs of blocks (bucket, i, j), two sides each.
 
-    A bucket's most common label has met itself; blocks of the other members meet its blocks and one another. So where
-    few members are left out of a large class, that class is sent once.
+    A bucket's most common label need not meet itself; blocks of the other members meet its blocks, one another and
+    themselves (without sides). So where few members are left out of a large class, that class is sent once.
     """
     rows = members.join(buckets.filter("n > each"), "bucket")
     labels = rows.groupBy("bucket", "label").agg(F.count("*").alias("own_n"))
@@ -273,8 +273,9 @@ def across_blocks(members: DataFrame, buckets: DataFrame) -> DataFrame:
     #: Blocks of the most common label have the numbers from ``rest`` + 1 on.
     rows = rows.withColumn("own", F.when(F.col("in_top"), F.col("rest") + 1 + own).otherwise(own))
     others = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("in_top"), F.col("rest")).otherwise(F.col("rest") + 1 + F.col("last")))
-    rows = rows.withColumn("other", F.explode(F.filter(others, lambda x: x != F.col("own"))))
-    return rows.select("node", "label", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    rows = rows.withColumn("other", F.explode(others))
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
+    return rows.select("node", "label", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("own"))
 
 
 def joined_classes(dealt: DataFrame, sets: DataFrame) -> DataFrame:
