@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrose.llm import classifier, decontaminate, html_text, masked_lm, neardup, packing, pii, quality_rules, sharding, suffix_dedup
+from windrose.llm import classifier, decontaminate, html_text, masked_lm, neardup, packing, pii, quality_rules, ranked_search, sharding, spelling, suffix_dedup, token_counts
+from windrose.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -65,9 +67,24 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(spelling.damaged_words(_read(spark, sf_dir, "documents"))))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spark.windrose.token_cache names a cache that is kept; without it the run begins with an empty one of its own."""
+    cache = spark.conf.get("spark.windrose.token_cache", None) or f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), TOKENIZER, cache)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, n_docs = ranked_search.build_index(_read(spark, sf_dir, "documents"))
+    return ranked_search.search(index, n_docs, _read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii_surrogates, op2_histogram_sort, op3_quality_rules, op4_masked_lm, op5_probminhash, op6_suffix_dedup, op7_decontamination, op8_packing, op9_quality_classifier, op10_html_text)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_histogram_sort, op3_quality_rules, op4_masked_lm, op5_probminhash, op6_suffix_dedup, op7_decontamination, op8_packing, op9_quality_classifier, op10_html_text, op11_spelling_variants, op12_token_counts, op13_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_histogram_sort": sharding.SQL, "op5_probminhash": neardup.SQL, "op6_suffix_dedup": suffix_dedup.SQL, "op7_decontamination": decontaminate.SQL}
+    return {"op2_histogram_sort": sharding.SQL, "op5_probminhash": neardup.SQL, "op6_suffix_dedup": suffix_dedup.SQL, "op7_decontamination": decontaminate.SQL, "op11_spelling_variants": spelling.SQL, "op13_ranked_search": ranked_search.SQL}
