@@ -4,19 +4,22 @@ A page becomes a tree of blocks. Every paragraph gives points for its length and
 again and again, to the ancestors above; a container's points are discounted by the share of its text that lies in
 links. The best container is kept, whole with the article that it lies in; where what surrounds it is a main element or
 poor in links, so are all its siblings but lists of links, else those that score well enough or hold plain prose. Menus,
-headers, footers, forms, scripts, styles and what is hidden are never part of the tree. What only a class or id names as
-such, or as sidebar, notice, advert or comments of readers, is left out unless it holds most of the page's text and either
-an article or main element or a name of which that word is just a part; or unless nothing else is left.
+footers, forms, scripts, styles, what is hidden, and headers but those of an article are never part of the tree. What only
+a class or id names as such, or as sidebar, notice, advert or comments of readers, is left out unless it holds most of the
+page's text and either an article or main element or a name of which that word is just a part; or unless nothing else is
+left. Inside an article or main element a name counts only if all its words are of that kind, so a section on side effects
+or related work stays.
 
 A page with null or empty html, or without any text, has an empty text and 0 characters. Rows are independent: repeated
-pages repeat their result. Unclosed and stray tags are repaired as browsers do for paragraphs, list items and cells;
-text nested deeper than ``MAX_DEPTH`` stays in the block where that depth was reached, and its end tags match its own tags.
+pages repeat their result. Unclosed and stray tags are repaired as browsers do for paragraphs, list items and cells. Pages
+of any length and depth are taken whole, in time that grows with their length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +28,6 @@ from pyspark.sql import functions as F
 
 from windrose.llm.common import map_arrow
 
-MAX_DEPTH = 400
 #: Characters that give a paragraph one more point, and the most such points.
 POINT_CHARS, MOST_POINTS = 100, 3
 #: Of the best score: what a sibling needs; of a link-free sibling paragraph: the length that is prose.
@@ -37,7 +39,7 @@ LINK_POOR, LINK_LIST = 0.25, 0.5
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe noembed noframes textarea title xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
-LEFT_OUT = frozenset("nav header footer aside form button select option input textarea dialog menu script style noscript template iframe object embed svg canvas audio video head title map figcaption fieldset".split())
+LEFT_OUT = frozenset("nav header footer aside form button select option input textarea dialog menu script style noscript template iframe object embed svg canvas audio video head title map fieldset".split())
 SECTIONING = frozenset("article main body html section div".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table article section div body html".split())
@@ -46,6 +48,8 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget|related|recommend\w*|share|sharing|social|comments?|commentlist|respond|disqus|replies|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|paywall|pagination|pager|toolbar|skip|hidden)(?:$|[\s_-])", re.I)
+#: What stands beside such a word in the name of a container of that kind.
+COMPANIONS = frozenset("area bar block body bottom box btn button buttons cell col column container content country count entry feed first footer form global group header heading holder icon icons inline inner item items label last layer left link links list main mobile desktop more ns outer page panel pane post posts articles stories primary region right row secondary section site slot strip tab tabs text thread title tools top tray unit user reader view wrap wrapper zone google dfp and the for of s".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 SPACE = re.compile(r"\s+")
 
@@ -80,25 +84,42 @@ def _is_boilerplate(tag: str, attributes: str) -> bool:
     return False
 
 
-def _named(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether a class or id has a word of boilerplate, and whether one is such a word and no more."""
+def _all_boilerplate(name: str) -> bool:
+    """Whether a name has words of boilerplate and, beside them, only their companions."""
+    words = [w for w in re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])|(?<=\D)(?=\d)", name) if w]
+    kinds = [bool(BOILERPLATE.fullmatch(w)) for w in words]
+    return any(kinds) and all(k or w.lower() in COMPANIONS or w.isdigit() for k, w in zip(kinds, words, strict=True))
+
+
+def _named(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether a class or id has a word of boilerplate (in an article: no others), and whether one is such a word and no more."""
     if not attributes or tag in ("html", "body", "article", "main"):
         return False, False
-    values = [v for name, v in _attributes(attributes) if name in ("class", "id") and BOILERPLATE.search(v)]
-    return bool(values), any(BOILERPLATE.fullmatch(x) for v in values for x in v.split())
+    values = [x for name, v in _attributes(attributes) if name in ("class", "id") and BOILERPLATE.search(v) for x in v.split()]
+    named = any(map(_all_boilerplate, values)) if in_article else bool(values)
+    return named, any(BOILERPLATE.fullmatch(x) for x in values)
 
 
 def parse(page: str) -> Node:
     """The tree of a page's blocks; inline elements leave only their text."""
     root = node = Node("html", None, False)
-    depth, links, at = 0, 0, 0
-    #: Open elements beyond MAX_DEPTH, each with whether its text is left out.
-    beyond: list[tuple[str, bool]] = []
+    links, at = 0, 0
+    #: Open elements by tag, so that no search for one that is not there climbs the tree.
+    open_: Counter[str] = Counter(html=1)
 
     def add(text: str) -> None:
-        if text and not node.dropped and not (beyond and beyond[-1][1]):
+        if text and not node.dropped:
             node.children.append((html.unescape(text), links > 0))
 
+    def close(up: Node) -> Node:
+        """The parent of ``up``, after all that is open below it."""
+        here = node
+        while here is not up:
+            open_[here.tag] -= 1
+            here = here.parent
+        open_[up.tag] -= 1
+        return up.parent
+
     while True:
         m = TAG.search(page, at)
         add(page[at : m.start()] if m else page[at:])
@@ -118,28 +139,19 @@ def parse(page: str) -> Node:
             continue
         links = 0
         if closing:
-            if k := next((k for k in range(len(beyond), 0, -1) if beyond[k - 1][0] == tag), 0):
-                del beyond[k - 1 :]
-                add(" ")
-                continue
-            up = node
+            up = node if open_[tag] else None
             while up is not None and up.tag != tag:
                 up = None if up.tag in ("td", "th", "article", "main") and tag in ("p", "li") else up.parent
             if up is not None and up.parent is not None:
-                beyond.clear()
-                while node is not up:
-                    node, depth = node.parent, depth - 1
-                node, depth = node.parent, depth - 1
+                node = close(up)
             continue
-        if not beyond and (tag in CLOSES_P or tag in CLOSED_BY):
-            ends, stop = CLOSED_BY.get(tag, {"p"}) | {"p"}, SCOPE
-            up = node
-            while up.parent is not None and up.tag not in stop and not (up.tag in ends):
+        if tag in CLOSES_P or tag in CLOSED_BY:
+            ends = CLOSED_BY.get(tag, set()) | {"p"}
+            up = node if any(open_[x] for x in ends) else root
+            while up.parent is not None and up.tag not in SCOPE and up.tag not in ends:
                 up = up.parent
             if up.tag in ends and up.parent is not None:
-                while node is not up:
-                    node, depth = node.parent, depth - 1
-                node, depth = node.parent, depth - 1
+                node = close(up)
         if tag in RAW:
             if not m[2].endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
@@ -148,17 +160,15 @@ def parse(page: str) -> Node:
         if tag in VOID:
             add(" ")
             continue
-        child = Node(tag, node, node.dropped or _is_boilerplate(tag, m[2]))
+        in_article = open_["article"] + open_["main"] > 0
+        child = Node(tag, node, node.dropped or not (tag == "header" and open_["article"]) and _is_boilerplate(tag, m[2]))
         if m[2].endswith("/"):
             continue
-        if depth >= MAX_DEPTH:
-            add(" ")
-            beyond.append((tag, child.dropped or _named(tag, m[2])[0] or bool(beyond) and beyond[-1][1]))
-            continue
-        child.named, child.whole = _named(tag, m[2])
+        child.named, child.whole = _named(tag, m[2], in_article)
         if not child.dropped:
             node.children.append(child)
-        node, depth = child, depth + 1
+        node = child
+        open_[tag] += 1
 
 
 def _blocks(top: Node) -> Iterator[tuple[Node, str, int]]:
@@ -222,18 +232,21 @@ def main_text(page: str | None) -> str:
         else:
             for parent, _ in named:
                 parent.children = before[id(parent)]
-    touched: dict[int, Node] = {}
+    own: dict[int, float] = {}
     for node, text, linked in blocks:
-        up: Node | None = node
-        while up is not None:
-            up.chars, up.link_chars = up.chars + len(text), up.link_chars + linked
-            up = up.parent
-        points = (1 + text.count(",") + min(MOST_POINTS, len(text) // POINT_CHARS)) * (1 - min(1.0, linked / len(text)))
-        up = node if node.tag in SECTIONING else node.parent
-        while up is not None:
-            up.points += points
-            touched[id(up)] = up
-            up, points = up.parent, points / 2
+        node.chars, node.link_chars = node.chars + len(text), node.link_chars + linked
+        to = node if node.tag in SECTIONING else node.parent
+        own[id(to)] = own.get(id(to), 0.0) + (1 + text.count(",") + min(MOST_POINTS, len(text) // POINT_CHARS)) * (1 - min(1.0, linked / len(text)))
+    tree = [root]
+    for node in tree:
+        tree.extend(x for x in node.children if isinstance(x, Node))
+    #: Children come after their parents, so sums and halved points go up in one pass.
+    for node in reversed(tree):
+        node.points += own.get(id(node), 0.0)
+        if node.parent is not None:
+            up = node.parent
+            up.chars, up.link_chars, up.points = up.chars + node.chars, up.link_chars + node.link_chars, up.points + node.points / 2
+    touched = {id(x): x for x in tree if x.points > 0}
     if not touched:
         return "\n\n".join(text for _, text, _ in blocks)
     score = lambda n: n.points * (1 - n.link_chars / max(1, n.chars))
@@ -256,14 +269,11 @@ def main_text(page: str | None) -> str:
                 links = sibling.link_chars / sibling.chars
                 if score(sibling) >= SIBLING_SHARE * score(best) or sibling.tag in ("p", "h1", "h2", "blockquote", "pre") and links < LINK_POOR and (sibling.chars >= PROSE_CHARS or sibling.tag in ("h1", "h2")):
                     kept.add(id(sibling))
-    out = []
-    for node, text, _ in blocks:
-        up = node
-        while up is not None and id(up) not in kept and id(up) not in lists:
-            up = up.parent
-        if up is not None and id(up) in kept:
-            out.append(text)
-    return "\n\n".join(out)
+    #: Of the marks above a block the nearest one decides.
+    inside = {id(root): id(root) in kept}
+    for node in tree[1:]:
+        inside[id(node)] = id(node) not in lists and (id(node) in kept or inside[id(node.parent)]) or id(node) in kept
+    return "\n\n".join(text for node, text, _ in blocks if inside[id(node)])
 
 
 def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:
