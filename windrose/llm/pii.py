@@ -43,9 +43,10 @@ _IPV4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
 #: Between the groups of a telephone number; a space never leads into a network address.
 _SEP = rf"(?:[.-]?|[ ](?!{_IPV4}))"
 _HEAD = r"(?<![\p{L}\p{N}._%+-])"
-#: In the order in which they are tried at a place.
+#: In the order in which they are tried at a place. A repeated group is bounded or possessive: Java matches any other one by
+#: recursion, which a long text would exhaust.
 PATTERNS = {
-    "email": _HEAD + r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "email": _HEAD + r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "secret": r"(?<![0-9A-Za-z_-])(?:[0-9a-fA-F]{32,}+|AKIA[0-9A-Z]{16}|(?:ghp_|sk-|xox[abp]-)[0-9A-Za-z-]{16,})(?![0-9A-Za-z])|(?<=[=:\s\"'])(?=[0-9A-Za-z+/_=-]{8})(?<=(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[0-9A-Za-z+/_=-]{8,}",
     #: In full, or with one run of zeros left out and a digit or a full group, as "a::b" is rather a name in a program.
     "ipv6": r"(?<![0-9A-Za-z_:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{2,39}+)(?=[A-Fa-f:]*(?:\d|(?<=[A-Fa-f]{4})))(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Za-z_:]|\.\d)",
@@ -79,8 +80,7 @@ def _pick(letters: str, number: Column) -> Column:
 
 def _chars(text: Column, fn) -> Column:  # noqa: ANN001
     """``text`` with every character replaced by fn(character, place from 0)."""
-    places = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(places, lambda i: fn(F.substring(text, i + 1, F.lit(1)), i)), "")
+    return F.array_join(F.transform(F.split(text, ""), fn), "")
 
 
 def _same_kind(letters: str, stream: Column):  # noqa: ANN202
