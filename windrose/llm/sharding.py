@@ -42,6 +42,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key_of(text, doc_id).bitwiseOR(row).alias("key"))
 
 
+def _at_most(edges: list[int], key: Column) -> Column:
+    """How many of the ascending ``edges`` are not above the key, by halving steps."""
+    if not edges:
+        return F.lit(0)
+    #: One literal, whatever its length.
+    listed = F.split(F.lit(",".join(map(str, edges))), ",").cast("array<bigint>")
+    steps = F.array(*(F.lit(1 << b) for b in range(len(edges).bit_length() - 1, -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(listed, n + step - 1) <= key, n + step).otherwise(n))
+
+
 def splitters(rows: DataFrame, parts: int, exact_every: int, total: int, tolerance: float = RANGE_TOLERANCE) -> list[int]:
     """The first keys of parts 1, 2, ...: every ``exact_every``-th exact, the others within the tolerance."""
     span = 1 << KEY_BITS
@@ -51,8 +61,8 @@ def splitters(rows: DataFrame, parts: int, exact_every: int, total: int, toleran
     while found:
         intervals = sorted({(low, width) for low, width, _ in found.values()})
         #: Intervals do not meet; a key lies in the last one that begins at or before it, or in none.
-        lows, widths = (F.array(*(F.lit(x[k]).cast("bigint") for x in intervals)) for k in (0, 1))
-        number = F.size(F.filter(lows, lambda x: x <= F.col("key")))
+        lows, widths = (F.split(F.lit(",".join(str(x[k]) for x in intervals)), ",").cast("array<bigint>") for k in (0, 1))
+        number = _at_most([low for low, _ in intervals], F.col("key"))
         beyond = F.col("key") - F.get(lows, number - 1)
         inside = beyond < F.get(widths, number - 1)
         cell = F.expr("beyond div greatest(1, width)")
@@ -81,8 +91,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE_ROWS) -
     whole = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
     total, ranges_per_shard = whole.bytes or 0, max(RANGES_PER_SHARD, -(-whole.n // (shards * range_rows)))
     first = splitters(rows, shards * ranges_per_shard, ranges_per_shard, total) if total else []
-    edges = F.array(*map(F.lit, first)) if first else F.array().cast("array<bigint>")
-    part = F.size(F.filter(edges, lambda x: x <= F.col("key")))
+    part = _at_most(first, F.col("key"))
     rows = rows.withColumn("part", part).withColumn("shard", F.expr(f"part div {ranges_per_shard}").cast("int"))
     counts = {r.part: r.n for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
     before, seen = [], 0
@@ -91,7 +100,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE_ROWS) -
         before.append(seen)
         seen += counts.get(p, 0)
     inside = F.row_number().over(Window.partitionBy("part").orderBy("key", "doc_id", "text_crc32", "size"))
-    slot = F.element_at(F.array(*(F.lit(b).cast("bigint") for b in before)), F.col("part") + 1) + inside - 1
+    slot = F.get(F.split(F.lit(",".join(map(str, before))), ",").cast("array<bigint>"), F.col("part")) + inside - 1
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
