@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text and rows that one vectorised step takes at a time; a longer single text is one step by itself.
 CHUNK_BYTES, CHUNK_ROWS = 1 << 21, 1 << 15
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_MULT_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Hashes are polynomials modulo the prime 2**61 - 1, at one of two fixed points drawn at random.
+_PRIME, _BITS = np.uint64((1 << 61) - 1), np.uint64(61)
+_POINTS = (0x0D3A6F1C95B2E847, 0x17C4E85A2B9F603D)
+_LOW31, _LOW30, _31, _30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1), np.uint64(31), np.uint64(30)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -84,15 +86,30 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 #: Byte to its lower case; whether a byte belongs to a word (digits, Latin letters, anything beyond ASCII).
 LOWER, WORD_BYTE = _tables()
 
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit numbers modulo the prime."""
+    x = (x & _PRIME) + (x >> _BITS)
+    return np.where(x >= _PRIME, x - _PRIME, x)
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        base = np.full(max(n, CHUNK_BYTES + 1), _MULT if kind == "up" else _MULT_INV, np.uint64)
-        base[0] = 1
-        _powers[kind] = np.cumprod(base)
-    return _powers[kind][:n]
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, by halves of 31 bits, as 2**61 counts as 1."""
+    ah, al, bh, bl = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = ah * bl + al * bh
+    return _reduced(ah * bh * np.uint64(2) + (middle >> _30) + ((middle & _LOW30) << _31) + al * bl)
+
+
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(point: int, n: int) -> np.ndarray:
+    """The first n powers, of a point or of its inverse (-1 - point)."""
+    if len(have := _powers.get(point, np.ones(1, np.uint64))) < n:
+        base = pow(_POINTS[point], 1, int(_PRIME)) if point >= 0 else pow(_POINTS[-1 - point], -1, int(_PRIME))
+        while len(have) < max(n, CHUNK_BYTES + 1):
+            have = np.concatenate([have, _product(have, np.full(len(have), pow(base, len(have), int(_PRIME)), np.uint64))])
+        _powers[point] = have
+    return _powers[point][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,16 +120,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums modulo 2**64 with a leading 0; span hashes are read off with ``span_hash``."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", len(data)), out=sums[1:])
+def prefix_sums(values: np.ndarray, point: int = 0) -> np.ndarray:
+    """Running sums, with a leading 0, of the terms of the values' polynomial; span hashes are read off with ``span_hash``.
+
+    Low 31 bits and the rest are added up apart, as the sums of whole terms would not fit. Differences stay right when a sum
+    wraps, for spans of up to 2**25 bytes or any number of wider values.
+    """
+    power, sums = _power(point, len(values)), np.zeros((2, len(values) + 1), np.uint64)
+    if values.dtype == np.uint8:
+        values = values.astype(np.uint64) + np.uint64(1)
+        np.cumsum(values * (power & _LOW31), out=sums[0, 1:])
+        np.cumsum(values * (power >> _31), out=sums[1, 1:])
+    else:
+        terms = _product(_reduced(mix(values)), power)
+        np.cumsum(terms & _LOW31, out=sums[0, 1:])
+        np.cumsum(terms >> _31, out=sums[1, 1:])
     return sums
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each [start, end), the same wherever the span lies."""
-    return mix((sums[end] - sums[start]) * _power("down", len(sums))[start])
+def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, point: int = 0) -> np.ndarray:
+    """Hash of each [start, end), the same wherever the span lies; unlike spans of n values meet with probability n / 2**61."""
+    low, high = _reduced(sums[0][end] - sums[0][start]), _reduced(sums[1][end] - sums[1][start])
+    value = _reduced(low + ((high << _31 & _PRIME) | (high >> _30)))
+    return mix(_product(value, _power(-1 - point, sums.shape[1])[start]))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = WORD_BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

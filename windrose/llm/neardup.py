@@ -47,7 +47,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tup
     n = len(offsets) - 1
     term, _, row = words(data, offsets)
     start = np.r_[0, np.cumsum(np.bincount(row, minlength=n))]
-    spans = prefix_sums_of(term)
+    spans = prefix_sums(term)
     at = np.flatnonzero(row[: len(row) - width + 1] == row[width - 1 :]) if len(row) >= width else np.zeros(0, np.int64)
     few = np.flatnonzero((np.diff(start) > 0) & (np.diff(start) < width))
     found = np.concatenate([span_hash(spans, at, at + width), span_hash(spans, start[few], start[few + 1])])
@@ -56,24 +56,14 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tup
     counts = np.diff(np.r_[first, len(key)])
     key = key[first]
     wordless = np.diff(start) == 0
-    byte_sums = prefix_sums(data)
-    halves = [np.where(wordless, span_hash(byte_sums, offsets[:-1], offsets[1:]), span_hash(spans, start[:-1], start[1:])), np.where(wordless, mix(np.diff(offsets).astype(np.uint64)), span_hash(prefix_sums_of(mix(term ^ _STEP)), start[:-1], start[1:]))]
+    #: The halves of a node are hashes at unlike points.
+    halves = []
+    for point in (0, 1):
+        by_byte, by_word = prefix_sums(data, point), prefix_sums(term, point)
+        halves.append(np.where(wordless, span_hash(by_byte, offsets[:-1], offsets[1:], point), span_hash(by_word, start[:-1], start[1:], point)))
     return (key >> _ROW_BITS).astype(np.int64), key & ((np.uint64(1) << _ROW_BITS) - np.uint64(1)), counts, np.stack(halves, axis=1)
 
 
-def prefix_sums_of(values: np.ndarray) -> np.ndarray:
-    """``prefix_sums`` of 64-bit values instead of bytes."""
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((mix(values) + np.uint64(1)) * span_powers(len(values)), out=sums[1:])
-    return sums
-
-
-def span_powers(n: int) -> np.ndarray:
-    from windrose.llm.common import _power
-
-    return _power("up", n)
-
-
 def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n_rows: int, size: int) -> np.ndarray:
     """The first element to arrive at each of ``size`` components, by row."""
     earliest = np.full(n_rows * size, np.inf)
