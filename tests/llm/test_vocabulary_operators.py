@@ -107,6 +107,15 @@ def test_token_counts_equal_the_library(spark: SparkSession, odd: DataFrame, tmp
     assert all(r.over_limit == (r.n_tokens > 2048) for r in got) and any(r.over_limit for r in got)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_counts_of_odd_strings(name: str) -> None:
+    path, rng = public_tokenizers.path(name), random.Random(3)
+    model = Tokenizer.from_file(path)
+    parts = ["<|endoftext|>", "<|", "|>", "'s", "don't", "9", "½", "é", "e\u0301", "\u00a0", "\u2003", "\x85", "\x0b", " ", "\n", "\t", "\x00", "\x01", "漢字", "👩‍👩‍👧", "İ", "ß", "word", "-", "..."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 25))) for _ in range(3000)]
+    assert token_counts._counter(path)(texts) == [len(model.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_only_distinct_misses_are_encoded(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["one two", "one  two", "one two"] * 500 + ["three"])], "doc_id bigint, text string")
     path = f"{tmp_path}/cache"

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrose.llm.common import map_arrow, text_chunks, written
+from windrose.llm.packing import encoder
 
 TOKEN_LIMIT = 2048
 #: Bytes of text that one call of the tokenizer takes; a longer text is a call by itself.
@@ -47,27 +48,44 @@ def tokenizer_digest(path: str) -> str:
         return "sha256-" + hashlib.sha256(f"{library.__name__} {library.__version__}\n".encode() + f.read()).hexdigest()
 
 
+def _declared(path: str) -> dict:
+    if path.endswith(".model"):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def _collapses(declared: dict) -> bool:
+    """Whether the tokenizer's own normaliser replaces every run of white space by one space."""
+    normalizer = declared.get("normalizer") or {}
+    return {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} in (normalizer.get("normalizers") or [normalizer])
+
+
+def _drops_space(declared: dict) -> bool:
+    """Whether it then only keeps the matches of a pattern that has no white space, so that words are encoded one by one."""
+    first = declared.get("pre_tokenizer") or {}
+    first = (first.get("pretokenizers") or [first])[0]
+    pattern = (first.get("pattern") or {}).get("Regex", r"\s")
+    return _collapses(declared) and first.get("behavior") == "Removed" and first.get("invert") is True and r"\s" not in pattern.replace(r"[^\s", "") and " " not in pattern
+
+
 def normal_form(path: str, text: Column) -> Column:
     """The text with what the tokenizer's own normaliser makes equal made equal: runs of ASCII white space, where it
     replaces every run by one space. Whatever else a tokenizer does to a text is left to it."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    if path.endswith(".model"):
-        return text
-    with open(path, encoding="utf-8") as f:
-        normalizer = json.load(f).get("normalizer") or {}
-    steps = normalizer.get("normalizers") or [normalizer]
-    collapses = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
-    return F.regexp_replace(text, "[\\t-\\r ]+", " ") if collapses in steps else text
+    return F.regexp_replace(text, "[\\t-\\r ]+", " ") if _collapses(_declared(path)) else text
 
 
 @once
 def _counter(path: str):  # noqa: ANN202
-    """Texts to token counts; one per worker."""
+    """Texts to token counts; one per worker. Where words are encoded one by one, each distinct word of a call is, once."""
     if path.endswith(".model"):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
         return lambda texts: [len(ids) for ids in model.encode(texts)]
+    if _drops_space(_declared(path)):
+        return lambda texts: [len(ids) for ids in encoder(path).encode([t.encode() for t in texts])]
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
