@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from windrose.functions.times import micros
+from windrose.operators.stretches import HALO, STRETCH, with_halo
 
 
 def day_sequence(df: DataFrame, on: Sequence[str], ts: str, tie: str, value: str) -> DataFrame:
@@ -18,15 +19,25 @@ def day_sequence(df: DataFrame, on: Sequence[str], ts: str, tie: str, value: str
     return df.select("*", number.alias("sequence"), (number == 1).alias("is_first"), F.greatest(before, F.lit(0.0)).alias("accumulated"))
 
 
-def safe_lags(df: DataFrame, on: Sequence[str], ts: str, known_at: str, tie: str, value: str, n: int = 3) -> DataFrame:
-    """``value`` of the n events before, each only if it was known by ``ts``; the mean of those known; the plain mean."""
-    order = Window.partitionBy(*on).orderBy(ts, tie)
+def _in_stretches(df: DataFrame, on: Sequence[str], order_by: Sequence[str], bucket: int | None, rows_before: int, columns: Sequence[str]) -> tuple[DataFrame, WindowSpec]:
+    """``df`` and the window of its key; with ``bucket`` its stretches, their halos, and the window of a key's stretch."""
+    if bucket is None:
+        return df.withColumn(HALO, F.lit(False)), Window.partitionBy(*on).orderBy(*order_by)
+    return with_halo(df, on, order_by, bucket, rows_before, columns), Window.partitionBy(*on, STRETCH).orderBy(*order_by)
+
+
+def safe_lags(df: DataFrame, on: Sequence[str], ts: str, known_at: str, tie: str, value: str, n: int = 3, bucket: int | None = None) -> DataFrame:
+    """``value`` of the n events before, each only if it was known by ``ts``; the mean of those known; the plain mean.
+
+    With ``bucket`` (microseconds) a key's rows go to stretches of time.
+    """
+    rows, order = _in_stretches(df, on, [ts, tie], bucket, n, [known_at, value])
     lags = [F.when(F.lag(known_at, k).over(order) <= F.col(ts), F.lag(value, k).over(order)) for k in range(1, n + 1)]
-    out = df.select("*", *(lag.alias(f"lag_{k}") for k, lag in enumerate(lags, 1)), F.avg(value).over(order.rowsBetween(-n, -1)).alias("rolling_mean"))
+    out = rows.select("*", *(lag.alias(f"lag_{k}") for k, lag in enumerate(lags, 1)), F.avg(value).over(order.rowsBetween(-n, -1)).alias("rolling_mean")).filter(~F.col(HALO))
     names = [f"lag_{k}" for k in range(1, n + 1)]
     total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in names), F.lit(0.0))
     known = sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0))
-    return out.withColumn("known_mean", F.try_divide(total, known))
+    return out.withColumn("known_mean", F.try_divide(total, known)).select(*df.columns, *names, "rolling_mean", "known_mean")
 
 
 def completed_history(df: DataFrame, on: Sequence[str], ts: str, done: str, tie: str, value: str, k: int = 10, least: int = 3) -> DataFrame:
@@ -57,15 +68,21 @@ def completed_history(df: DataFrame, on: Sequence[str], ts: str, done: str, tie:
     return out.withColumn("history_std", F.when(F.size(values) >= least, F.sqrt(F.try_divide(spread, F.size(values) - 1)))).drop("_sum", "_n", "_last", "_mean")
 
 
-def changed_within(df: DataFrame, on: Sequence[str], ts: str, tie: str, column: str, gap_us: int) -> Column:
-    """Whether ``column`` differs from the event before, at most ``gap_us`` earlier."""
-    order = Window.partitionBy(*on).orderBy(ts, tie)
+def changed_within(df: DataFrame, on: Sequence[str], ts: str, tie: str, column: str, gap_us: int, bucket: int | None = None) -> DataFrame:
+    """``df`` with ``changed``: whether ``column`` differs from the event before, at most ``gap_us`` earlier."""
+    rows, order = _in_stretches(df, on, [ts, tie], bucket, 1, [column])
     before, since = F.lag(column).over(order), micros(ts) - F.lag(micros(ts)).over(order)
-    return df.withColumn("changed", F.coalesce((before != F.col(column)) & (since <= gap_us), F.lit(False)))
+    out = rows.withColumn("changed", F.coalesce((before != F.col(column)) & (since <= gap_us), F.lit(False)))
+    return out.filter(~F.col(HALO)).select(*df.columns, "changed")
+
 
+def rolling(df: DataFrame, on: Sequence[str], order_by: Sequence[str], frames: dict[str, tuple[str, str, int]], bucket: int | None = None) -> DataFrame:
+    """By new name: (function, column, rows) over the last rows; diff is against the row that many before, lag is that row.
 
-def rolling(df: DataFrame, on: Sequence[str], order_by: Sequence[str], frames: dict[str, tuple[str, str, int]]) -> DataFrame:
-    """By new name: (function, column, rows) over the last rows; diff is against the row that many before."""
-    order = Window.partitionBy(*on).orderBy(*order_by)
+    With ``bucket`` (microseconds of the first of ``order_by``) a key's rows go to stretches of time.
+    """
+    rows, order = _in_stretches(df, on, order_by, bucket, max(n for _, _, n in frames.values()), [c for _, c, _ in frames.values()])
     made = {"sum": F.sum, "max": F.max, "mean": F.avg, "min": F.min}
-    return df.select("*", *((F.col(c) - F.lag(c, n).over(order) if f == "diff" else made[f](c).over(order.rowsBetween(1 - n, 0))).alias(name) for name, (f, c, n) in frames.items()))
+    whole = {"diff": lambda c, n: F.col(c) - F.lag(c, n).over(order), "lag": lambda c, n: F.lag(c, n).over(order)}
+    out = rows.select("*", *((whole[f](c, n) if f in whole else made[f](c).over(order.rowsBetween(1 - n, 0))).alias(name) for name, (f, c, n) in frames.items()))
+    return out.filter(~F.col(HALO)).select(*df.columns, *frames)

@@ -4,36 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrose.functions.clean import clipped
 from windrose.operators.profile import quantiles
+from windrose.operators.stretches import numbered_with_known
 
 
-def filled_both_ways(df: DataFrame, on: Sequence[str], order_by: Sequence[str], column: str, name: str) -> DataFrame:
-    """The last known value, else the next known one, else the most frequent of all (of several the smallest)."""
-    w = Window.partitionBy(*on).orderBy(*order_by)
-    back = F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    mode = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_mode")).agg(F.count("*").alias("_n")).agg(F.min_by("_mode", F.struct((-F.col("_n")).alias("n"), "_mode")).alias("_mode"))
-    return df.withColumn(name, F.coalesce(back, ahead)).join(F.broadcast(mode), F.lit(True), "left").withColumn(name, F.coalesce(name, "_mode")).drop("_mode")
+def filled_both_ways(df: DataFrame, on: Sequence[str], order_by: Sequence[str], column: str, name: str, bucket: int | None = None) -> DataFrame:
+    """The last known value, else the next known one, else the most frequent of all (of several the smallest).
+
+    With ``bucket`` (microseconds of the first of ``order_by``) a key's rows go to stretches of time.
+    """
+    mode = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_mode")).agg(F.count("*").alias("_m")).agg(F.min_by("_mode", F.struct((-F.col("_m")).alias("n"), "_mode")).alias("_mode"))
+    out = numbered_with_known(df, on, order_by, bucket, column).withColumn(name, F.coalesce("_p.v", "_n.v")).drop("_i", "_p", "_n")
+    return out.join(F.broadcast(mode), F.lit(True), "left").withColumn(name, F.coalesce(name, "_mode")).drop("_mode")
 
 
-def interpolated(df: DataFrame, on: Sequence[str], order_by: Sequence[str], column: str, name: str) -> DataFrame:
+def interpolated(df: DataFrame, on: Sequence[str], order_by: Sequence[str], column: str, name: str, bucket: int | None = None) -> DataFrame:
     """Linear by row number between known neighbours; at the ends the nearest known value; else the median of all.
 
-    A key with any known value has no gap left for its own median to fill, so that step has nothing to do.
+    A key with any known value has no gap left for its own median to fill, so that step has nothing to do. With ``bucket``
+    (microseconds of the first of ``order_by``) a key's rows go to stretches of time.
     """
-    w = Window.partitionBy(*on).orderBy(*order_by)
-    df = df.withColumn("_i", F.row_number().over(w))
-    at = F.when(F.col(column).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(column).alias("v")))
-    df = df.withColumn("_p", F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    found = numbered_with_known(df, on, order_by, bucket, column)
     share = F.try_divide((F.col("_i") - F.col("_p.i")).cast("double"), (F.col("_n.i") - F.col("_p.i")).cast("double"))
     line = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * share
-    counts = df.groupBy(F.col(column).alias("_value")).agg(F.count("*").alias("_n"))
-    median = quantiles(counts, [], "_value", "_n", [0.5]).withColumnRenamed("p50", "_median")
-    out = df.withColumn(name, F.coalesce(F.col(column), line, F.col("_p.v"), F.col("_n.v"))).join(F.broadcast(median), F.lit(True), "left")
+    counts = df.groupBy(F.col(column).alias("_value")).agg(F.count("*").alias("_m"))
+    median = quantiles(counts, [], "_value", "_m", [0.5]).withColumnRenamed("p50", "_median")
+    out = found.withColumn(name, F.coalesce(F.col(column), line, F.col("_p.v"), F.col("_n.v"))).join(F.broadcast(median), F.lit(True), "left")
     return out.withColumn(name, F.coalesce(name, "_median")).drop("_i", "_p", "_n", "_median")
 
 

@@ -8,6 +8,7 @@ search needs from earlier stretches comes from one row per key and stretch.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,20 +87,50 @@ def first_known_after(left: DataFrame, right: DataFrame, on: Sequence[str], left
     return left
 
 
-def range_sums(probes: DataFrame, events: DataFrame, on: Sequence[str], probe_ts: str, event_ts: str, low: int, high: int, sums: dict[str, Column]) -> DataFrame:
-    """``probes`` with sums over the events whose time lies in [probe + low, probe + high] microseconds; 0 without any.
+class Range(NamedTuple):
+    """Sums, by name, over the events whose time ``ts`` lies in [probe + low, probe + high] microseconds."""
+
+    events: DataFrame
+    ts: str
+    low: int
+    high: int
+    sums: dict[str, Column]
+
+
+def all_range_sums(probes: DataFrame, on: Sequence[str], probe_ts: str, ranges: Sequence[Range]) -> DataFrame:
+    """``probes`` with the sums of all ranges, of whole numbers; 0 without any event, also where key or time is null.
 
-    An event is dealt to the one or two stretches of time whose probes can see it.
+    An event is dealt to the stretches of time whose probes can see it, all in one exchange. Within a stretch sums run over
+    the events in order of time; a probe reads the running sum behind its range's end and before its start, and the
+    difference is its own. So the work grows with the rows, however many of them a range holds.
     """
-    width = max(1, high - low + 1)
+    width = max(1, *(r.high - r.low + 1 for r in ranges))
     row = F.struct(*(F.col(f"`{c}`") for c in probes.columns))
-    p = probes.select(*on, micros(probe_ts).alias("_t"), row.alias("_row")).withColumn("_stretch", F.expr(f"floor(_t / {width})"))
-    e = events.filter(F.col(event_ts).isNotNull()).select(*on, micros(event_ts).alias("_t"), *(v.alias(f"_v_{n}") for n, v in sums.items()))
-    e = e.withColumn("_stretch", F.explode(F.sequence(F.expr(f"floor((_t - {high}) / {width})"), F.expr(f"floor((_t - {low}) / {width})"))))
-    frame = Window.partitionBy(*on, "_stretch").orderBy("_t").rangeBetween(low, high)
-    both = p.unionByName(e, allowMissingColumns=True)
-    out = both.select("_row", *(F.coalesce(F.sum(f"_v_{n}").over(frame), F.lit(0)).alias(n) for n in sums))
-    return out.filter("_row IS NOT NULL").select("_row.*", *sums)
+    #: Probes without a time see nothing and lie anywhere.
+    anywhere = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c, kind in probes.dtypes if "map<" not in kind)), F.lit(1 << 20))
+    stretch = F.coalesce(F.floor(micros(probe_ts) / width), -anywhere - (1 << 60)).cast("bigint")
+    both = probes.select(*on, micros(probe_ts).alias("_t"), row.alias("_row"), F.lit(0).alias("_range"), stretch.alias("_stretch"))
+    for number, r in enumerate(ranges, 1):
+        e = r.events.filter(F.col(r.ts).isNotNull()).select(*on, micros(r.ts).alias("_t"), *(v.cast("bigint").alias(f"_v_{n}") for n, v in r.sums.items()), F.lit(number).alias("_range"))
+        first, last = (F.floor((F.col("_t") - x) / width) for x in (r.high, r.low))
+        both = both.unionByName(e.withColumn("_stretch", F.explode(F.sequence(first, last))), allowMissingColumns=True)
+    probe = F.col("_range") == 0
+    for r in ranges:
+        running = []
+        for offset, probes_last in ((r.high, True), (r.low, False)):
+            moment, side = F.when(probe, F.col("_t") + offset).otherwise(F.col("_t")), probe == F.lit(probes_last)
+            running.append(Window.partitionBy(*on, "_stretch").orderBy(moment, side).rowsBetween(Window.unboundedPreceding, 0))
+        both = both.withColumns({n: F.coalesce(F.sum(f"_v_{n}").over(running[0]), F.lit(0)) - F.coalesce(F.sum(f"_v_{n}").over(running[1]), F.lit(0)) for n in r.sums})
+    known = F.col("_t").isNotNull()
+    for k in on:
+        known &= F.col(k).isNotNull()
+    names = [n for r in ranges for n in r.sums]
+    return both.filter("_range = 0").select("_row.*", *(F.when(known, F.col(n)).otherwise(0).alias(n) for n in names))
+
+
+def range_sums(probes: DataFrame, events: DataFrame, on: Sequence[str], probe_ts: str, event_ts: str, low: int, high: int, sums: dict[str, Column]) -> DataFrame:
+    """``all_range_sums`` of one range."""
+    return all_range_sums(probes, on, probe_ts, [Range(events, event_ts, low, high, sums)])
 
 
 def gap_sessions(df: DataFrame, on: Sequence[str], ts: str, gap: int, tie: str, name: str = "session") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from windrose.functions import rules
 from windrose.functions.times import MINUTE, minutes_between
-from windrose.operators.temporal import asof, range_sums
+from windrose.operators.temporal import Range, all_range_sums, asof, range_sums
 
 # How full an airport is when it counts as congested; status words of a diverted flight.
 CONGESTED, DIVERTED = 0.85, "divert|return|emergency"
@@ -87,9 +87,10 @@ def arrival_side(arrivals: DataFrame, flights: DataFrame) -> DataFrame:
     one = F.lit(1).cast("bigint")
     late = F.coalesce((F.col("mode") == "arrival") & (delay > DISRUPTED_DELAY), F.lit(False)) | F.coalesce(F.lower("status").rlike(DIVERTED), F.lit(False))
     events = flights.withColumn("_late", late.cast("bigint"))
-    rows = range_sums(rows, events, ["airport"], "actual", "scheduled", -30 * MINUTE, 30 * MINUTE, {"_around": one})
-    rows = range_sums(rows, events, ["airport"], "actual", "actual", -60 * MINUTE, -1, {"flights_last_hour": one})
-    rows = range_sums(rows, events, ["airport"], "actual", "scheduled", -60 * MINUTE, -1, {"_planned": one, "_bad": F.col("_late")})
+    around = Range(events, "scheduled", -30 * MINUTE, 30 * MINUTE, {"_around": one})
+    before = Range(events, "actual", -60 * MINUTE, -1, {"flights_last_hour": one})
+    planned = Range(events, "scheduled", -60 * MINUTE, -1, {"_planned": one, "_bad": F.col("_late")})
+    rows = all_range_sums(rows, ["airport"], "actual", [around, before, planned])
     load = F.col("_around") / rules.lookup(F.col("airport"), rules.CAPACITY, rules.OTHER_CAPACITY)
     rows = rows.withColumn("load", load).withColumn("is_parallel", (load >= CONGESTED).cast("int")).withColumn("density_disruption", F.when(F.col("_planned") > 0, F.col("_bad") / F.col("_planned")).otherwise(0.0))
     return rows.drop("_around", "_planned", "_bad")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrose.functions.times import daypart
 from windrose.operators import impute, metrics, profile
-from windrose.plans.temporal_queries import events
-from windrose.registry import register
+from windrose.plans.temporal_queries import STRETCH, events
+from windrose.registry import oracle_of, register
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -173,6 +173,27 @@ def linear_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impute.interpolated(df, ["user_id"], ["ts", "event_id"], "v", "filled").select("event_id", F.round("filled", 6).alias("filled"))
 
 
+#: Known values on every fourth day only, so that whole stretches lie between them.
+GAPS = ("CASE WHEN event_id % 3 = 0 THEN NULL", "CASE WHEN event_id % 3 < 2 OR day(ts) % 4 > 0 THEN NULL")
+
+
+def _sparse(spark: SparkSession, sf_dir: str, value: Column) -> DataFrame:
+    known = (F.col("event_id") % 3 == 2) & (F.dayofmonth("ts") % 4 == 0)
+    return events(spark, sf_dir).withColumn("station", F.col("event_id") % 5).withColumn("v", F.when(known, value))
+
+
+@register("ffill_bfill_station", oracle_of("ffill_bfill").replace("PARTITION BY user_id", "PARTITION BY event_id % 5").replace(*GAPS))
+def ffill_bfill_station(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _sparse(spark, sf_dir, F.bround("value").cast("int") % 7)
+    return impute.filled_both_ways(df, ["station"], ["ts", "event_id"], "v", "filled", bucket=STRETCH).select("event_id", "filled")
+
+
+@register("linear_interp_station", oracle_of("linear_interp").replace("SELECT event_id, user_id, CASE", "SELECT event_id, event_id % 5 AS user_id, CASE").replace("OVER (PARTITION BY user_id ORDER BY ts", "OVER (PARTITION BY event_id % 5 ORDER BY ts").replace(*GAPS))
+def linear_interp_station(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _sparse(spark, sf_dir, F.col("value"))
+    return impute.interpolated(df, ["station"], ["ts", "event_id"], "v", "filled", bucket=STRETCH).select("event_id", F.round("filled", 6).alias("filled"))
+
+
 @register("fleiss", """
 WITH r AS (SELECT doc_id, unnest([quality, toxic, CASE WHEN doc_id % 4 = 0 THEN 1 - quality ELSE quality END]) AS label FROM labels),
 c AS (SELECT doc_id, label, count(*) AS n FROM r GROUP BY 1, 2),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from windrose.functions.times import DAY, HOUR, MINUTE, hour_grid
 from windrose.operators import history, temporal
-from windrose.registry import register
+from windrose.registry import oracle_of, register
 
 STRETCH = DAY
 
@@ -227,3 +227,32 @@ def hourly_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = events(spark, sf_dir)
     sums = df.groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"), F.sum("value").alias("v"))
     return hour_grid(df, "event_type", "ts").join(sums, ["event_type", "hour"], "left").select("event_type", "hour", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("v", F.lit(0.0)), 6).alias("total"))
+
+
+def _by_station(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).withColumn("station", F.col("event_id") % 3)
+
+
+def _registered_by_station(name: str):  # noqa: ANN202
+    """The SQL of a query by user, by station."""
+    return register(f"{name}_station", oracle_of(name).replace("PARTITION BY user_id", "PARTITION BY event_id % 3"))
+
+
+@_registered_by_station("safe_lags")
+def safe_lags_station(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = F.timestamp_add("MICROSECOND", F.round(F.col("value") * 360000000).cast("bigint"), F.col("ts"))
+    out = history.safe_lags(_by_station(spark, sf_dir).withColumn("known", known), ["station"], "ts", "known", "event_id", "value", bucket=STRETCH)
+    return out.select("event_id", "lag_1", "lag_2", "lag_3", F.round("rolling_mean", 6).alias("rolling_mean"), F.round("known_mean", 6).alias("known_mean"))
+
+
+@_registered_by_station("config_swap")
+def config_swap_station(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _side(spark, sf_dir, "purchase").select("event_id", "ts", (F.col("event_id") % 3).alias("station"), (F.col("value") > 30).alias("high"))
+    return history.changed_within(df, ["station"], "ts", "event_id", "high", 60 * MINUTE, bucket=STRETCH).select("event_id", "changed")
+
+
+@_registered_by_station("rolling_rows")
+def rolling_rows_station(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = {"sum_3": ("sum", "value", 3), "sum_6": ("sum", "value", 6), "max_3": ("max", "value", 3), "diff_1": ("diff", "value", 1), "diff_3": ("diff", "value", 3)}
+    out = history.rolling(_by_station(spark, sf_dir), ["station"], ["ts", "event_id"], frames, bucket=STRETCH)
+    return out.select("event_id", *(F.round(c, 6).alias(c) for c in frames))

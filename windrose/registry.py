@@ -23,6 +23,11 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def oracle_of(name: str) -> str:
+    """The SQL of a query registered before."""
+    return _SQL[name]
+
+
 def queries() -> dict[str, Query]:
     from windrose.plans import audit_queries, flight_queries, model_queries, report_queries, scalar_queries, source_queries, temporal_queries  # noqa: F401
 
