@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrose.functions.clean import clipped
-from windrose.operators.profile import quantiles
+from windrose.operators.profile import joined_by, quantiles, quantiles_of
 from windrose.operators.stretches import numbered_with_known
 
 
@@ -39,7 +39,8 @@ def interpolated(df: DataFrame, on: Sequence[str], order_by: Sequence[str], colu
 
 def quartile_bounds(df: DataFrame, on: Sequence[str], column: str, factor: float = 3.0, least: int = 8) -> DataFrame:
     """Per key the bounds ``factor`` interquartile ranges beyond the quartiles; null for few rows or no spread."""
-    q = df.groupBy(*on).agg(F.percentile(column, F.lit(0.25)).alias("q1"), F.percentile(column, F.lit(0.75)).alias("q3"), F.count(column).alias("n"))
+    q = quantiles_of(df, on, column, [0.25, 0.75]).withColumnsRenamed({"p25": "q1", "p75": "q3"})
+    q = joined_by(df.groupBy(*on).agg(F.count(column).alias("n")), q, on)
     usable, spread = (F.col("n") >= least) & (F.col("q3") > F.col("q1")), F.col("q3") - F.col("q1")
     return q.select(*on, F.when(usable, F.col("q1") - factor * spread).alias("low"), F.when(usable, F.col("q3") + factor * spread).alias("high"))
 

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrose.functions.rules import HIGH_TARGET, LOW_TARGET
+from windrose.operators import trees
 from windrose.operators.metrics import regression
+from windrose.operators.profile import quantiles_of
 
 SEED = 42
 #: Categories of a column are kept by name; the null and those that training has not seen have a place of their own.
@@ -50,12 +54,36 @@ def regressors() -> dict[str, object]:
     return {"ridge": LinearRegression(regParam=10.0, elasticNetParam=0.0, **common), "forest": RandomForestRegressor(numTrees=20, maxDepth=6, seed=SEED, **common), "boosted_absolute": GBTRegressor(lossType="absolute", maxIter=10, maxDepth=4, seed=SEED, **common)}
 
 
-def fitted(train: DataFrame, name: str, numbers: Sequence[str], words: Sequence[str]) -> PipelineModel:
+#: Learners of ``operators.trees``, by name.
+TREE_LEARNERS = {"extra_trees": trees.extra_trees, "boosted_quantile": trees.boosted_quantile}
+
+
+@dataclass
+class PreparedTrees:
+    """Trees behind the preparation of their columns."""
+
+    preparation: PipelineModel
+    trees: trees.TreesModel
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return self.trees.transform(self.preparation.transform(rows).withColumn("x", vector_to_array("features"))).drop("x")
+
+
+def fitted(train: DataFrame, name: str, numbers: Sequence[str], words: Sequence[str], **arguments: object) -> PipelineModel | PreparedTrees:
+    """A model of one of ``regressors`` or ``TREE_LEARNERS``; the latter take arguments."""
+    if name in TREE_LEARNERS:
+        preparation = prepared(numbers, words, scale=False).fit(train)
+        rows = preparation.transform(train).select(vector_to_array("features").alias("x"), "label").persist()
+        try:
+            width = rows.select(F.size("x")).first()
+            return PreparedTrees(preparation, TREE_LEARNERS[name](rows, width[0] if width else 1, **arguments))
+        finally:
+            rows.unpersist()
     steps = prepared(numbers, words, scale=name == "ridge").getStages()
     return Pipeline(stages=[*steps, regressors()[name]]).fit(train)
 
 
-def predicted(model: Transformer, rows: DataFrame) -> DataFrame:
+def predicted(model: Transformer | PreparedTrees, rows: DataFrame) -> DataFrame:
     """Predictions kept within the range of the target."""
     p = F.col("prediction")
     return model.transform(rows).withColumn("prediction", F.when(p < LOW_TARGET, float(LOW_TARGET)).when(p > HIGH_TARGET, float(HIGH_TARGET)).otherwise(p))
@@ -63,16 +91,19 @@ def predicted(model: Transformer, rows: DataFrame) -> DataFrame:
 
 def median_baseline(train: DataFrame, rows: DataFrame) -> DataFrame:
     """Every row with the median label of the training rows."""
-    middle = train.agg(F.median("label").alias("prediction"))
+    middle = quantiles_of(train, [], "label", [0.5]).withColumnRenamed("p50", "prediction")
     return rows.join(F.broadcast(middle), F.lit(True))
 
 
-def ablation(train: DataFrame, test: DataFrame, sets: dict[str, tuple[Sequence[str], Sequence[str]]], names: Sequence[str]) -> DataFrame:
-    """One row of metrics for each feature set and model."""
-    out = None
-    for which, (numbers, words) in sets.items():
-        for name in names:
-            rows = median_baseline(train, test) if name == "median" else predicted(fitted(train, name, numbers, words), test)
-            part = rows.agg(*regression("label", "prediction")).select(F.lit(which).alias("features"), F.lit(name).alias("model"), "*")
-            out = part if out is None else out.unionByName(part)
+def ablation(train: DataFrame, test: DataFrame, sets: dict[str, tuple[Sequence[str], Sequence[str]]], names: Sequence[str], **learner: dict) -> DataFrame:
+    """One row of metrics for each feature set and model; ``learner`` has arguments of tree learners by their names."""
+    train, out = train.persist(), None
+    try:
+        for which, (numbers, words) in sets.items():
+            for name in names:
+                rows = median_baseline(train, test) if name == "median" else predicted(fitted(train, name, numbers, words, **learner.get(name, {})), test)
+                part = regression(rows, "label", "prediction").select(F.lit(which).alias("features"), F.lit(name).alias("model"), "*")
+                out = part if out is None else out.unionByName(part)
+    finally:
+        train.unpersist()
     return out

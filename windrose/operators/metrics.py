@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windrose.operators.profile import with_below
+from windrose.operators.profile import joined_by, quantiles, with_below
 
 
 def majority(votes: Sequence[Column], conflict: str = "CONFLICT") -> Column:
@@ -44,9 +44,27 @@ def auc(df: DataFrame, truth: str, score: str, on: Sequence[str] = ()) -> DataFr
     return sums.select(*on, F.try_divide(F.col("ranks") - pos * (pos + 1) / 2, pos * neg).alias("auc"))
 
 
-def regression(truth: str, predicted: str) -> list[Column]:
-    """MAE, median error, RMSE and R2 as aggregates."""
+def _sums(truth: str, predicted: str) -> list[Column]:
     error = F.abs(F.col(truth) - F.col(predicted))
     squares = F.sum(F.pow(F.col(truth) - F.col(predicted), F.lit(2)))
     spread = F.var_pop(truth) * F.count(truth)
-    return [F.count("*").alias("n"), F.avg(error).alias("mae"), F.percentile(error, F.lit(0.5)).alias("medae"), F.sqrt(squares / F.count("*")).alias("rmse"), (1 - F.try_divide(squares, spread)).alias("r2")]
+    return [F.count("*").alias("n"), F.avg(error).alias("mae"), F.sqrt(squares / F.count("*")).alias("rmse"), (1 - F.try_divide(squares, spread)).alias("r2")]
+
+
+def regression(rows: DataFrame, truth: str, predicted: str, sets: Sequence[Sequence[str]] = ((),)) -> DataFrame:
+    """MAE, median error, RMSE and R2 by each of the sets of keys; a key that a set has not got is null there.
+
+    The median comes from counts of errors in ordered parts, so no task holds the errors of a key.
+    """
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    number = lambda s: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s)
+    if keys:
+        sums = rows.groupingSets([list(s) for s in sets], *keys).agg(F.grouping_id().cast("bigint").alias("_set"), *_sums(truth, predicted))
+    else:
+        sums = rows.agg(*_sums(truth, predicted)).withColumn("_set", F.lit(0).cast("bigint"))
+    counts = rows.groupBy(*keys, F.abs(F.col(truth) - F.col(predicted)).alias("_error")).agg(F.count("*").alias("_m"))
+    kinds = dict(rows.dtypes)
+    copies = F.array(*(F.struct(F.lit(number(s)).cast("bigint").alias("_set"), *((F.col(k) if k in s else F.lit(None).cast(kinds[k])).alias(k) for k in keys)) for s in sets))
+    counts = counts.select("_error", "_m", F.explode(copies).alias("_x")).groupBy("_x._set", *(f"_x.{k}" for k in keys), "_error").agg(F.sum("_m").alias("_m"))
+    middle = quantiles(counts, ["_set", *keys], "_error", "_m", [0.5]).withColumnRenamed("p50", "medae")
+    return joined_by(sums, middle, ["_set", *keys]).select(*keys, "n", "mae", "medae", "rmse", "r2")

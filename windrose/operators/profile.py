@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from windrose.operators.stretches import HALO, STRETCH, with_halo
+
 
 def unpivoted(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """(keep..., column, value): one row per numeric cell."""
@@ -67,6 +69,19 @@ def quantiles(counts: DataFrame, on: Sequence[str], value: str, n: str, levels:
     return both.groupBy(*on).agg(*(F.max(F.when(F.col("level") == i, line)).alias(f"p{round(100 * q):02d}") for i, q in enumerate(levels)))
 
 
+def quantiles_of(df: DataFrame, on: Sequence[str], value: str, levels: Sequence[float]) -> DataFrame:
+    """``quantiles`` of a column's known values by key, as p25 and so on; null keys are keys."""
+    counts = df.groupBy(*on, F.col(value).cast("double").alias("_value")).agg(F.count("*").alias("_n"))
+    return quantiles(counts, on, "_value", "_n", levels)
+
+
+def joined_by(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``left`` with the columns of ``right``, which has one row for each key; null keys are equal."""
+    for i, c in enumerate(on):
+        right = right.withColumnRenamed(c, f"_k{i}")
+    return left.join(right, _same(on), "left").drop(*(f"_k{i}" for i in range(len(on))))
+
+
 def described(df: DataFrame, columns: Sequence[str], levels: Sequence[float] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """Per column: rows, missing, distinct, extremes, mean, deviation and exact quantiles, from one pass and counts by value."""
     one = {"n_rows": lambda c: F.count("*"), "n_missing": lambda c: F.count_if(c.isNull()), "lowest": F.min, "highest": F.max, "mean": F.avg, "deviation": F.stddev_samp}
@@ -126,13 +141,17 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)))).alias("x")).select("x.*")
 
 
-def autocorrelations(df: DataFrame, order: Sequence[str], column: str, lags: int, on: Sequence[str] = ()) -> DataFrame:
-    """(lag, acf) of a regular series: lagged products about the mean over the variance, the usual biased estimate."""
-    w = Window.partitionBy(*on).orderBy(*order)
-    centred = df.select(*on, *order, (F.col(column) - F.avg(column).over(Window.partitionBy(*on))).alias("d"))
-    products = [F.sum(F.col("d") * F.col(f"d{k}")) for k in range(lags + 1)]
-    shifted = centred.select(*on, "d", *(F.lag("d", k).over(w).alias(f"d{k}") for k in range(lags + 1)))
-    sums = shifted.groupBy(*on).agg(*(p.alias(f"s{k}") for k, p in enumerate(products)))
+def autocorrelations(df: DataFrame, order: Sequence[str], column: str, lags: int, on: Sequence[str] = (), bucket: int | None = None) -> DataFrame:
+    """(lag, acf) of a regular series: lagged products about the mean over the variance, the usual biased estimate.
+
+    With ``bucket`` (microseconds of the first of ``order``) a series goes to stretches of time.
+    """
+    rows, keys = with_halo(df, on, order, bucket, lags, [column]) if bucket else df.withColumn(HALO, F.lit(False)), [*on, *([STRETCH] if bucket else [])]
+    means = df.groupBy(*on).agg(F.avg(column).alias("_mean"))
+    centred = (joined_by(rows, means, on) if on else rows.join(F.broadcast(means), F.lit(True))).withColumn("d", F.col(column) - F.col("_mean"))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    shifted = centred.select(*on, HALO, "d", *(F.lag("d", k).over(w).alias(f"d{k}") for k in range(lags + 1))).filter(~F.col(HALO))
+    sums = shifted.groupBy(*on).agg(*(F.sum(F.col("d") * F.col(f"d{k}")).alias(f"s{k}") for k in range(lags + 1)))
     return sums.select(*on, F.posexplode(F.array(*(F.try_divide(F.col(f"s{k}"), F.col("s0")) for k in range(lags + 1)))).alias("lag", "acf"))
 
 

@@ -39,7 +39,7 @@ m AS (SELECT median(y) AS p FROM d WHERE scheduled < TIMESTAMP '{SPLIT}')
 SELECT count(*) AS n, round(avg(abs(y - p)), 6) AS mae, round(median(abs(y - p)), 6) AS medae, round(sqrt(avg((y - p) ** 2)), 6) AS rmse, round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 6) AS r2 FROM d, m WHERE scheduled >= TIMESTAMP '{SPLIT}'""")
 def median_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _halves(spark, sf_dir)
-    found = learning.median_baseline(train, test).agg(*metrics.regression("label", "prediction"))
+    found = metrics.regression(learning.median_baseline(train, test), "label", "prediction")
     return found.select("n", *(F.round(c, 6).alias(c) for c in ("mae", "medae", "rmse", "r2")))
 
 
@@ -70,7 +70,8 @@ def prepared_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of each feature set and model on the later flights; trees and descent have no form in SQL."""
     train, test = _halves(spark, sf_dir)
-    return learning.ablation(train.cache(), test.cache(), FEATURE_SETS, ["median", "ridge", "forest", "boosted_absolute"])
+    few = {"extra_trees": {"n_trees": 20, "max_depth": 4}, "boosted_quantile": {"n_trees": 4, "max_depth": 3, "rate": 0.3}}
+    return learning.ablation(train, test, FEATURE_SETS, ["median", "ridge", "forest", "boosted_absolute", "extra_trees", "boosted_quantile"], **few)
 
 
 @register("model_round_trip", FLIGHTS + f"""

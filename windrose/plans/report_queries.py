@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrose.functions.times import daypart
-from windrose.operators import impute, metrics, profile
+from windrose.operators import impute, metrics, profile, seasonal
 from windrose.plans.temporal_queries import STRETCH, events
 from windrose.registry import oracle_of, register
 
@@ -30,7 +30,9 @@ def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("daily_rates", """
 SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS highest, round(median(value), 6) AS mid, round(100.0 * count(*) FILTER (WHERE value > 45) / count(*), 6) AS high_percent FROM events GROUP BY 1""")
 def daily_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("highest"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("mid"), F.round(profile.rate(F.col("value") > 45), 6).alias("high_percent"))
+    df = events(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    sums = df.groupBy("day").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("highest"), F.round(profile.rate(F.col("value") > 45), 6).alias("high_percent"))
+    return profile.joined_by(sums, profile.quantiles_of(df, ["day"], "value", [0.5]), ["day"]).select("day", "n", "mean", "highest", F.round("p50", 6).alias("mid"), "high_percent")
 
 
 @register("monthly_rates", """
@@ -59,7 +61,7 @@ def grouping_sets_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer, nation = (_table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     rows = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, customer.c_nationkey == nation.n_nationkey)
     rows = rows.select(F.col("n_regionkey").alias("region"), F.month("o_orderdate").alias("month"), F.col("o_totalprice").alias("y"), (150000.0 + 40000 * (F.col("o_orderstatus") == "F").cast("int")).alias("p"))
-    out = rows.groupingSets([["region"], ["month"], ["region", "month"], []], "region", "month").agg(*metrics.regression("y", "p"))
+    out = metrics.regression(rows, "y", "p", [["region"], ["month"], ["region", "month"], []])
     return out.select("region", "month", "n", *(F.round(c, 3).alias(c) for c in ("mae", "medae", "rmse")), F.round("r2", 6).alias("r2"))
 
 
@@ -233,7 +235,18 @@ def acf(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = events(spark, sf_dir).withColumn("one", F.lit(1))
     counts = df.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"))
     series = hour_grid(df, "one", "ts").join(counts, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
-    return profile.autocorrelations(series, ["hour"], "n", 24).select("lag", F.round("acf", 9).alias("acf"))
+    return profile.autocorrelations(series, ["hour"], "n", 24, bucket=5 * STRETCH).select("lag", F.round("acf", 9).alias("acf"))
+
+
+@register("seasonal_parts")
+def seasonal_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly means of each type of event, hours without any as 0, decomposed by the day; loops of regressions have no SQL."""
+    from windrose.functions.times import hour_grid
+
+    df = events(spark, sf_dir)
+    means = df.groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.avg("value").alias("v"))
+    series = hour_grid(df, "event_type", "ts").join(means, ["event_type", "hour"], "left").select("event_type", "hour", F.coalesce("v", F.lit(0.0)).alias("v"))
+    return seasonal.stl(series, ["event_type"], "hour", "v", 24)
 
 
 @register("radar_scaled", """
@@ -259,6 +272,8 @@ WITH a AS (SELECT event_type, hour(ts)::INTEGER AS hour, median(value) AS m, cou
 SELECT event_type, hour, round(CASE WHEN n >= 80 THEN a.m ELSE f.m END, 6) AS value FROM a JOIN f USING (event_type)""")
 def context_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = events(spark, sf_dir)
-    by_hour = df.groupBy("event_type", F.hour("ts").alias("hour")).agg(F.percentile("value", F.lit(0.5)).alias("m"), F.count("*").alias("n"))
-    overall = df.groupBy("event_type").agg(F.percentile("value", F.lit(0.5)).alias("f"))
+    df = df.withColumn("hour", F.hour("ts"))
+    middle = lambda on, name: profile.quantiles_of(df, on, "value", [0.5]).withColumnRenamed("p50", name)
+    by_hour = profile.joined_by(df.groupBy("event_type", "hour").agg(F.count("*").alias("n")), middle(["event_type", "hour"], "m"), ["event_type", "hour"])
+    overall = middle(["event_type"], "f")
     return by_hour.join(overall, "event_type").select("event_type", "hour", F.round(F.when(F.col("n") >= 80, F.col("m")).otherwise(F.col("f")), 6).alias("value"))
