@@ -20,6 +20,23 @@ REGIONAL = "AT"
 PEAK_LOAD, USUAL_LOAD, MOST_LOAD = 80.0, 55.0, 98.0
 
 
+# What the names of low-cost and of full-service carriers contain; the former are tried first.
+LOW_COST = ("vietjet", "bamboo", "vietravel", "sun phuquoc", "air asia", "airasia", "cebu pacific", "scoot", "lion air", "batik", "citilink", "flyone", "t'way", "eastar", "jeju air", "jin air", "air seoul", "air busan", "aero-k", "air premia", "peach", "tigerair", "express", "greater bay", "spring airlines", "indigo", "pegasus", "skyup", "transavia", "ruili")
+FULL_SERVICE = ("vietnam airlines", "vasco", "pacific airlines", "singapore airlines", "malaysia airlines", "thai airways", "philippine airlines", "royal brunei", "myanmar", "lao airlines", "cambodia", "korean air", "asiana", "japan airlines", "all nippon", "china airlines", "eva air", "starlux", "cathay", "macau", "mandarin", "china southern", "china eastern", "air china", "hainan", "shenzhen", "xiamen", "sichuan", "shandong", "chongqing", "emirates", "qatar", "etihad", "saudi", "ethiopian", "air france", "lufthansa", "turkish", "iberia", "united airlines", "cubana", "mongolian", "bhutan", "drukair")
+
+
+def airline_type(airline: Column) -> Column:
+    """LCC, FSC or Other by what the airline's name contains."""
+    name = F.coalesce(F.lower(airline), F.lit(""))
+    low, full = (name.rlike("|".join(names)) for names in (LOW_COST, FULL_SERVICE))
+    return F.when(low, "LCC").when(full, "FSC").otherwise("Other")
+
+
+def time_of_day(hour: Column) -> Column:
+    """Early_Morning to 5, Morning to 11, Afternoon to 17, then Night; Unknown without an hour."""
+    return F.when(hour.isNull(), "Unknown").when(hour < 6, "Early_Morning").when(hour < 12, "Morning").when(hour < 18, "Afternoon").otherwise("Night")
+
+
 def lookup(column: Column, table: dict[str, object], default: object = None) -> Column:
     out = F.lit(default)
     for key, value in table.items():

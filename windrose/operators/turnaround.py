@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrose.functions import rules
-from windrose.functions.times import MINUTE, minutes_between
+from windrose.functions.times import DAY, MINUTE, is_peak, minutes_between
+from windrose.operators.history import changed_within, safe_lags
 from windrose.operators.temporal import Range, all_range_sums, asof, range_sums
 
 # How full an airport is when it counts as congested; status words of a diverted flight.
@@ -23,16 +24,18 @@ def incoming(departures: DataFrame, arrivals: DataFrame) -> DataFrame:
     """Departures with the last arrival of their aircraft strictly before the scheduled time, links imputed.
 
     ``is_imputed`` marks records whose link is missing. An imputed arrival counts as the scheduled time less the standard
-    turnaround, without delay; an imputed departure without actual time as the arrival plus the standard turnaround.
+    turnaround, without delay; an imputed departure without actual time as the arrival plus the standard turnaround. A
+    departure counts as diverted before by its previous arrival's status or its own flag ``is_return_emergency``, if it has one.
     """
-    right = arrivals.select("tail", "row_id", F.col("actual").alias("arrived"), F.col("status").alias("prev_status"), F.when(F.col("is_imputed"), 0.0).otherwise(F.coalesce(minutes_between(F.col("actual"), F.col("scheduled")), F.lit(0.0))).alias("delay_of_leg"), rules.standard_turnaround(F.col("aircraft")).alias("standard"), F.col("is_imputed").alias("imputed"), F.col("airport").alias("prev_airport"))
-    take = {"row_id": "prev_row", "arrived": "prev_arrival", "prev_status": "prev_status", "delay_of_leg": "arrival_delay", "standard": "standard_turnaround", "imputed": "prev_imputed", "prev_airport": "prev_airport"}
+    right = arrivals.select("tail", "row_id", F.col("actual").alias("arrived"), F.col("status").alias("prev_status"), F.when(F.col("is_imputed"), 0.0).otherwise(F.coalesce(minutes_between(F.col("actual"), F.col("scheduled")), F.lit(0.0))).alias("delay_of_leg"), rules.standard_turnaround(F.col("aircraft")).alias("standard"), F.col("is_imputed").alias("imputed"), F.col("airport").alias("prev_airport"), F.col("iata").alias("prev_station"))
+    take = {"row_id": "prev_row", "arrived": "prev_arrival", "prev_status": "prev_status", "delay_of_leg": "arrival_delay", "standard": "standard_turnaround", "imputed": "prev_imputed", "prev_airport": "prev_airport", "prev_station": "prev_station"}
     out = asof(departures, right, ["tail"], "scheduled", "arrived", take, strict=True, tie="row_id")
     out = out.withColumn("standard_turnaround", F.coalesce("standard_turnaround", F.lit(rules.STANDARD_TURNAROUND))).withColumn("prev_imputed", F.coalesce("prev_imputed", F.lit(False)))
     out = out.withColumn("prev_arrival", F.when(F.col("prev_imputed"), _plus_minutes(F.col("scheduled"), -F.col("standard_turnaround"))).otherwise(F.col("prev_arrival")))
     assumed = F.when(F.col("is_imputed") & F.col("prev_arrival").isNotNull(), _plus_minutes(F.col("prev_arrival"), F.col("standard_turnaround")))
     out = out.withColumn("actual", F.coalesce("actual", assumed)).withColumn("arrival_delay", F.coalesce("arrival_delay", F.lit(0.0)))
-    return out.withColumn("is_diverted_prev", F.coalesce(F.lower("prev_status").rlike(DIVERTED), F.lit(False)).cast("int"))
+    returned = F.coalesce(F.col("is_return_emergency"), F.lit(False)) if "is_return_emergency" in departures.columns else F.lit(False)
+    return out.withColumn("is_diverted_prev", (F.coalesce(F.lower("prev_status").rlike(DIVERTED), F.lit(False)) | returned).cast("int"))
 
 
 def ground_times(df: DataFrame) -> DataFrame:
@@ -94,3 +97,55 @@ def arrival_side(arrivals: DataFrame, flights: DataFrame) -> DataFrame:
     load = F.col("_around") / rules.lookup(F.col("airport"), rules.CAPACITY, rules.OTHER_CAPACITY)
     rows = rows.withColumn("load", load).withColumn("is_parallel", (load >= CONGESTED).cast("int")).withColumn("density_disruption", F.when(F.col("_planned") > 0, F.col("_bad") / F.col("_planned")).otherwise(0.0))
     return rows.drop("_around", "_planned", "_bad")
+
+
+def _disrupted(flights: DataFrame) -> Column:
+    """Whether an arrival came more than ``DISRUPTED_DELAY`` minutes late or has a status of a diverted flight."""
+    late = F.coalesce(minutes_between(F.col("actual"), F.col("scheduled")) > DISRUPTED_DELAY, F.lit(False))
+    return (late | F.coalesce(F.lower("status").rlike(DIVERTED), F.lit(False))).cast("bigint")
+
+
+def departure_load(departures: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """Departures with their incoming leg, with the load of the airport by planned arrivals around, and disruptions here and
+    at the previous station; all by plan, so nothing of the flight's own outcome is looked at.
+
+    The share of disrupted arrivals here is that of the hour before the plan, at the previous station of the hour before the
+    aircraft's arrival; 0 where none was planned or the station is not known.
+    """
+    planned = arrivals.filter("scheduled IS NOT NULL").withColumn("_late", _disrupted(arrivals))
+    one = F.lit(1).cast("bigint")
+    hour = Range(planned, "scheduled", -60 * MINUTE, -1, {"flights_last_hour": one})
+    around = Range(planned, "scheduled", -30 * MINUTE, 30 * MINUTE, {"_around": one})
+    before = Range(planned, "scheduled", -60 * MINUTE, 0, {"_planned": one, "_bad": F.col("_late")})
+    rows = all_range_sums(departures, ["airport"], "scheduled", [hour, around, before])
+    there = planned.select(F.col("airport").alias("prev_station"), "scheduled", "_late")
+    rows = all_range_sums(rows, ["prev_station"], "prev_arrival", [Range(there, "scheduled", -60 * MINUTE, 0, {"_planned_there": one, "_bad_there": F.col("_late")})])
+    capacity = rules.lookup(F.col("airport"), rules.CAPACITY, rules.OTHER_CAPACITY)
+    share = lambda bad, n: F.when(F.col(n) > 0, F.col(bad) / F.col(n)).otherwise(0.0)
+    rows = rows.withColumns({"load": F.col("_around") / capacity, "is_congested": (F.col("flights_last_hour") >= CONGESTED * capacity).cast("int"), "density_disruption": share("_bad", "_planned"), "previous_station_disruption": share("_bad_there", "_planned_there")})
+    return rows.withColumn("is_parallel", (F.col("load") >= CONGESTED).cast("int")).drop("_around", "_planned", "_bad", "_planned_there", "_bad_there")
+
+
+def delay_lags(departures: DataFrame, bucket: int = DAY) -> DataFrame:
+    """Departures (with ``departure_delay`` and ``turnaround_buffer_model``) with what their aircraft and their airport went
+    through before, as far as it was known at the planned time; an airport's rows go to stretches of ``bucket`` microseconds.
+
+    By aircraft the delays of the last two flights and the mean of the last three, the buffers likewise; by airport the last
+    delay and the mean of three; and whether the airport's runway is another one than an hour before at most.
+    """
+    by_tail = safe_lags(departures, ["tail"], "scheduled", "actual", "row_id", "departure_delay", 3)
+    names = {"lag_1": "prev_departure_delay_tail_1", "lag_2": "prev_departure_delay_tail_2", "known_mean": "rolling_departure_delay_tail_3"}
+    out = by_tail.withColumnsRenamed(names).drop("lag_3", "rolling_mean")
+    tail = Window.partitionBy("tail").orderBy("scheduled", "row_id")
+    buffer = "turnaround_buffer_model"
+    out = out.withColumns({**{f"prev_turnaround_buffer_tail_{k}": F.lag(buffer, k).over(tail) for k in (1, 2)}, "rolling_turnaround_buffer_tail_3": F.avg(buffer).over(tail.rowsBetween(-3, -1))})
+    out = safe_lags(out, ["airport"], "scheduled", "actual", "row_id", "departure_delay", 3, bucket=bucket)
+    out = out.withColumnsRenamed({"lag_1": "prev_departure_delay_airport_1", "known_mean": "rolling_departure_delay_airport_3"}).drop("lag_2", "lag_3", "rolling_mean")
+    out = changed_within(out, ["airport"], "scheduled", "row_id", "runway", 60 * MINUTE, bucket=bucket)
+    return out.withColumn("runway_swap", F.col("changed").cast("int")).drop("changed")
+
+
+def flight_profile(flights: DataFrame) -> DataFrame:
+    """Flights with body, type of airline, time of day and peak hour; departures by plan, arrivals by what was."""
+    at = F.when(F.col("mode") == "arrival", F.col("actual")).otherwise(F.col("scheduled"))
+    return flights.withColumns({"is_wide_body": F.coalesce(rules.is_wide_body(F.col("aircraft")), F.lit(False)).cast("int"), "airline_type": rules.airline_type(F.col("airline")), "time_of_day": rules.time_of_day(F.hour(at)), "is_peak_hour": F.coalesce(is_peak(at), F.lit(False)).cast("int")})

@@ -186,6 +186,53 @@ def network_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turnaround.network_pressure(rows.filter("mode = 'departure'"), rows).select("row_id", "handling_pressure", "destination_congestion", "taxi_out")
 
 
+@register("diverted_before", FLIGHTS + "," + INCOMING + """
+SELECT row_id, (regexp_matches(lower(coalesce(prev_status, '')), 'divert|return|emergency') OR row_id % 41 = 0)::INT AS is_diverted_prev FROM inc""")
+def diverted_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flights(spark, sf_dir)
+    flagged = rows.filter("mode = 'departure'").withColumn("is_return_emergency", F.when(F.col("row_id") % 5 > 0, F.col("row_id") % 41 == 0).otherwise(F.when(F.col("row_id") % 41 == 0, True)))
+    return turnaround.incoming(flagged, rows.filter("mode = 'arrival'")).select("row_id", "is_diverted_prev")
+
+
+@register("departure_load", FLIGHTS + "," + INCOMING + f""",
+e AS (SELECT *, (coalesce((epoch_us(actual) - epoch_us(scheduled)) / 60000000.0 > 45, FALSE) OR regexp_matches(lower(status), 'divert|return|emergency'))::INT AS late FROM flights WHERE mode = 'arrival' AND scheduled IS NOT NULL),
+d AS (SELECT inc.row_id, inc.scheduled, inc.prev_arrival, f.airport, p.iata AS station FROM inc JOIN flights f USING (row_id) LEFT JOIN flights p ON p.row_id = inc.prev_row),
+c AS (SELECT d.*, (SELECT count(*) FROM e WHERE e.airport = d.airport AND e.scheduled >= d.scheduled - INTERVAL 60 MINUTE AND e.scheduled < d.scheduled) AS hour_before,
+  (SELECT count(*) FROM e WHERE e.airport = d.airport AND e.scheduled BETWEEN d.scheduled - INTERVAL 30 MINUTE AND d.scheduled + INTERVAL 30 MINUTE) AS around,
+  (SELECT count(*) FROM e WHERE e.airport = d.airport AND e.scheduled BETWEEN d.scheduled - INTERVAL 60 MINUTE AND d.scheduled) AS n, (SELECT count(*) FROM e WHERE late = 1 AND e.airport = d.airport AND e.scheduled BETWEEN d.scheduled - INTERVAL 60 MINUTE AND d.scheduled) AS bad,
+  (SELECT count(*) FROM e WHERE e.airport = d.station AND e.scheduled BETWEEN d.prev_arrival - INTERVAL 60 MINUTE AND d.prev_arrival) AS pn, (SELECT count(*) FROM e WHERE late = 1 AND e.airport = d.station AND e.scheduled BETWEEN d.prev_arrival - INTERVAL 60 MINUTE AND d.prev_arrival) AS pbad FROM d)
+SELECT row_id, hour_before AS flights_last_hour, round(around / {CAPACITY.format('airport')}, 9) AS load, (hour_before >= 0.85 * {CAPACITY.format('airport')})::INT AS is_congested, (around / {CAPACITY.format('airport')} >= 0.85)::INT AS is_parallel,
+       round(CASE WHEN n > 0 THEN bad / n ELSE 0 END, 9) AS density_disruption, round(CASE WHEN pn > 0 THEN pbad / pn ELSE 0 END, 9) AS previous_station_disruption FROM c""")
+def departure_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = turnaround.departure_load(_incoming(spark, sf_dir), flights(spark, sf_dir).filter("mode = 'arrival'"))
+    return found.select("row_id", "flights_last_hour", "is_congested", "is_parallel", *(F.round(c, 9).alias(c) for c in ("load", "density_disruption", "previous_station_disruption")))
+
+
+@register("delay_lags", FLIGHTS + "," + INCOMING + """,
+x AS (SELECT del.row_id, f.tail, f.airport, f.runway, del.scheduled, del.actual, round_even(dd, 0)::BIGINT AS delay, CASE WHEN NOT long THEN buffer END AS b FROM del JOIN flights f USING (row_id)),
+l AS (SELECT row_id, CASE WHEN lag(actual, 1) OVER t <= scheduled THEN lag(delay, 1) OVER t END AS t1, CASE WHEN lag(actual, 2) OVER t <= scheduled THEN lag(delay, 2) OVER t END AS t2, CASE WHEN lag(actual, 3) OVER t <= scheduled THEN lag(delay, 3) OVER t END AS t3,
+  lag(b, 1) OVER t AS b1, lag(b, 2) OVER t AS b2, avg(b) OVER (PARTITION BY tail ORDER BY scheduled NULLS FIRST, row_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS b3,
+  CASE WHEN lag(actual, 1) OVER a <= scheduled THEN lag(delay, 1) OVER a END AS a1, CASE WHEN lag(actual, 2) OVER a <= scheduled THEN lag(delay, 2) OVER a END AS a2, CASE WHEN lag(actual, 3) OVER a <= scheduled THEN lag(delay, 3) OVER a END AS a3,
+  coalesce(lag(runway) OVER a <> runway AND epoch_us(scheduled) - epoch_us(lag(scheduled) OVER a) <= 3600000000, FALSE)::INT AS swap
+  FROM x WINDOW t AS (PARTITION BY tail ORDER BY scheduled NULLS FIRST, row_id), a AS (PARTITION BY airport ORDER BY scheduled NULLS FIRST, row_id))
+SELECT row_id, t1 AS prev_departure_delay_tail_1, t2 AS prev_departure_delay_tail_2, round(list_avg(list_filter([t1, t2, t3], lambda v: v IS NOT NULL)), 9) AS rolling_departure_delay_tail_3, round(b1, 9) AS prev_turnaround_buffer_tail_1, round(b2, 9) AS prev_turnaround_buffer_tail_2,
+       round(b3, 9) AS rolling_turnaround_buffer_tail_3, a1 AS prev_departure_delay_airport_1, round(list_avg(list_filter([a1, a2, a3], lambda v: v IS NOT NULL)), 9) AS rolling_departure_delay_airport_3, swap AS runway_swap FROM l""")
+def delay_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = turnaround.delay_lags(turnaround.ground_times(_incoming(spark, sf_dir)))
+    exact = ["row_id", "prev_departure_delay_tail_1", "prev_departure_delay_tail_2", "prev_departure_delay_airport_1", "runway_swap"]
+    rounded = ["rolling_departure_delay_tail_3", "prev_turnaround_buffer_tail_1", "prev_turnaround_buffer_tail_2", "rolling_turnaround_buffer_tail_3", "rolling_departure_delay_airport_3"]
+    return found.select(*exact, *(F.round(c, 9).alias(c) for c in rounded))
+
+
+@register("flight_profile", FLIGHTS + """,
+x AS (SELECT *, CASE WHEN mode = 'arrival' THEN actual ELSE scheduled END AS moment FROM flights)
+SELECT row_id, (upper(trim(aircraft)) IN ('A359', 'B789', 'B747', 'A330', 'B77X', 'B78X', 'A333', 'B77W', 'B788'))::INT AS is_wide_body, CASE airline WHEN 'Vietnam Airlines' THEN 'FSC' ELSE 'LCC' END AS airline_type,
+       CASE WHEN moment IS NULL THEN 'Unknown' WHEN hour(moment) < 6 THEN 'Early_Morning' WHEN hour(moment) < 12 THEN 'Morning' WHEN hour(moment) < 18 THEN 'Afternoon' ELSE 'Night' END AS time_of_day,
+       coalesce(hour(moment) * 60 + minute(moment) BETWEEN 420 AND 540 OR hour(moment) * 60 + minute(moment) BETWEEN 990 AND 1170, FALSE)::INT AS is_peak_hour FROM x""")
+def flight_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turnaround.flight_profile(flights(spark, sf_dir)).select("row_id", "is_wide_body", "airline_type", "time_of_day", "is_peak_hour")
+
+
 @register("arrival_side", FLIGHTS + f""",
 a AS (SELECT *, CASE WHEN is_imputed THEN 0 ELSE coalesce((epoch_us(actual) - epoch_us(scheduled)) / 60000000.0, 0) END AS delay FROM flights WHERE mode = 'arrival'),
 e AS (SELECT *, (coalesce(mode = 'arrival' AND (epoch_us(actual) - epoch_us(scheduled)) / 60000000.0 > 45, FALSE) OR regexp_matches(lower(status), 'divert|return|emergency'))::INT AS late FROM flights),
