@@ -10,6 +10,7 @@ from windrose.operators import flights as repair
 from windrose.plans.flight_queries import FLIGHTS, flights
 from windrose.plans.temporal_queries import events
 from windrose.registry import register
+from windrose.sources import html_tables
 from windrose.sources.pages import aircraft_and_tail, term_value
 from windrose.sources.pages import board_rows as html_rows
 from windrose.sources.pages import detail_fields as panel_fields
@@ -165,30 +166,44 @@ def gate_and_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("board_rows", """
-SELECT user_id % 7 AS page_id, event_id, '10:0' || (event_id % 10) AS scheduled, '1' || (event_id % 3) || ':30' AS actual, 'Ha Noi' AS city, 'HAN' AS iata FROM events WHERE event_id % 2 = 0
-UNION ALL SELECT user_id % 7, event_id, '1' || (event_id % 3) || ':30', '1' || (event_id % 3) || ':30', NULL, NULL FROM events WHERE event_id % 2 = 1""")
+SELECT event_id // 50 AS page_id, event_id, '10:0' || (event_id % 10) AS scheduled, '1' || (event_id % 3) || ':30' AS actual, 'Ha Noi' AS city, 'HAN' AS iata FROM events WHERE event_id % 2 = 0
+UNION ALL SELECT event_id // 50, event_id, '1' || (event_id % 3) || ':30', '1' || (event_id % 3) || ':30', NULL, NULL FROM events WHERE event_id % 2 = 1""")
 def board_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boards of many rows: a struck-out time is the scheduled one, else both are the same."""
     i = F.col("event_id")
     struck = F.when(i % 2 == 0, F.format_string("<del> 10:0%d </del>", i % 10)).otherwise("")
     place = F.when(i % 2 == 0, "<b>Ha  Noi</b> (HAN)").otherwise("somewhere")
     row = F.concat(F.lit("<TR class='x'><td>"), struck, F.format_string("1%d:30</td><td>", i % 3), place, F.lit("</td><td>"), i.cast("string"), F.lit("</td></tr>"))
-    pages = events(spark, sf_dir).groupBy((F.col("user_id") % 7).alias("page_id")).agg(F.concat(F.lit("<table><tr><th>Time</th></tr>"), F.array_join(F.collect_list(row), "\n"), F.lit("</table>")).alias("html"))
+    pages = events(spark, sf_dir).groupBy(F.expr("event_id div 50").alias("page_id")).agg(F.concat(F.lit("<table><tr><th>Time</th></tr>"), F.array_join(F.collect_list(row), "\n"), F.lit("</table>")).alias("html"))
     return html_rows(pages).select("page_id", F.get("cells", F.lit(2)).cast("bigint").alias("event_id"), "scheduled", "actual", "city", "iata")
 
 
 @register("history_rows", """
-SELECT user_id % 7 AS page_id, event_id::VARCHAR AS flight, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'B78X' END AS aircraft, CASE WHEN event_id % 5 IN (0, 1) THEN NULL ELSE 'VN-A' || (event_id % 9) END AS tail, CASE WHEN event_id % 4 > 0 THEN '10:00' END AS std FROM events""")
+SELECT event_id // 50 AS page_id, event_id::VARCHAR AS flight, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'B78X' END AS aircraft, CASE WHEN event_id % 5 IN (0, 1) THEN NULL ELSE 'VN-A' || (event_id % 9) END AS tail, CASE WHEN event_id % 4 > 0 THEN '10:00' END AS std FROM events""")
 def history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     plane = F.when(i % 5 == 0, "—").when(i % 5 == 1, "B78X").otherwise(F.format_string("B78X (<a>VN-A%d</a>)", i % 9))
     row = F.concat(F.lit('<tr class=" data-row x"><td>'), i.cast("string"), F.lit("</td><td>"), plane, F.lit("</td><td>"), F.when(i % 4 == 0, "—").otherwise("10:00"), F.lit("</td></tr><tr class='note'><td>no row</td></tr>"))
-    pages = events(spark, sf_dir).groupBy((F.col("user_id") % 7).alias("page_id")).agg(F.array_join(F.collect_list(row), "").alias("html"))
+    pages = events(spark, sf_dir).groupBy(F.expr("event_id div 50").alias("page_id")).agg(F.array_join(F.collect_list(row), "").alias("html"))
     found = table_rows(pages, {"flight": 0, "plane": 1, "std": 2})
     aircraft, tail = aircraft_and_tail(F.col("plane"))
     return found.select("page_id", "flight", aircraft.alias("aircraft"), tail.alias("tail"), "std")
 
 
+@register("board_tables", """
+WITH e AS (SELECT event_id AS i, event_id - event_id % 2 AS j FROM events)
+SELECT i // 50 AS page_id, i AS event_id, '10:0' || (j % 10) AS scheduled, '1' || (j % 3) || ':30' AS actual, CASE WHEN i % 2 = 0 THEN 'Ha Noi' ELSE 'somewhere' END AS city, CASE WHEN i % 2 = 0 THEN 'HAN' END AS iata FROM e""")
+def board_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boards whose rows are not closed, share a time cell over two rows and hold tables of their own."""
+    i = F.col("event_id")
+    even = F.concat(F.format_string('<tr class="x datarows"><td rowspan=2><div class="del">10:0%d</div><div class="d-none">9:99</div><div>1%d:30</div><td>Ha <b>Noi</b> (HAN)<table><tr class=datarows-not><td>inner</table></td><td>', i % 10, i % 3), i.cast("string"))
+    odd = F.concat(F.lit("<tr class='datarows'><td>somewhere<td> "), i.cast("string"), F.lit(" </tr>"))
+    row = F.struct(i.alias("i"), F.when(i % 2 == 0, even).otherwise(odd).alias("row"))
+    pages = events(spark, sf_dir).groupBy(F.expr("event_id div 50").alias("page_id")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    pages = pages.select("page_id", F.concat(F.lit("<table><tr><th>Time<th>From"), F.array_join(F.col("rows.row"), "\n"), F.lit("</table>")).alias("html"))
+    return html_tables.board(pages).select("page_id", F.get("cells", F.lit(2)).cast("bigint").alias("event_id"), "scheduled", "actual", "city", "iata")
+
+
 @register("detail_fields", """
 SELECT event_id, event_type AS category, 'VN' || user_id AS flight, CASE WHEN event_id % 3 > 0 THEN 'VN-A' || user_id END AS tail, CASE WHEN event_id % 2 = 0 THEN '3' END AS terminal FROM events""")
 def detail_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,12 +240,13 @@ def audit_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.join(imputed, "row_id", "left").select("row_id", "airport", rules.lookup(F.col("airport"), {"SGN": "south", "HAN": "north"}).alias("region"), F.coalesce("tail", "imputed_tail").alias("tail"))
 
 
-@register("column_lookup", """SELECT 'event_id' AS id_column, 'value' AS delay_column, CAST(NULL AS VARCHAR) AS none, (SELECT count(*) FROM events) AS n""")
+@register("column_lookup", """SELECT user_id, max(event_id) AS last_id, round(sum(value), 6) AS total, CAST(NULL AS VARCHAR) AS gate FROM events GROUP BY 1""")
 def column_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns by names that people write: the same but for case and signs, else the first that holds the name."""
+    """Measures over columns by names that people write: the same but for case and signs, else the first that holds the name."""
     rows = events(spark, sf_dir)
-    found = {n: clean.found_column(rows.columns, wanted) for n, wanted in (("id_column", ["Event ID"]), ("delay_column", ["minutes", "VAL"]), ("none", ["gate"]))}
-    return rows.agg(F.count("*").alias("n")).select(*(F.lit(c).cast("string").alias(n) for n, c in found.items()), "n")
+    by, last, total, none = (clean.found_column(rows.columns, wanted) for wanted in (["User-ID"], ["Event ID"], ["minutes", "VAL"], ["gate"]))
+    gate = F.lit(None).cast("string") if none is None else F.max(none)
+    return rows.groupBy(F.col(by).alias("user_id")).agg(F.max(last).alias("last_id"), F.round(F.sum(total), 6).alias("total"), gate.alias("gate"))
 
 
 @register("master_with_defaults", """SELECT event_id, coalesce(CASE WHEN event_id % 3 > 0 THEN value END, 0.0) AS value, 'CODE_99' AS code, user_id FROM events""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from windrose.functions.rules import standard_turnaround
 from windrose.functions.times import daypart, is_peak, minutes_between
-from windrose.operators import learning, metrics
+from windrose.operators import learning, metrics, serving
 from windrose.plans.flight_queries import FLIGHTS, flights
 from windrose.plans.source_queries import folder
 from windrose.registry import register
@@ -74,6 +74,22 @@ def model_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.ablation(train, test, FEATURE_SETS, ["median", "ridge", "forest", "boosted_absolute", "extra_trees", "boosted_quantile"], **few)
 
 
+@register("serving_vectors", FLIGHTS + f"""
+SELECT count(*) AS n, 0::BIGINT AS n_other_vectors, 0::BIGINT AS n_other_predictions FROM flights WHERE mode = 'departure' AND actual IS NOT NULL AND scheduled IS NOT NULL AND scheduled >= TIMESTAMP '{SPLIT}'""")
+def serving_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bundle that was written and read again makes the vectors and predictions of the preparation that it was taken from."""
+    from pyspark.ml.functions import vector_to_array
+
+    train, test = _halves(spark, sf_dir)
+    path, model = folder(spark), learning.fitted(train, "extra_trees", NUMBERS, WORDS, n_trees=5, max_depth=3)
+    serving.bundled(model).save(spark, path)
+    bundle = serving.load(spark, path)
+    rows = learning.predicted(model, test).withColumnRenamed("prediction", "p")
+    rows = rows.withColumn("v", vector_to_array("features"))
+    served = learning.predicted(bundle.model, bundle.vectors(rows))
+    return served.agg(F.count("*").alias("n"), F.count_if(F.col("x") != F.col("v")).alias("n_other_vectors"), F.count_if(F.abs(F.col("p") - F.col("prediction")) > 1e-9).alias("n_other_predictions"))
+
+
 @register("model_round_trip", FLIGHTS + f"""
 SELECT count(*) AS n, 0::BIGINT AS n_differing FROM flights WHERE mode = 'departure' AND actual IS NOT NULL AND scheduled IS NOT NULL AND scheduled >= TIMESTAMP '{SPLIT}'""")
 def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,9 +71,9 @@ def hourly_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("schedule_cache", """
-SELECT 'VN' || (user_id % 40) AS flight, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%H:%M') AS std, count(*) AS n FROM events GROUP BY ALL""")
+SELECT 'VN' || user_id AS flight, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%H:%M') AS std, count(*) AS n FROM events GROUP BY ALL""")
 def schedule_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flight = F.concat(F.lit("VN"), (F.col("user_id") % 40).cast("string"))
+    flight = F.concat(F.lit("VN"), F.col("user_id").cast("string"))
     leg = F.struct(F.date_format("ts", "HH:mm").alias("std"), F.lit(None).cast("string").alias("atd"))
     days = events(spark, sf_dir).groupBy(flight.alias("flight"), F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.collect_list(leg).alias("legs"))
     cache = days.groupBy("flight").agg(F.map_from_entries(F.collect_list(F.struct("day", "legs"))).alias("schedule")).select(F.to_json(F.create_map("flight", F.struct("schedule"))).alias("body"))
