@@ -159,6 +159,11 @@ def with_tails_of_swaps(flights: DataFrame, airport: str = "DAD") -> DataFrame:
     return flights.join(new, "row_id", "left").withColumn("tail", F.coalesce("_new", "tail")).drop("_new")
 
 
+def settled_swaps(flights: DataFrame, airport: str = "DAD") -> DataFrame:
+    """``swaps`` once more, after the tails at ``airport`` were set right by the first ones."""
+    return swaps(with_tails_of_swaps(flights, airport))
+
+
 def match_quality(flights: DataFrame) -> DataFrame:
     """``flights`` with the match flags: passenger flights whose other end is missing are marked and left out of training."""
     rows = flights.filter(F.col("iata") != F.col("airport")).withColumn("_event", event_time()).filter("_event IS NOT NULL AND flight_no IS NOT NULL")

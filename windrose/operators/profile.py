@@ -99,6 +99,13 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.join(F.broadcast(counts.agg(F.sum("n").alias("_all"))), F.lit(True)).withColumn("share", F.col("n") / F.col("_all")).drop("_all")
 
 
+def seasonal_index(df: DataFrame, on: Sequence[str], column: str) -> DataFrame:
+    """By key the mean of ``column``, and its ratio to the mean of all rows; null where that is 0."""
+    means = df.groupBy(*on).agg(F.count("*").alias("n"), F.avg(column).alias("mean"))
+    whole = df.agg(F.avg(column).alias("_whole"))
+    return means.join(F.broadcast(whole), F.lit(True)).withColumn("index", F.try_divide("mean", F.nullif("_whole", F.lit(0.0)))).drop("_whole")
+
+
 def near_constant(df: DataFrame, columns: Sequence[str], least: float = 0.995) -> DataFrame:
     """Per column the share of its most frequent value, and whether it is at least ``least``."""
     counts = unpivoted(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))

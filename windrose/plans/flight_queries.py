@@ -118,6 +118,24 @@ def swap_tail_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.with_tails_of_swaps(flights(spark, sf_dir)).select("row_id", "tail")
 
 
+NEW_TAILS = """new AS (SELECT row_id, upper(trim(matched_tail)) AS t FROM sw WHERE is_swapped AND airport = 'DAD'
+        UNION ALL SELECT arr_row, arg_max(upper(trim(tail)), (event, row_id)) FROM sw WHERE is_swapped AND iata = 'DAD' GROUP BY 1),
+settled AS (SELECT flights.* REPLACE (coalesce(t, tail) AS tail) FROM flights LEFT JOIN new USING (row_id))"""
+
+
+def _again(sql: str) -> str:
+    """The SQL of the swaps over the settled flights, under other names."""
+    for old, new in (("FROM flights", "FROM settled"), ("JOIN flights", "JOIN settled"), ("pairs", "pairs2"), ("best", "best2"), ("sw AS", "sw2 AS")):
+        sql = sql.replace(old, new)
+    return sql
+
+
+@register("swap_flags_settled", ",".join((FLIGHTS, SWAPS, NEW_TAILS, _again(SWAPS))) + """
+SELECT row_id, arr_row, matched_tail, is_swapped FROM sw2""")
+def swap_flags_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.settled_swaps(flights(spark, sf_dir)).select("row_id", "arr_row", "matched_tail", "is_swapped")
+
+
 @register("swap_summary", FLIGHTS + "," + SWAPS + """
 SELECT airport || '->' || iata AS route, count(arr_row) AS matched, sum(is_swapped::INT)::BIGINT AS swapped, round(avg(gap), 6) AS mean_gap FROM sw GROUP BY 1""")
 def swap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

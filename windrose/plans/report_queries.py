@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrose.functions.times import daypart
-from windrose.operators import impute, metrics, profile, seasonal
+from windrose.operators import impute, metrics, profile, seasonal, weather
 from windrose.plans.temporal_queries import STRETCH, events
 from windrose.registry import oracle_of, register
 
@@ -196,6 +196,27 @@ def linear_interp_station(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impute.interpolated(df, ["station"], ["ts", "event_id"], "v", "filled", bucket=STRETCH).select("event_id", F.round("filled", 6).alias("filled"))
 
 
+@register("seasonal_index", """
+WITH d AS (SELECT o_orderpriority AS airport, month(o_orderdate)::INTEGER AS month, o_totalprice AS y FROM orders), w AS (SELECT avg(y) AS m FROM d)
+SELECT airport, month, count(*) AS n, round(avg(y), 3) AS mean, round(avg(y) / any_value(m), 9) AS "index" FROM d, w GROUP BY 1, 2""")
+def seasonal_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("airport"), F.month("o_orderdate").alias("month"), F.col("o_totalprice").alias("y"))
+    return profile.seasonal_index(rows, ["airport", "month"], "y").select("airport", "month", "n", F.round("mean", 3).alias("mean"), F.round("index", 9).alias("index"))
+
+
+@register("weather_trends", """
+WITH e AS (SELECT event_id, event_id % 3 AS k, ts, value AS temperature, 1000 - value AS pressure, CASE WHEN event_id % 4 > 0 THEN value / 10 END AS precipitation, value * 0.7 AS wind, value * 0.3 AS crosswind, value * 120 AS visibility, value - 2 AS dew_point FROM events)
+SELECT event_id, round(temperature - lag(temperature, 3) OVER w, 6) AS temperature_change_3h, round(pressure - lag(pressure, 3) OVER w, 6) AS pressure_change_3h, round(sum(precipitation) OVER (w ROWS 5 PRECEDING), 6) AS precipitation_6h,
+  round(max(wind) OVER (w ROWS 2 PRECEDING), 6) AS gust, round((max(wind) OVER (w ROWS 2 PRECEDING) - wind) / 1.852, 6) AS gust_variation_kt, round(max(crosswind) OVER (w ROWS 2 PRECEDING) / 1.852, 6) AS crosswind_max_3h_kt,
+  round(visibility / 1609.344, 6) AS visibility_miles, round(greatest(0, 5000 - visibility), 6) AS visibility_deficit_low, round(greatest(0, 4828.032 - visibility), 6) AS visibility_deficit_3sm, round(temperature - dew_point, 6) AS dew_point_spread
+FROM e WINDOW w AS (PARTITION BY k ORDER BY ts, event_id)""")
+def weather_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    rows = events(spark, sf_dir).select("event_id", (F.col("event_id") % 3).alias("k"), "ts", v.alias("temperature"), (1000 - v).alias("pressure"), F.when(F.col("event_id") % 4 > 0, v / 10).alias("precipitation"), (v * 0.7).alias("wind"), (v * 0.3).alias("crosswind"), (v * 120).alias("visibility"), (v - 2).alias("dew_point"))
+    shown = ["temperature_change_3h", "pressure_change_3h", "precipitation_6h", "gust", "gust_variation_kt", "crosswind_max_3h_kt", "visibility_miles", "visibility_deficit_low", "visibility_deficit_3sm", "dew_point_spread"]
+    return weather.trends(rows, ["k"], ["ts", "event_id"], STRETCH).select("event_id", *(F.round(c, 6).alias(c) for c in shown))
+
+
 @register("fleiss", """
 WITH r AS (SELECT doc_id, unnest([quality, toxic, CASE WHEN doc_id % 4 = 0 THEN 1 - quality ELSE quality END]) AS label FROM labels),
 c AS (SELECT doc_id, label, count(*) AS n FROM r GROUP BY 1, 2),

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from windrose.functions import times
+from windrose.operators import matching
 from windrose.plans.temporal_queries import events
 from windrose.registry import register
 from windrose.sources import tables
@@ -77,6 +79,9 @@ def schedule_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     leg = F.struct(F.date_format("ts", "HH:mm").alias("std"), F.lit(None).cast("string").alias("atd"))
     days = events(spark, sf_dir).groupBy(flight.alias("flight"), F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.collect_list(leg).alias("legs"))
     cache = days.groupBy("flight").agg(F.map_from_entries(F.collect_list(F.struct("day", "legs"))).alias("schedule")).select(F.to_json(F.create_map("flight", F.struct("schedule"))).alias("body"))
+    path = folder(spark)
+    cache.write.text(path)
+    cache = spark.read.text(path).withColumnRenamed("value", "body")
     flights = cache.select(F.explode(tables.cached_schedule(F.col("body"))).alias("flight", "x")).select("flight", F.explode("x.schedule").alias("day", "legs"))
     return flights.select("flight", "day", F.explode("legs.std").alias("std")).groupBy("flight", "day", "std").agg(F.count("*").alias("n"))
 
@@ -99,6 +104,66 @@ def resumed_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.resumed(rows, path, ["event_id"], work("second"), spark.read.parquet(path))
 
 
+@register("drop_audit", """
+SELECT * FROM (VALUES (0, 'o_clerk', TRUE, (SELECT count(*) FROM orders)), (1, 'O_CLERK', FALSE, 0), (2, 'gone', FALSE, 0), (3, 'late', TRUE, (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 0))) AS x(place, "column", was_there, n_values)""")
+def drop_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("late", F.when(F.col("o_orderkey") % 3 == 0, 1))
+    rest, audit = tables.dropped(rows.select("o_orderkey", F.coalesce("o_orderpriority", F.lit("?")).alias("o_clerk"), "late"), ["o_clerk", "O_CLERK", "gone", "late"])
+    if rest.columns != ["o_orderkey"]:
+        raise AssertionError(f"left over: {rest.columns}")
+    return audit
+
+
+@register("first_files_with_rows", """
+SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type, event_id // 1000 ORDER BY event_id) - 1 AS source_row FROM events WHERE event_type IN ('error', 'signup')""")
+def first_files_with_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each kind the first folder that a pattern finds, with each row's number in its file."""
+    base, parts = folder(spark), []
+    for kind in ("error", "signup"):
+        rows = events(spark, sf_dir, kind).select("event_id", "event_type", F.expr("event_id div 1000").alias("part"))
+        for version in ("a", "b"):
+            #: A file for each thousand ids, in order; the second folder is one that must not be read.
+            kept = rows if version == "a" else rows.filter("event_id < 0")
+            kept.repartition("part").sortWithinPartitions("event_id").write.partitionBy("part").parquet(f"{base}/{kind}_{version}.parquet")
+    for path in tables.first_match(spark, [f"{base}/{kind}_*.parquet" for kind in ("error", "signup")]):
+        parts.append(tables.with_rows(spark.read.parquet(path)))
+    return tables.together(parts).select("event_id", "event_type", "source_row")
+
+
+@register("export_in_order", """
+SELECT event_id, row_number() OVER (ORDER BY event_type, user_id % 5 DESC, value NULLS LAST, event_id) - 1 AS place FROM events""")
+def export_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select("event_id", "event_type", "user_id", "value")
+    order = [F.col("event_type").asc(), (F.col("user_id") % 5).desc(), F.col("value").asc_nulls_last(), F.col("event_id").asc()]
+    return tables.write_in_order(rows, folder(spark), order).select("event_id", "place")
+
+
+@register("leg_durations", """
+WITH e AS (SELECT event_id, ts, event_id % 24 || ':' || lpad((event_id % 60)::VARCHAR, 2, '0') AS long, (event_id * 7) % 1440 AS m FROM events)
+SELECT event_id, CASE WHEN event_id % 11 > 0 THEN (event_id % 24) * 60 + event_id % 60 END AS minutes, ts::DATE + to_minutes(m) + CASE WHEN ts::DATE + to_minutes(m) < ts THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS landed FROM e""")
+def leg_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Durations of H:MM, and landing clocks that belong to the next day where they are before the departure."""
+    i = F.col("event_id")
+    text = F.when(i % 11 > 0, F.format_string(" %d:%02d", i % 24, i % 60)).otherwise("1h30")
+    clock = F.format_string("%02d:%02d", ((i * 7) % 1440 / 60).cast("int"), (i * 7) % 60)
+    landed = times.after_anchor(times.parse_on_date(F.to_date("ts"), clock), F.col("ts"))
+    return events(spark, sf_dir).select("event_id", times.duration_minutes(text).alias("minutes"), landed.alias("landed"))
+
+
+@register("previous_day_match", """
+WITH r AS (SELECT event_id, user_id % 40 AS k, ts::DATE AS day, strftime(ts, '%H:%M') AS atd, CASE WHEN event_id % 3 > 0 THEN lpad((event_id % 24)::VARCHAR, 2, '0') || ':00' END AS std FROM events WHERE event_type = 'purchase'),
+l AS (SELECT event_id AS leg, user_id % 40 AS k, ts::DATE AS day, strftime(ts, '%H:%M') AS atd, lpad((event_id % 24)::VARCHAR, 2, '0') || ':00' AS std FROM events WHERE event_type = 'error' AND day(ts) % 3 > 0),
+j AS (SELECT r.event_id, l.leg, l.day, l.day < r.day AS before, CASE WHEN l.std = r.std THEN 0 WHEN l.atd = r.atd THEN 1 ELSE 2 END AS rank, l.std > r.atd AS past, row_number() OVER (PARTITION BY r.event_id ORDER BY l.day < r.day, CASE WHEN l.std = r.std THEN 0 WHEN l.atd = r.atd THEN 1 ELSE 2 END, l.leg) AS n
+      FROM r JOIN l ON l.k = r.k AND l.day IN (r.day, r.day - 1))
+SELECT r.event_id, j.leg, j.day AS leg_day FROM r LEFT JOIN j ON j.event_id = r.event_id AND n = 1 AND (NOT before OR rank < 2 OR past)""")
+def previous_day_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clock = F.concat(F.lpad((F.col("event_id") % 24).cast("string"), 2, "0"), F.lit(":00"))
+    side = lambda kind: events(spark, sf_dir, kind).select("event_id", (F.col("user_id") % 40).alias("k"), F.to_date("ts").alias("day"), F.date_format("ts", "HH:mm").alias("atd"), clock.alias("std"))
+    records = side("purchase").withColumn("std", F.when(F.col("event_id") % 3 > 0, F.col("std")))
+    legs = side("error").filter(F.dayofmonth("day") % 3 > 0).withColumnRenamed("event_id", "leg")
+    return matching.best_leg(records, legs, ["k"], "event_id", "day", "std", "atd", "leg", ["leg"]).select("event_id", "leg", "leg_day")
+
+
 @register("empty_audit", """
 SELECT 0::BIGINT AS n_rows, 'row_id,reason' AS columns""")
 def empty_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -86,6 +86,44 @@ def for_export(df: DataFrame, minutes: Sequence[str] = (), drop: Sequence[str] =
     return df.select(*(F.coalesce(x.cast("string"), F.lit(EXPORTED_NULL)).alias(c) if kind == "string" or kind.startswith(("timestamp", "date")) else x.alias(c) for x, c, kind in shown))
 
 
+def dropped(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``df`` without the named columns, and an audit: each name in order, whether it was there, and how many values went."""
+    there = [c for c in dict.fromkeys(names) if c in df.columns]
+    entries = [F.struct(F.lit(i).alias("place"), F.lit(c).alias("column"), F.lit(c in there).alias("was_there"), (F.count(f"`{c}`") if c in there else F.lit(0).cast("bigint")).alias("n_values")) for i, c in enumerate(dict.fromkeys(names))]
+    audit = df.agg(F.array(*entries).alias("x")).select(F.inline("x")) if entries else df.sparkSession.createDataFrame([], "place int, column string, was_there boolean, n_values bigint")
+    return df.drop(*there), audit
+
+
+def first_match(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
+    """Of each pattern of paths the first that exists, by name; raises where a pattern has none."""
+    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for pattern in patterns:
+        path = jvm.org.apache.hadoop.fs.Path(pattern)
+        found = sorted(s.getPath().toString() for s in path.getFileSystem(conf).globStatus(path) or [])
+        if not found:
+            raise FileNotFoundError(pattern)
+        out.append(found[0])
+    return out
+
+
+def with_rows(df: DataFrame) -> DataFrame:
+    """``df``, read from Parquet, with ``source_file`` and ``source_row``, each row's number in its file."""
+    return df.select("*", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.row_index").alias("source_row"))
+
+
+def write_in_order(df: DataFrame, path: str, order: Sequence[Column]) -> DataFrame:
+    """Write ``df`` in one order over all its files, and read it with ``place``, each row's number in that order from 0.
+
+    Rows are sorted by ranges, so no task holds all; a place is the number within the file after those of the files before.
+    """
+    df.orderBy(*order).write.parquet(path)
+    rows = with_rows(df.sparkSession.read.schema(df.schema).parquet(path))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    #: One row for each file.
+    files = rows.groupBy("source_file").agg(F.count("*").alias("n")).select("source_file", before.alias("_before"))
+    return rows.join(files, "source_file").select(*df.columns, (F.col("source_row") + F.col("_before")).alias("place"))
+
+
 def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
     """CSV with a header, also where there is no row; ``mark`` puts a byte order mark before the first name."""
     named = df.toDF(BOM + df.columns[0], *df.columns[1:]) if mark else df
