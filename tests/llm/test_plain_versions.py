@@ -149,3 +149,17 @@ def test_surrogates_stand_at_the_mentions_and_nowhere_else(spark: SparkSession)
     # One entity, one surrogate; and no two share one.
     assert all(len(x) == 1 for x in said.values())
     assert len({x for v in said.values() for x in v}) == len({regex.sub(r"[ ().-]", "", k).lower() for k in said})
+
+
+def test_scores_are_calibrated_on_held_out_rows(spark: SparkSession) -> None:
+    """In every fifth of the held-out rows by score, the share of good ones is near the mean score."""
+    from windrose.llm import classifier
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = classifier.classify(docs, labels).filter("held_out").join(labels, "doc_id").select("score", "quality").dropna().orderBy("score").collect()
+    assert len(rows) > 300
+    for k in range(5):
+        part = rows[k * len(rows) // 5 : (k + 1) * len(rows) // 5]
+        assert abs(sum(r.score for r in part) - sum(r.quality for r in part)) < 0.12 * len(part)
+    base = sum(r.quality for r in rows) / len(rows)
+    assert sum((r.score - r.quality) ** 2 for r in rows) < 0.8 * len(rows) * base * (1 - base)
