@@ -51,7 +51,7 @@ def as_inputs(df: DataFrame, numbers: Sequence[str], words: Sequence[str], targe
 
 def regressors() -> dict[str, object]:
     common = {"featuresCol": "features", "labelCol": "label"}
-    return {"ridge": LinearRegression(regParam=10.0, elasticNetParam=0.0, **common), "forest": RandomForestRegressor(numTrees=20, maxDepth=6, seed=SEED, **common), "boosted_absolute": GBTRegressor(lossType="absolute", maxIter=10, maxDepth=4, seed=SEED, **common)}
+    return {"ridge": LinearRegression(regParam=10.0, elasticNetParam=0.0, **common), "forest": RandomForestRegressor(numTrees=20, maxDepth=6, seed=SEED, **common), "boosted_absolute": GBTRegressor(lossType="absolute", maxIter=10, maxDepth=4, seed=SEED, **common), "boosted_squared": GBTRegressor(lossType="squared", maxIter=10, maxDepth=4, seed=SEED, **common)}
 
 
 #: Learners of ``operators.trees``, by name.

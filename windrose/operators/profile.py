@@ -141,10 +141,16 @@ def transitions(df: DataFrame, on: Sequence[str], order: Sequence[str], state: s
     return share_of_group(counts, ["state"], "n")
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Over the rows that know both; null where either does not vary, where Spark's own measure divides by zero."""
+    x, y = F.when(b.isNotNull(), a.cast("double")), F.when(a.isNotNull(), b.cast("double"))
+    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, correlation) of every two columns, over the rows that have both."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
+    row = df.agg(*(correlation(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
     return row.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)))).alias("x")).select("x.*")
 
 

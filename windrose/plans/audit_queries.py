@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from windrose.functions import clean, rules, times
 from windrose.operators import flights as repair
+from windrose.operators import profile
 from windrose.plans.flight_queries import FLIGHTS, flights
 from windrose.plans.temporal_queries import events
 from windrose.registry import register
@@ -53,7 +54,7 @@ def high_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, x, d = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount")
     rows = _table(spark, sf_dir, "lineitem").select(q.alias("a"), x.alias("b"), (q * x).alias("c"), d.alias("d"), (d * 3 + 1).alias("e"))
     pairs = [(m, n) for i, m in enumerate(rows.columns) for n in rows.columns[i + 1 :]]
-    one = rows.agg(F.array(*(F.struct(F.lit(m).alias("one"), F.lit(n).alias("two"), F.corr(m, n).alias("r")) for m, n in pairs)).alias("p"))
+    one = rows.agg(F.array(*(F.struct(F.lit(m).alias("one"), F.lit(n).alias("two"), profile.correlation(F.col(m), F.col(n)).alias("r")) for m, n in pairs)).alias("p"))
     return one.select(F.inline("p")).filter("abs(r) >= 0.9").withColumn("r", F.round("r", 6))
 
 

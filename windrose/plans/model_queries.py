@@ -71,7 +71,7 @@ def model_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of each feature set and model on the later flights; trees and descent have no form in SQL."""
     train, test = _halves(spark, sf_dir)
     few = {"extra_trees": {"n_trees": 20, "max_depth": 4}, "boosted_quantile": {"n_trees": 4, "max_depth": 3, "rate": 0.3}}
-    return learning.ablation(train, test, FEATURE_SETS, ["median", "ridge", "forest", "boosted_absolute", "extra_trees", "boosted_quantile"], **few)
+    return learning.ablation(train, test, FEATURE_SETS, ["median", "ridge", "forest", "boosted_absolute", "boosted_squared", "extra_trees", "boosted_quantile"], **few)
 
 
 @register("serving_vectors", FLIGHTS + f"""

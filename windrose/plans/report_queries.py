@@ -84,7 +84,7 @@ def corr_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     lags = (1, 2, 3, 4, 6)
-    row = events(spark, sf_dir).select("value", *(F.lag("value", k).over(w).alias(f"l{k}") for k in lags)).agg(*(F.corr("value", f"l{k}").alias(f"l{k}") for k in lags))
+    row = events(spark, sf_dir).select("value", *(F.lag("value", k).over(w).alias(f"l{k}") for k in lags)).agg(*(profile.correlation(F.col("value"), F.col(f"l{k}")).alias(f"l{k}") for k in lags))
     return row.select(F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.round(f"l{k}", 6).alias("correlation")) for k in lags))).alias("x")).select("x.*")
 
 

@@ -29,7 +29,7 @@ def oracle_of(name: str) -> str:
 
 
 def queries() -> dict[str, Query]:
-    from windrose.plans import audit_queries, flight_queries, layer_queries, model_queries, report_queries, scalar_queries, source_queries, temporal_queries  # noqa: F401
+    from windrose.plans import audit_queries, flight_queries, layer_queries, model_queries, report_queries, scalar_queries, source_queries, temporal_queries, weather_tables  # noqa: F401
 
     return _QUERIES
 
