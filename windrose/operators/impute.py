@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrose.functions.clean import clipped
-from windrose.operators.profile import joined_by, quantiles, quantiles_of
+from windrose.operators.profile import joined_by, quantiles_of
 from windrose.operators.stretches import numbered_with_known
 
 
@@ -31,9 +31,12 @@ def interpolated(df: DataFrame, on: Sequence[str], order_by: Sequence[str], colu
     found = numbered_with_known(df, on, order_by, bucket, column)
     share = F.try_divide((F.col("_i") - F.col("_p.i")).cast("double"), (F.col("_n.i") - F.col("_p.i")).cast("double"))
     line = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * share
-    counts = df.groupBy(F.col(column).alias("_value")).agg(F.count("*").alias("_m"))
-    median = quantiles(counts, [], "_value", "_m", [0.5]).withColumnRenamed("p50", "_median")
-    out = found.withColumn(name, F.coalesce(F.col(column), line, F.col("_p.v"), F.col("_n.v"))).join(F.broadcast(median), F.lit(True), "left")
+    filled = F.coalesce(F.col(column), line, F.col("_p.v"), F.col("_n.v"))
+    #: Asked first, as it takes a count by key: a median takes an exchange of all values.
+    if df.groupBy(*on).agg(F.count(column).alias("_known")).filter("_known = 0").isEmpty():
+        return found.withColumn(name, filled).drop("_i", "_p", "_n")
+    median = quantiles_of(df, [], column, [0.5]).withColumnRenamed("p50", "_median")
+    out = found.withColumn(name, filled).join(F.broadcast(median), F.lit(True), "left")
     return out.withColumn(name, F.coalesce(name, "_median")).drop("_i", "_p", "_n", "_median")
 
 
