@@ -6,7 +6,7 @@ it starts from the posting list of a window's rarest term and intersects it with
 other terms, by binary search in the stored lists, rarest first. Survivors within ``slop`` positions are proximity
 matches, those at the exact positions phrase matches. Blocks need no exchange, so no term or document can be hot.
 
-Nulls and texts without words have no postings and are never hit. Repeated documents are judged row by row. Items
+Texts of any length are indexed whole. Nulls and texts without words have no postings and are never hit. Repeated documents are judged row by row. Items
 without words have no windows; an item_id that is null marks words but is no listed item; repeated item_ids count once.
 """
 

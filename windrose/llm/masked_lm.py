@@ -13,7 +13,7 @@ the round's words of its documents; the weights are then averaged, weighted by p
 and weights, whose number is a parameter, reach the driver.
 
 Words are runs of digits, letters and bytes beyond ASCII, lower-cased (A-Z). A null or wordless text has no words, a
-sum of 0 and a mean of 0. Repeated rows get equal scores. Without any word in the corpus the network stays as drawn.
+sum of 0 and a mean of 0. Repeated rows get equal scores. Texts of any length are read whole, in steps of a batch of words. Without any word in the corpus the network stays as drawn.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ two where a bucket still has several. Verified links are merged by smallest labe
 Words are runs of digits, letters and bytes beyond ASCII, lower-cased (A-Z); texts of fewer than five words are one
 shingle. Nodes are distinct word sequences, so copies meet in one row at once whatever their number. Texts without words
 only equal the same text; a null text equals nothing. ``class_id`` is the smallest doc_id of a class, null if none has
-one. Repeated rows are in one class, rows that share a doc_id but not the text are classed each by its text. An empty
+one. Texts of any length are compared whole. Repeated rows are in one class, rows that share a doc_id but not the text are classed each by its text. An empty
 table gives no rows.
 """
 

@@ -12,7 +12,8 @@ further one is a character longer (a network address: from a wider range), and t
 The key is the caller's secret: without it, surrogates tell nothing of what they stand for.
 
 Texts are cut at the mentions and joined with the surrogates by rank, so nothing else changes. Null and empty texts and
-texts without mentions pass unchanged; repeated rows get equal texts; all other columns stay as they are.
+texts without mentions pass unchanged; repeated rows get equal texts; all other columns stay as they are. Texts, and entities,
+of any length are scanned whole, by patterns that need no recursion.
 """
 
 from __future__ import annotations

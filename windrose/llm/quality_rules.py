@@ -5,13 +5,13 @@ documents orders the cutoffs of all rules into a path from the least harmful to
 holdout, the path is walked while the exact binomial (Clopper-Pearson) upper bound on the rate of good documents that
 the cutoffs so far reject together is at most ``RISK``. Walking a fixed order and stopping at the first failure needs no
 correction along the path; over the strata the level is divided (Bonferroni), so with probability ``1 - ALPHA`` no
-stratum loses more than ``RISK`` of its good documents.
+stratum loses more than ``RISK`` of those of its good documents that pass the base conditions.
 
 A document whose base conditions fail is rejected whatever its stratum. Null texts have no words and so fail. The null
 stratum is one like the others. Strata whose labels are too few for any bound have no cutoffs, only the base conditions.
 Labels without quality are ignored, of repeated labels the higher counts. A text counts once in a stratum, with the highest
-of its labels and in one half alone, so that copies and repeated documents are no draws of their own; all are judged. Empty
-tables give no rows.
+of its labels and in one half alone, so that copies and repeated documents are no draws of their own; all are judged. Texts of any
+length are judged whole. Empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ differ from the ideal by one row at most. Ranges within a shard may be off by ``
 
 A null text has size 1 and the checksum of no bytes. Rows with the same doc_id and text lie side by side, on both sides of
 a splitter where it cuts them; which of them lies where is open, as they are equal. A null doc_id counts as an empty one.
-An empty table gives no rows.
+Of a text only its size and digests are looked at,
+whatever its length. An empty table gives no rows.
 """
 
 from __future__ import annotations
