@@ -12,28 +12,33 @@ from windrose.llm.queries import pii_key
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; null and empty texts fail the base conditions and go with them."""
+    """Documents that the quality rules reject go; null and empty texts fail the base conditions and go with them. Texts of
+    any length are judged whole, repeated rows alike; without labels the base conditions decide."""
     return quality_rules.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest doc_id stays; null texts stay, of repeated rows one."""
+    """Of each class of near duplicates the document with the smallest doc_id stays; null texts stay, of repeated rows one. Texts
+    of any length are compared whole."""
     return neardup.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a phrase of the benchmark go; null and empty texts have none, an empty benchmark removes nothing."""
+    """Documents with a phrase of the benchmark go; null and empty texts have none, an empty benchmark removes nothing. Texts
+    of any length are searched whole, repeated rows are judged alike."""
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced; n_chars follows the text. Null and empty texts pass unchanged."""
+    """Personal data is replaced; n_chars follows the text. Null and empty texts pass unchanged, texts of any length are
+    scanned whole, and repeated rows get equal texts."""
     out = pii.replaced(docs, pii_key(spark), count_as=None)
     return out.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 4096 tokens; a null or empty text is its closing id alone."""
+    """Pieces of the documents in sequences of 4096 tokens; a null or empty text is its closing id alone. A text of
+    any length is cut into as many pieces as it takes; repeated rows are packed each."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
