@@ -55,6 +55,14 @@ def test_long_domain_is_one_entity(spark: SparkSession) -> None:
     assert out.n_entities == 1 and "b.b" not in out.text
 
 
+def test_surnames_that_are_ordinary_words_stay(spark: SparkSession) -> None:
+    text = "Mr Will went. Will we go? Then Will left, as Will said. Mrs May came in May 2020. May I ask May?"
+    out = pii.replaced(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), "k").first().text
+    will, may = out.split(" went")[0].removeprefix("Mr "), out.split("Mrs ")[1].split(" came")[0]
+    assert will != "Will" and may != "May"
+    assert out == f"Mr {will} went. Will we go? Then {will} left, as {will} said. Mrs {may} came in May 2020. May I ask {may}?"
+
+
 @pytest.mark.parametrize("name", ["side-effects", "share-price", "comments-policy", "alert-levels", "related-work", "social-history", "menu-planning"])
 def test_sections_of_an_article_stay(name: str) -> None:
     text = html_text.main_text(ARTICLE.format("word, " * 40, name, "prose " * 30))

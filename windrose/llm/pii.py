@@ -65,6 +65,10 @@ PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What only secrets and names can do without: a digit, an at sign, a colon, or the hyphens of a network card's address.
 GUARD = r"[0-9@:]|(?:-[A-Fa-f]{2}){5}"
 UNGUARDED = "|".join(f"(?:{PATTERNS[k]})" for k in ("secret", "name"))
+# Surnames that are verbs before these words, and months after those.
+VERBS, SUBJECTS = "Will|May|Can|Do", "I|we|you|he|she|it|they|the|this|that|there|these|those|anyone|anybody|everyone|my|your|his|her|our|their|not"
+MONTHS, BEFORE_MONTHS = "March|April|May|June|August", "in|In|of|by|By|since|Since|until|Until|early|late|last|next|this|On|on"
+ORDINARY = rf"(?!(?:{VERBS})\s(?:{SUBJECTS})(?!\p{{L}}))(?!(?<=\b(?:{BEFORE_MONTHS})\s)(?:{MONTHS})(?!\p{{L}}))"
 #: Stands at both ends of a mention while a text is cut; texts that hold it are cut another way.
 MARK = "\x01"
 _LATIN, _HEX = "abcdefghijklmnopqrstuvwxyz", "abcdef"
@@ -161,8 +165,8 @@ def _every_second(parts: str, first: int) -> Column:
 
 
 def _with_surnames(parts: str, surnames: str) -> Column:
-    """``parts`` also cut at surnames that stand alone. A mention's ends also end words."""
-    alone = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(surnames, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    """``parts`` also cut at surnames that stand alone and are no ordinary words there. A mention's ends also end words."""
+    alone = F.concat(F.lit(rf"(?<![\p{{L}}\p{{N}}]){ORDINARY}(?:"), F.array_join(surnames, "|"), F.lit(r")(?![\p{L}\p{N}])"))
 
     def cut(p: Column, i: Column) -> Column:
         pieces, matches = F.split(p, alone, -1), F.regexp_extract_all(p, alone, F.lit(0))
