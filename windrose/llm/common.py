@@ -17,7 +17,7 @@ CHUNK_BYTES, CHUNK_ROWS = 1 << 21, 1 << 15
 #: Hashes are polynomials modulo the prime 2**61 - 1, at one of two fixed points drawn at random.
 _PRIME, _BITS = np.uint64((1 << 61) - 1), np.uint64(61)
 _POINTS = (0x0D3A6F1C95B2E847, 0x17C4E85A2B9F603D)
-_LOW31, _LOW30, _31, _30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1), np.uint64(31), np.uint64(30)
+_LOW31, _LOW30, _31, _30, _1 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1), np.uint64(31), np.uint64(30), np.uint64(1)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -86,30 +86,60 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 #: Byte to its lower case; whether a byte belongs to a word (digits, Latin letters, anything beyond ASCII).
 LOWER, WORD_BYTE = _tables()
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Numbers that are the same modulo the prime, and above it by 7 at most."""
+    return (x & _PRIME) + (x >> _BITS)
+
+
 def _reduced(x: np.ndarray) -> np.ndarray:
     """Any 64-bit numbers modulo the prime."""
-    x = (x & _PRIME) + (x >> _BITS)
-    return np.where(x >= _PRIME, x - _PRIME, x)
+    x = _folded(x)
+    return np.subtract(x, _PRIME, out=x, where=x >= _PRIME)
 
 
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Products modulo the prime of numbers below it, by halves of 31 bits, as 2**61 counts as 1."""
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Folded products of folded numbers, by halves of 31 bits, as 2**61 counts as 1."""
     ah, al, bh, bl = a >> _31, a & _LOW31, b >> _31, b & _LOW31
     middle = ah * bl + al * bh
-    return _reduced(ah * bh * np.uint64(2) + (middle >> _30) + ((middle & _LOW30) << _31) + al * bl)
+    return _folded(((ah * bh) << _1) + (middle >> _30) + ((middle & _LOW30) << _31) + al * bl)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime."""
+    return _reduced(_times(a, b))
+
+
+def _table(base: int, n: int) -> np.ndarray:
+    """The first n powers of ``base``."""
+    have = np.ones(1, np.uint64)
+    while len(have) < n:
+        step = np.uint64(pow(base, len(have), int(_PRIME)))
+        have = np.concatenate([have, _product(have[: n - len(have)], np.full(min(len(have), n - len(have)), step))])
+    return have
+
+
+#: By point: the low 31 bits of its powers, and the rest; powers of its inverse, and of that one's INVERSES-th power.
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_inverse_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+INVERSE_BITS = 12
+INVERSES = 1 << INVERSE_BITS
 
 
-_powers: dict[int, np.ndarray] = {}
+def _power(point: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    if point not in _powers or len(_powers[point][0]) < n:
+        have = _table(_POINTS[point], max(n, 1 << 16) if n <= 1 << 16 else max(n, CHUNK_BYTES + 1))
+        _powers[point] = (have & _LOW31).astype(np.uint32), (have >> _31).astype(np.uint32)
+    return tuple(x[:n] for x in _powers[point])
 
 
-def _power(point: int, n: int) -> np.ndarray:
-    """The first n powers, of a point or of its inverse (-1 - point)."""
-    if len(have := _powers.get(point, np.ones(1, np.uint64))) < n:
-        base = pow(_POINTS[point], 1, int(_PRIME)) if point >= 0 else pow(_POINTS[-1 - point], -1, int(_PRIME))
-        while len(have) < max(n, CHUNK_BYTES + 1):
-            have = np.concatenate([have, _product(have, np.full(len(have), pow(base, len(have), int(_PRIME)), np.uint64))])
-        _powers[point] = have
-    return _powers[point][:n]
+def _inverse_power(point: int, exponent: np.ndarray) -> np.ndarray:
+    """The inverse of the point to the power of each exponent, as a product of two."""
+    most = int(exponent.max(initial=0)) // INVERSES + 1
+    if point not in _inverse_powers or len(_inverse_powers[point][1]) < most:
+        inverse = pow(_POINTS[point], -1, int(_PRIME))
+        _inverse_powers[point] = _table(inverse, INVERSES), _table(pow(inverse, INVERSES, int(_PRIME)), max(most, 1024))
+    small, large = _inverse_powers[point]
+    return _times(small[exponent & INVERSES - 1], large[exponent >> INVERSE_BITS])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -126,13 +156,13 @@ def prefix_sums(values: np.ndarray, point: int = 0) -> np.ndarray:
     Low 31 bits and the rest are added up apart, as the sums of whole terms would not fit. Differences stay right when a sum
     wraps, for spans of up to 2**25 bytes or any number of wider values.
     """
-    power, sums = _power(point, len(values)), np.zeros((2, len(values) + 1), np.uint64)
+    (low, high), sums = _power(point, len(values)), np.zeros((2, len(values) + 1), np.uint64)
     if values.dtype == np.uint8:
         values = values.astype(np.uint64) + np.uint64(1)
-        np.cumsum(values * (power & _LOW31), out=sums[0, 1:])
-        np.cumsum(values * (power >> _31), out=sums[1, 1:])
+        np.cumsum(values * low, out=sums[0, 1:])
+        np.cumsum(values * high, out=sums[1, 1:])
     else:
-        terms = _product(_reduced(mix(values)), power)
+        terms = _times(_folded(mix(values)), (high.astype(np.uint64) << _31) | low)
         np.cumsum(terms & _LOW31, out=sums[0, 1:])
         np.cumsum(terms >> _31, out=sums[1, 1:])
     return sums
@@ -140,9 +170,10 @@ def prefix_sums(values: np.ndarray, point: int = 0) -> np.ndarray:
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, point: int = 0) -> np.ndarray:
     """Hash of each [start, end), the same wherever the span lies; unlike spans of n values meet with probability n / 2**61."""
-    low, high = _reduced(sums[0][end] - sums[0][start]), _reduced(sums[1][end] - sums[1][start])
-    value = _reduced(low + ((high << _31 & _PRIME) | (high >> _30)))
-    return mix(_product(value, _power(-1 - point, sums.shape[1])[start]))
+    low, high = _folded(sums[0][end] - sums[0][start]), _folded(sums[1][end] - sums[1][start])
+    #: Times 2**31 is a turn by 31 of 61 bits.
+    value = _folded(low + ((high & _LOW30) << _31) + (high >> _30))
+    return mix(_product(value, _inverse_power(point, start)))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = WORD_BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -56,11 +56,16 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tup
     counts = np.diff(np.r_[first, len(key)])
     key = key[first]
     wordless = np.diff(start) == 0
-    #: The halves of a node are hashes at unlike points.
+    #: The halves of a node are hashes at unlike points; of texts without words those of their bytes.
+    bare = np.flatnonzero(wordless)
+    size = np.diff(offsets)[bare]
+    edge = np.r_[0, np.cumsum(size)]
+    raw = data[np.repeat(offsets[bare] - edge[:-1], size) + np.arange(edge[-1])]
     halves = []
     for point in (0, 1):
-        by_byte, by_word = prefix_sums(data, point), prefix_sums(term, point)
-        halves.append(np.where(wordless, span_hash(by_byte, offsets[:-1], offsets[1:], point), span_hash(by_word, start[:-1], start[1:], point)))
+        half = span_hash(prefix_sums(term, point), start[:-1], start[1:], point)
+        half[bare] = span_hash(prefix_sums(raw, point), edge[:-1], edge[1:], point)
+        halves.append(half)
     return (key >> _ROW_BITS).astype(np.int64), key & ((np.uint64(1) << _ROW_BITS) - np.uint64(1)), counts, np.stack(halves, axis=1)
 
 
