@@ -33,6 +33,8 @@ BUCKETS, CLASSES, OWN = 1 << 16, 64, 48
 WINDOW, HIDDEN = 3, 24
 ROUNDS, BATCH = 2, 4096
 RATE, SEED = 0.01, 7
+#: Words that one step of a pass takes at a time.
+STEP = 1 << 19
 #: Parts of the table of neighbours, tables added up in one place, and words that the class's neighbours count for.
 PARTS, FAN, PRIOR = 64, 32, 20.0
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
@@ -108,11 +110,39 @@ class Vocabulary:
         self.log_share = np.log(weight / total[self.class_of])
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id and the buckets of the words of every document, two bytes each; written, so that the passes that follow do not
+    look for words again."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for lo, hi, data, offsets in text_chunks(batch, "text"):
+            term, _, row = words(data, offsets)
+            raw, ends = (term % np.uint64(BUCKETS)).astype("<u2").tobytes(), 2 * np.searchsorted(row, np.arange(hi - lo + 1))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())], names=["doc_id", "words"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return written(map_arrow(rows, run, "doc_id bigint, words binary"), "words")
+
+
 def _bucketed(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bucket of each word, its row)."""
-    for lo, hi, data, offsets in text_chunks(batch, "text"):
-        term, _, row = words(data, offsets)
-        yield lo, hi, (term % np.uint64(BUCKETS)).astype(np.int64), row
+    """(first row, end row, bucket of each word, its row) of consecutive documents, texts or hashed; a longer one is a step by
+    itself."""
+    if "words" not in batch.schema.names:
+        for lo, hi, data, offsets in text_chunks(batch, "text"):
+            term, _, row = words(data, offsets)
+            yield lo, hi, (term % np.uint64(BUCKETS)).astype(np.int64), row
+        return
+    col = batch.column("words")
+    if not len(col):
+        return
+    buffers = col.buffers()
+    offsets = np.frombuffer(buffers[1], np.int64 if pa.types.is_large_binary(col.type) else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64) // 2
+    data = np.frombuffer(buffers[2], "<u2") if buffers[2] is not None and buffers[2].size else np.zeros(0, "<u2")
+    lo = 0
+    while lo < len(col):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + STEP, "right")) - 1)
+        yield lo, hi, data[offsets[lo] : offsets[hi]].astype(np.int64), np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1]))
+        lo = hi
 
 
 def contexts(classes: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -243,8 +273,8 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Net
     return Network(flat)
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, neighbours: Neighbours, network: Network) -> DataFrame:
-    known = docs.sparkSession.sparkContext.broadcast((vocabulary, neighbours, network.flat))
+def score(texts: DataFrame, vocabulary: Vocabulary, neighbours: Neighbours, network: Network) -> DataFrame:
+    known = texts.sparkSession.sparkContext.broadcast((vocabulary, neighbours, network.flat))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         vocabulary, neighbours, flat = known.value
@@ -260,13 +290,13 @@ def score(docs: DataFrame, vocabulary: Vocabulary, neighbours: Neighbours, netwo
             n = np.bincount(row, minlength=hi - lo)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array(n.astype(np.int64)), pa.array(total), pa.array(total / np.maximum(1, n))], names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(rows, run, "doc_id bigint, n_words bigint, log_likelihood double, mean_log_likelihood double")
+    return map_arrow(texts, run, "doc_id bigint, n_words bigint, log_likelihood double, mean_log_likelihood double")
 
 
 def likelihoods(docs: DataFrame) -> DataFrame:
     """doc_id, words, and the sum and mean of their conditional log-probabilities."""
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    vocabulary = Vocabulary(bucket_counts(texts))
-    neighbours = Neighbours(neighbour_counts(texts, vocabulary), vocabulary)
-    return score(docs, vocabulary, neighbours, train(texts, vocabulary))
+    texts = hashed(docs)
+    only = texts.select("words")
+    vocabulary = Vocabulary(bucket_counts(only))
+    neighbours = Neighbours(neighbour_counts(only, vocabulary), vocabulary)
+    return score(texts, vocabulary, neighbours, train(only, vocabulary))
