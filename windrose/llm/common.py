@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text and rows that one vectorised step takes at a time; a longer single text is one step by itself.
-CHUNK_BYTES, CHUNK_ROWS = 1 << 21, 1 << 15
+CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 1 << 15
 
 #: Hashes are polynomials modulo the prime 2**61 - 1, at one of two fixed points drawn at random.
 _PRIME, _BITS = np.uint64((1 << 61) - 1), np.uint64(61)
@@ -168,14 +168,30 @@ def prefix_sums(values: np.ndarray, point: int = 0) -> np.ndarray:
     return sums
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, point: int = 0) -> np.ndarray:
-    """Hash of each [start, end), the same wherever the span lies; unlike spans of n values meet with probability n / 2**61."""
-    low, high = _folded(sums[0][end] - sums[0][start]), _folded(sums[1][end] - sums[1][start])
+def _spans(low: np.ndarray, high: np.ndarray, start: np.ndarray, point: int) -> np.ndarray:
     #: Times 2**31 is a turn by 31 of 61 bits.
+    low, high = _folded(low), _folded(high)
     value = _folded(low + ((high & _LOW30) << _31) + (high >> _30))
     return mix(_product(value, _inverse_power(point, start)))
 
 
+def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, point: int = 0) -> np.ndarray:
+    """Hash of each [start, end), the same wherever the span lies; unlike spans of n values meet with probability n / 2**61."""
+    return _spans(sums[0][end] - sums[0][start], sums[1][end] - sums[1][start], start, point)
+
+
+def byte_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, point: int = 0) -> np.ndarray:
+    """``span_hash`` of spans of bytes, with the sums of one half of the terms held at a time."""
+    values, buffer, parts = data.astype(np.uint64), np.zeros(len(data) + 1, np.uint64), []
+    values += np.uint64(1)
+    for power in _power(point, len(data)):
+        np.multiply(values, power, out=buffer[1:])
+        np.cumsum(buffer[1:], out=buffer[1:])
+        parts.append(buffer[end] - buffer[start])
+    del values, buffer
+    return _spans(*parts, start, point)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = WORD_BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, row) of every word of the rows, lower-cased (A-Z); a word never crosses rows."""
     n = len(data)
@@ -190,4 +206,4 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = WORD_BYTE)
     after[-1], after[:-1] = False, mask[1:]
     after[edge - 1] = False
     start, end = np.flatnonzero(mask & ~before), np.flatnonzero(mask & ~after) + 1
-    return span_hash(prefix_sums(LOWER[data]), start, end), start, np.searchsorted(offsets[1:], start, "right")
+    return byte_spans(LOWER[data], start, end), start, np.searchsorted(offsets[1:], start, "right")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windrose.llm.common import map_arrow, mix, prefix_sums, span_hash, text_chunks, words, written
+from windrose.llm.common import byte_spans, map_arrow, mix, prefix_sums, span_hash, text_chunks, words, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8, a pair shares a bucket with probability 0.9993.
@@ -64,7 +64,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tup
     halves = []
     for point in (0, 1):
         half = span_hash(prefix_sums(term, point), start[:-1], start[1:], point)
-        half[bare] = span_hash(prefix_sums(raw, point), edge[:-1], edge[1:], point)
+        half[bare] = byte_spans(raw, edge[:-1], edge[1:], point)
         halves.append(half)
     return (key >> _ROW_BITS).astype(np.int64), key & ((np.uint64(1) << _ROW_BITS) - np.uint64(1)), counts, np.stack(halves, axis=1)
 
