@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 from pyspark.sql import SparkSession
 
@@ -52,3 +53,26 @@ def test_first_match_of_a_pattern(spark: SparkSession, tmp_path) -> None:  # noq
         pass
     else:
         raise AssertionError("a pattern without files must be an error")
+
+
+def test_best_legs_equal_all_pairs(spark: SparkSession) -> None:
+    """With unknown clocks, legs of one order, and keys of many legs; legs are grouped before they are joined, so no pairs are made."""
+    rng = random.Random(7)
+    clock = lambda: rng.choice([None, "none", f"{rng.randrange(4)}:{rng.choice(['00', '30'])}"])
+    row = lambda: (rng.choice(["a", "b", None]), datetime.date(2024, 1, rng.randrange(1, 9)), clock(), clock())
+    records, legs = [(i, *row()) for i in range(300)], [(*row(), rng.randrange(40)) for _ in range(60)]
+    got = matching.best_leg(spark.createDataFrame(records, "id int, f string, day date, std string, atd string"), spark.createDataFrame(legs, "f string, day date, std string, atd string, n int"), ["f"], "id", "day", "std", "atd", "n", ["n"])
+    minutes = lambda x: -1 if x is None or ":" not in x else int(x.split(":")[0]) * 60 + int(x.split(":")[1])
+    want = {}
+    for i, f, day, std, atd in records:
+        found = []
+        for lf, lday, lstd, latd, n in legs:
+            before = (day - lday).days
+            if f is not None and lf == f and before in (0, 1):
+                rank = 0 if std is not None and lstd == std else 1 if atd is not None and latd == atd else 2
+                found.append((before, rank, n, rank < 2 or before == 0 or -1 not in (minutes(lstd), minutes(atd)) and minutes(lstd) > minutes(atd), lday))
+        best = min(found, default=None)
+        want[i] = (best[2], best[4]) if best and best[3] else (None, None)
+    assert {r.id: (r.n, r.leg_day) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2
