@@ -8,6 +8,7 @@ import random
 from pyspark.sql import SparkSession
 
 from windrose.operators import matching, profile, tables
+from windrose.plans import source_queries
 from windrose.sources import tables as files
 
 
@@ -76,3 +77,12 @@ def test_best_legs_equal_all_pairs(spark: SparkSession) -> None:
     assert {r.id: (r.n, r.leg_day) for r in got.collect()} == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 2
+
+
+def test_files_keep_their_order_however_rows_arrive(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start, i % 3, "error" if i % 2 else "signup", 1.0) for i in range(3000, -1, -1)]
+    for part in range(3):
+        spark.createDataFrame(rows[part::3], "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = source_queries.first_files_with_rows(spark, str(tmp_path)).collect()
+    assert {r.event_id: r.source_row for r in got} == {i: i % 1000 // 2 for i in range(3001)}
