@@ -77,3 +77,30 @@ def test_empty_tables(spark: SparkSession) -> None:
     assert temporal.range_sums(none, none, ["k"], "ts", "ts", -1, 1, {"c": F.lit(1)}).count() == 0
     assert impute.interpolated(none, ["k"], ["ts", "id"], "v", "f", HOUR).count() == 0
     assert history.rolling(none, ["k"], ["ts", "id"], {"a": ("sum", "n", 4)}, bucket=HOUR).count() == 0
+
+
+def test_range_sums_cut_within_keys_equal_all_pairs(spark: SparkSession) -> None:
+    """Stretches of few points, many rows of one time, two kinds of events, probes far outside, and gaps without events."""
+    probes, events, others = rows(spark, 6, 300), rows(spark, 7, 500), rows(spark, 8, 200)
+    hot = spark.range(200).select((F.col("id") + 1000).alias("id"), F.lit("a").alias("k"), F.lit(START + timedelta(minutes=77)).cast("timestamp_ntz").alias("ts"), F.lit(0.5).alias("v"), F.lit(3).cast("bigint").alias("n"))
+    far = hot.limit(5).withColumn("ts", F.col("ts") + F.expr("INTERVAL 90 DAYS"))
+    probes, events = probes.unionByName(hot).unionByName(far.withColumn("id", F.col("id") + 1000)), events.unionByName(hot)
+    one, spans = F.lit(1), [(events, -30 * MINUTE, 30 * MINUTE), (others, -60 * MINUTE, -1), (events, 0, 0), (events, 5 * MINUTE, 900 * HOUR)]
+    ranges = [temporal.Range(e, "ts", low, high, {f"c{i}": one, f"s{i}": F.col("n")}) for i, (e, low, high) in enumerate(spans)]
+    out = temporal.all_range_sums(probes, ["k"], "ts", ranges, asked=probes.select("ts", "k"), stretch_rows=20)
+    got = out.collect()
+    told = {id(e): [x for x in e.collect() if x.ts and x.k] for e in (events, others)}
+    for r in got:
+        for i, (e, low, high) in enumerate(spans):
+            seen = [x.n for x in told[id(e)] if r.ts and x.k == r.k and low <= (x.ts - r.ts) / timedelta(microseconds=1) <= high]
+            assert (r[f"c{i}"], r[f"s{i}"]) == (len(seen), sum(seen))
+    assert len(got) == probes.count()
+
+
+def test_a_dense_hour_is_cut_and_carries_no_rows(spark: SparkSession) -> None:
+    """One key whose events all lie within a minute: the windows' keys include a stretch at quantiles of time, their rows are narrow."""
+    df = spark.range(20_000).select("id", F.lit("a").alias("k"), F.timestamp_add("MICROSECOND", F.col("id") * 1000, F.lit(START).cast("timestamp_ntz")).alias("ts"), F.lit("x" * 50).alias("wide"))
+    out = temporal.all_range_sums(df, ["k"], "ts", [temporal.Range(df, "ts", -HOUR, HOUR, {"c": F.lit(1)})], stretch_rows=1000)
+    windows = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x]
+    assert windows and all("_stretch" in x and "wide" not in x for x in windows)
+    assert out.agg(F.min("c"), F.max("c")).first() == (20_000, 20_000)

@@ -7,14 +7,19 @@ search needs from earlier stretches comes from one row per key and stretch.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrose.functions.times import micros
 
+#: Points of a key that one stretch of range sums takes, and the most stretches of a key.
+STRETCH_ROWS, STRETCHES = 1 << 18, 1024
+
 
 def asof(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str, take: dict[str, str], strict: bool = False, forward: bool = False, bucket: int | None = None, tie: str | None = None) -> DataFrame:
     """``left`` with the columns ``take`` (name in right to name here) of the last row of right at or before left_ts.
@@ -97,40 +102,65 @@ class Range(NamedTuple):
     sums: dict[str, Column]
 
 
-def all_range_sums(probes: DataFrame, on: Sequence[str], probe_ts: str, ranges: Sequence[Range]) -> DataFrame:
+def all_range_sums(probes: DataFrame, on: Sequence[str], probe_ts: str, ranges: Sequence[Range], asked: DataFrame | None = None, stretch_rows: int = STRETCH_ROWS) -> DataFrame:
     """``probes`` with the sums of all ranges, of whole numbers; 0 without any event, also where key or time is null.
 
-    An event is dealt to the stretches of time whose probes can see it, all in one exchange. Within a stretch sums run over
-    the events in order of time; a probe reads the running sum behind its range's end and before its start, and the
-    difference is its own. So the work grows with the rows, however many of them a range holds.
+    A range's sum is the running sum at its end less the one before its start. Events of one key and time count as one row,
+    and each distinct key and time of the probes asks for the running sum at each bound once. A key of more than
+    ``stretch_rows`` such points is cut at quantiles of time: sums run within a stretch, and one row for each key and
+    stretch holds what lies before it. So the work grows with the rows, and no task has to hold a key or a dense hour.
+    ``asked`` is a table with the same keys and times as ``probes`` where that takes less to make.
     """
-    width = max(1, *(r.high - r.low + 1 for r in ranges))
-    row = F.struct(*(F.col(f"`{c}`") for c in probes.columns))
-    #: Probes without a time see nothing and lie anywhere.
-    anywhere = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c, kind in probes.dtypes if "map<" not in kind)), F.lit(1 << 20))
-    stretch = F.coalesce(F.floor(micros(probe_ts) / width), -anywhere - (1 << 60)).cast("bigint")
-    both = probes.select(*on, micros(probe_ts).alias("_t"), row.alias("_row"), F.lit(0).alias("_range"), stretch.alias("_stretch"))
-    for number, r in enumerate(ranges, 1):
-        e = r.events.filter(F.col(r.ts).isNotNull()).select(*on, micros(r.ts).alias("_t"), *(v.cast("bigint").alias(f"_v_{n}") for n, v in r.sums.items()), F.lit(number).alias("_range"))
-        first, last = (F.floor((F.col("_t") - x) / width) for x in (r.high, r.low))
-        both = both.unionByName(e.withColumn("_stretch", F.explode(F.sequence(first, last))), allowMissingColumns=True)
-    probe = F.col("_range") == 0
+    sources, uses = [], []
     for r in ranges:
-        running = []
-        for offset, probes_last in ((r.high, True), (r.low, False)):
-            moment, side = F.when(probe, F.col("_t") + offset).otherwise(F.col("_t")), probe == F.lit(probes_last)
-            running.append(Window.partitionBy(*on, "_stretch").orderBy(moment, side).rowsBetween(Window.unboundedPreceding, 0))
-        both = both.withColumns({n: F.coalesce(F.sum(f"_v_{n}").over(running[0]), F.lit(0)) - F.coalesce(F.sum(f"_v_{n}").over(running[1]), F.lit(0)) for n in r.sums})
-    known = F.col("_t").isNotNull()
-    for k in on:
-        known &= F.col(k).isNotNull()
-    names = [n for r in ranges for n in r.sums]
-    return both.filter("_range = 0").select("_row.*", *(F.when(known, F.col(n)).otherwise(0).alias(n) for n in names))
-
-
-def range_sums(probes: DataFrame, events: DataFrame, on: Sequence[str], probe_ts: str, event_ts: str, low: int, high: int, sums: dict[str, Column]) -> DataFrame:
+        number = next((i for i, (e, ts, _) in enumerate(sources) if e is r.events and ts == r.ts), len(sources))
+        if number == len(sources):
+            sources.append((r.events, r.ts, []))
+        values = sources[number][2]
+        for name, v in r.sums.items():
+            place = next((i for i, x in enumerate(values) if x is v), len(values))
+            values.extend([v] if place == len(values) else [])
+            uses.append((name, number, place, r.high, r.low - 1))
+    width = max(len(values) for _, _, values in sources)
+    bounds = list(dict.fromkeys((number, offset) for _, number, _, *offsets in uses for offset in offsets))
+    known = lambda df, ts: df.filter(F.col(ts).isNotNull()).dropna(subset=[*on])
+    events = None
+    for number, (df, ts, values) in enumerate(sources):
+        sums = [F.sum(values[i].cast("bigint") if i < len(values) else F.lit(None).cast("bigint")).alias(f"_v{i}") for i in range(width)]
+        part = known(df, ts).groupBy(*on, micros(ts).alias("_m")).agg(*sums).withColumn("_source", F.lit(number))
+        events = part if events is None else events.unionByName(part)
+    times = known(probes if asked is None else asked, probe_ts).select(*on, micros(probe_ts).alias("_t")).distinct()
+    bound = F.explode(F.array(*(F.struct(F.lit(number).alias("_source"), (F.col("_t") + offset).alias("_m"), F.lit(i).alias("_bound")) for i, (number, offset) in enumerate(bounds))))
+    points = times.select(*on, "_t", bound.alias("_x")).select(*on, "_t", "_x.*").unionByName(events, allowMissingColumns=True)
+    keys, inside = [*on, "_source"], [*on, "_source"]
+    largest = points.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest > stretch_rows:
+        n = min(STRETCHES, -(-largest // stretch_rows))
+        edges = points.agg(F.percentile_approx("_m", [i / n for i in range(1, n)], 10_000)).first()[0]
+        splits = [-math.inf, *map(float, sorted(set(edges))), math.inf]
+        deal = lambda df: Bucketizer(splits=splits, inputCol="_moment", outputCol="_stretch").transform(df.withColumn("_moment", F.col("_m").cast("double"))).drop("_moment").withColumn("_stretch", F.col("_stretch").cast("int"))
+        points, events, inside = deal(points), deal(events), [*keys, "_stretch"]
+    running = Window.partitionBy(*inside).orderBy("_m", F.col("_bound").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    told = points.withColumns({f"_v{i}": F.coalesce(F.sum(f"_v{i}").over(running), F.lit(0)) for i in range(width)}).filter("_bound IS NOT NULL")
+    if largest > stretch_rows:
+        by_key = Window.partitionBy(*keys).orderBy("_stretch")
+        totals = events.groupBy(*inside).agg(*(F.sum(f"_v{i}").alias(f"_v{i}") for i in range(width)))
+        #: What lies up to a stretch with events serves the stretches up to the next one that has any.
+        sums_to = [F.coalesce(F.sum(f"_v{i}").over(by_key.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias(f"_before{i}") for i in range(width)]
+        reach = totals.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_stretch", *sums_to, F.coalesce(F.lead("_stretch").over(by_key), F.lit(len(splits))).alias("_next"))
+        before = reach.withColumn("_at", F.explode(F.sequence(F.col("_stretch") + 1, "_next"))).drop("_stretch", "_next")
+        told = told.join(before, [*(F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)), F.col("_stretch") == F.col("_at")], "left")
+        told = told.withColumns({f"_v{i}": F.col(f"_v{i}") + F.coalesce(f"_before{i}", F.lit(0)) for i in range(width)})
+    at = lambda number, offset, place: F.max(F.when(F.col("_bound") == bounds.index((number, offset)), F.col(f"_v{place}")))
+    sums = told.groupBy(*on, "_t").agg(*((at(number, high, place) - at(number, low, place)).alias(f"_sum{i}") for i, (_, number, place, high, low) in enumerate(uses)))
+    sums = sums.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(on)), F.col("_t").alias("_at"), *(f"_sum{i}" for i in range(len(uses))))
+    out = probes.join(sums, [*(F.col(k) == F.col(f"_k{i}") for i, k in enumerate(on)), micros(probe_ts) == F.col("_at")], "left")
+    return out.select(*(F.col(f"`{c}`") for c in probes.columns), *(F.coalesce(f"_sum{i}", F.lit(0)).alias(name) for i, (name, *_) in enumerate(uses)))
+
+
+def range_sums(probes: DataFrame, events: DataFrame, on: Sequence[str], probe_ts: str, event_ts: str, low: int, high: int, sums: dict[str, Column], asked: DataFrame | None = None) -> DataFrame:
     """``all_range_sums`` of one range."""
-    return all_range_sums(probes, on, probe_ts, [Range(events, event_ts, low, high, sums)])
+    return all_range_sums(probes, on, probe_ts, [Range(events, event_ts, low, high, sums)], asked)
 
 
 def gap_sessions(df: DataFrame, on: Sequence[str], ts: str, gap: int, tie: str, name: str = "session") -> DataFrame:

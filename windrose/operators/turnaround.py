@@ -73,10 +73,10 @@ def network_pressure(departures: DataFrame, flights: DataFrame) -> DataFrame:
     one = F.lit(1).cast("bigint")
     out = range_sums(departures, arrivals, ["airport", "airline"], "scheduled", "actual", -45 * MINUTE, 0, {"handling_pressure": one})
     there = planned.select(F.col("airport").alias("iata"), "scheduled")
-    out = range_sums(out, there, ["iata"], "scheduled", "scheduled", -60 * MINUTE, -1, {"_there": one})
+    out = range_sums(out, there, ["iata"], "scheduled", "scheduled", -60 * MINUTE, -1, {"_there": one}, asked=departures)
     capacity = rules.lookup(F.col("iata"), rules.CAPACITY, rules.OTHER_CAPACITY)
     out = out.withColumn("destination_congestion", (F.col("_there") >= CONGESTED * capacity).cast("int")).drop("_there")
-    return range_sums(out, planned.filter(F.col("mode") == "departure"), ["airport"], "scheduled", "scheduled", -15 * MINUTE, -1, {"taxi_out": one})
+    return range_sums(out, planned.filter(F.col("mode") == "departure"), ["airport"], "scheduled", "scheduled", -15 * MINUTE, -1, {"taxi_out": one}, asked=departures)
 
 
 def arrival_side(arrivals: DataFrame, flights: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def arrival_side(arrivals: DataFrame, flights: DataFrame) -> DataFrame:
     around = Range(events, "scheduled", -30 * MINUTE, 30 * MINUTE, {"_around": one})
     before = Range(events, "actual", -60 * MINUTE, -1, {"flights_last_hour": one})
     planned = Range(events, "scheduled", -60 * MINUTE, -1, {"_planned": one, "_bad": F.col("_late")})
-    rows = all_range_sums(rows, ["airport"], "actual", [around, before, planned])
+    rows = all_range_sums(rows, ["airport"], "actual", [around, before, planned], asked=arrivals)
     load = F.col("_around") / rules.lookup(F.col("airport"), rules.CAPACITY, rules.OTHER_CAPACITY)
     rows = rows.withColumn("load", load).withColumn("is_parallel", (load >= CONGESTED).cast("int")).withColumn("density_disruption", F.when(F.col("_planned") > 0, F.col("_bad") / F.col("_planned")).otherwise(0.0))
     return rows.drop("_around", "_planned", "_bad")
@@ -119,7 +119,7 @@ def departure_load(departures: DataFrame, arrivals: DataFrame) -> DataFrame:
     before = Range(planned, "scheduled", -60 * MINUTE, 0, {"_planned": one, "_bad": F.col("_late")})
     rows = all_range_sums(departures, ["airport"], "scheduled", [hour, around, before])
     there = planned.select(F.col("airport").alias("prev_station"), "scheduled", "_late")
-    rows = all_range_sums(rows, ["prev_station"], "prev_arrival", [Range(there, "scheduled", -60 * MINUTE, 0, {"_planned_there": one, "_bad_there": F.col("_late")})])
+    rows = all_range_sums(rows, ["prev_station"], "prev_arrival", [Range(there, "scheduled", -60 * MINUTE, 0, {"_planned_there": one, "_bad_there": F.col("_late")})], asked=departures)
     capacity = rules.lookup(F.col("airport"), rules.CAPACITY, rules.OTHER_CAPACITY)
     share = lambda bad, n: F.when(F.col(n) > 0, F.col(bad) / F.col(n)).otherwise(0.0)
     rows = rows.withColumns({"load": F.col("_around") / capacity, "is_congested": (F.col("flights_last_hour") >= CONGESTED * capacity).cast("int"), "density_disruption": share("_bad", "_planned"), "previous_station_disruption": share("_bad_there", "_planned_there")})
