@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrose.functions import rules
-from windrose.functions.times import DAY, MINUTE, is_peak, minutes_between
+from windrose.functions.times import DAY, HOUR, MINUTE, is_peak, minutes_between
 from windrose.operators.history import changed_within, safe_lags
 from windrose.operators.temporal import Range, all_range_sums, asof, range_sums
 
 # How full an airport is when it counts as congested; status words of a diverted flight.
 CONGESTED, DIVERTED = 0.85, "divert|return|emergency"
+#: Stretches in which incoming aircraft are looked for: many flights may share a few tails.
+LEG_STRETCH = 3 * HOUR
 #: Delay in minutes from which an arrival counts as disrupted.
 DISRUPTED_DELAY = 45
 
@@ -29,7 +31,7 @@ def incoming(departures: DataFrame, arrivals: DataFrame) -> DataFrame:
     """
     right = arrivals.select("tail", "row_id", F.col("actual").alias("arrived"), F.col("status").alias("prev_status"), F.when(F.col("is_imputed"), 0.0).otherwise(F.coalesce(minutes_between(F.col("actual"), F.col("scheduled")), F.lit(0.0))).alias("delay_of_leg"), rules.standard_turnaround(F.col("aircraft")).alias("standard"), F.col("is_imputed").alias("imputed"), F.col("airport").alias("prev_airport"), F.col("iata").alias("prev_station"))
     take = {"row_id": "prev_row", "arrived": "prev_arrival", "prev_status": "prev_status", "delay_of_leg": "arrival_delay", "standard": "standard_turnaround", "imputed": "prev_imputed", "prev_airport": "prev_airport", "prev_station": "prev_station"}
-    out = asof(departures, right, ["tail"], "scheduled", "arrived", take, strict=True, tie="row_id")
+    out = asof(departures, right, ["tail"], "scheduled", "arrived", take, strict=True, bucket=LEG_STRETCH, tie="row_id")
     out = out.withColumn("standard_turnaround", F.coalesce("standard_turnaround", F.lit(rules.STANDARD_TURNAROUND))).withColumn("prev_imputed", F.coalesce("prev_imputed", F.lit(False)))
     out = out.withColumn("prev_arrival", F.when(F.col("prev_imputed"), _plus_minutes(F.col("scheduled"), -F.col("standard_turnaround"))).otherwise(F.col("prev_arrival")))
     assumed = F.when(F.col("is_imputed") & F.col("prev_arrival").isNotNull(), _plus_minutes(F.col("prev_arrival"), F.col("standard_turnaround")))
