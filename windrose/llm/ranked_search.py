@@ -75,12 +75,15 @@ def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blo
     n_docs, n_terms = statistics(docs, text)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for lo, hi, data, offsets in text_chunks(batch, "text", block_bytes):
+        for lo, hi, _, _ in text_chunks(batch, "text", block_bytes):
             doc_ids = batch.column("doc_id")[lo:hi].fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
             #: Documents of a block go by doc_id, so that of equal ones the first bits are the best.
             place = np.empty(hi - lo, np.int64)
             place[np.argsort(doc_ids, kind="stable")] = np.arange(hi - lo)
-            term, _, row = words(data, offsets)
+            #: A block is hashed in small steps, as hashing holds some thirty bytes for each byte of text.
+            steps = [(term, row + first) for first, _, part, ends in text_chunks(batch.slice(lo, hi - lo), "text") for term, _, row in [words(part, ends)]]
+            term, row = (np.concatenate(x) for x in zip(*steps, strict=True))
+            del steps
             length = np.bincount(row, minlength=hi - lo)
             m = 100 - LENGTH_SHARE + LENGTH_SHARE * length * n_docs // max(1, n_terms)
             terms, number = np.unique(term, return_inverse=True)
