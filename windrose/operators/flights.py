@@ -1,7 +1,7 @@
 """Repair of movement records: duplicates, runways, returns to the origin, swapped aircraft, missing counterparts, dates.
 
 A movement has row_id, airport, mode (arrival or departure), iata (the other airport), flight_no, tail, scheduled, actual,
-category and runway. Searches along time run per flight or, where the key is an airport alone, per airport and day, so no
+category and runway. Searches along time run per flight or, where the key is an airport alone, per airport and stretch of time, so no
 airport's rows meet in one task.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windrose.functions.times import DAY, HOUR, MINUTE, micros, minutes_between
+from windrose.functions.times import HOUR, MINUTE, micros, minutes_between
 from windrose.operators.temporal import asof, first_known_after, nearer, neighbours, range_sums, within_after
 
 # Runways by airport and mode (default, reverse), the emergency runway, and what emergencies turn a runway to.
@@ -104,7 +104,7 @@ def filled_runways(flights: DataFrame) -> DataFrame:
     missing = F.col("runway").isNull() | (F.lower(F.trim("runway")) == "unknown")
     rows = oriented(flights).withColumn("_event", at)
     known = flights.filter(~missing).select("airport", "mode", "row_id", at.alias("_at_known"), F.col("runway").alias("_rw"))
-    both = neighbours(rows, known, ["airport", "mode"], "_event", "_at_known", ["_rw"], bucket=DAY, tie="row_id")
+    both = neighbours(rows, known, ["airport", "mode"], "_event", "_at_known", ["_rw"], bucket=RUNWAY_SPAN, tie="row_id")
     near, any_ = nearer(RUNWAY_SPAN)["_rw"], F.when(F.col("airport") == "DAD", nearer(later_wins=True)["_rw"])
     usual = F.when(F.col("orientation") == "reverse", usual_runway(1)).otherwise(usual_runway(0))
     by = F.when(~missing, None).when(near.isNotNull(), "near").when(any_.isNotNull(), "any").otherwise("usual")
