@@ -45,7 +45,7 @@ def returns(flights: DataFrame) -> DataFrame:
     """Arrivals from their own airport with ``return_gap`` (minutes since the flight last left) and ``is_return``."""
     left = _mode(flights, "arrival").filter(F.col("iata") == F.col("airport")).withColumn("_event", event_time())
     right = _mode(flights, "departure").select("airport", "flight_no", event_time().alias("_left"))
-    out = asof(left, right, ["airport", "flight_no"], "_event", "_left", {"_left": "_last"})
+    out = asof(left, right, ["airport", "flight_no"], "_event", "_left", {"_left": "_last"}, bucket=RETURN_SPAN)
     gap = minutes_between(F.col("_event"), F.col("_last"))
     return out.withColumn("return_gap", gap).withColumn("is_return", F.coalesce(gap <= RETURN_SPAN / MINUTE, F.lit(False))).drop("_event", "_last")
 
