@@ -44,25 +44,32 @@ def auc(df: DataFrame, truth: str, score: str, on: Sequence[str] = ()) -> DataFr
     return sums.select(*on, F.try_divide(F.col("ranks") - pos * (pos + 1) / 2, pos * neg).alias("auc"))
 
 
-def _sums(truth: str, predicted: str) -> list[Column]:
-    error = F.abs(F.col(truth) - F.col(predicted))
-    squares = F.sum(F.pow(F.col(truth) - F.col(predicted), F.lit(2)))
-    spread = F.var_pop(truth) * F.count(truth)
-    return [F.count("*").alias("n"), F.avg(error).alias("mae"), F.sqrt(squares / F.count("*")).alias("rmse"), (1 - F.try_divide(squares, spread)).alias("r2")]
+def _sums(truth: str, predicted: str, weight: str | None = None) -> list[Column]:
+    error, square = F.abs(F.col(truth) - F.col(predicted)), F.pow(F.col(truth) - F.col(predicted), F.lit(2))
+    if weight is None:
+        n, mean, squares, spread = F.count("*"), F.avg(error), F.sum(square), F.var_pop(truth) * F.count(truth)
+    else:
+        y, w = F.col(truth), F.col(weight)
+        known = F.when(error.isNotNull(), w)
+        n, mean, squares = F.sum(w), F.try_divide(F.sum(w * error), F.sum(known)), F.sum(w * square)
+        # A constant has no spread, whatever the sums round to.
+        spread = F.when(F.min(y) == F.max(y), 0.0).otherwise(F.sum(w * y * y) - F.pow(F.sum(w * y), F.lit(2)) / F.sum(F.when(y.isNotNull(), w)))
+    return [n.alias("n"), mean.alias("mae"), F.sqrt(squares / n).alias("rmse"), (1 - F.try_divide(squares, spread)).alias("r2")]
 
 
-def regression(rows: DataFrame, truth: str, predicted: str, sets: Sequence[Sequence[str]] = ((),)) -> DataFrame:
-    """MAE, median error, RMSE and R2 by each of the sets of keys; a key that a set has not got is null there.
+def regression(rows: DataFrame, truth: str, predicted: str, sets: Sequence[Sequence[str]] = ((),), weight: str | None = None) -> DataFrame:
+    """MAE, median error, RMSE and R2 by each of the sets of keys; a key that a set has not got is null there. A row stands for
+    as many as its ``weight`` says.
 
     The median comes from counts of errors in ordered parts, so no task holds the errors of a key.
     """
     keys = list(dict.fromkeys(k for s in sets for k in s))
     number = lambda s: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s)
     if keys:
-        sums = rows.groupingSets([list(s) for s in sets], *keys).agg(F.grouping_id().cast("bigint").alias("_set"), *_sums(truth, predicted))
+        sums = rows.groupingSets([list(s) for s in sets], *keys).agg(F.grouping_id().cast("bigint").alias("_set"), *_sums(truth, predicted, weight))
     else:
-        sums = rows.agg(*_sums(truth, predicted)).withColumn("_set", F.lit(0).cast("bigint"))
-    counts = rows.groupBy(*keys, F.abs(F.col(truth) - F.col(predicted)).alias("_error")).agg(F.count("*").alias("_m"))
+        sums = rows.agg(*_sums(truth, predicted, weight)).withColumn("_set", F.lit(0).cast("bigint"))
+    counts = rows.groupBy(*keys, F.abs(F.col(truth) - F.col(predicted)).alias("_error")).agg((F.count("*") if weight is None else F.sum(weight)).alias("_m"))
     kinds = dict(rows.dtypes)
     copies = F.array(*(F.struct(F.lit(number(s)).cast("bigint").alias("_set"), *((F.col(k) if k in s else F.lit(None).cast(kinds[k])).alias(k) for k in keys)) for s in sets))
     counts = counts.select("_error", "_m", F.explode(copies).alias("_x")).groupBy("_x._set", *(f"_x.{k}" for k in keys), "_error").agg(F.sum("_m").alias("_m"))

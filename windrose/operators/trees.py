@@ -3,12 +3,13 @@
 Trees grow level by level over the whole table. Every level is a pass in which each task sends its rows down the trees as far
 as they have grown and adds up, for each open node, what the next cuts are chosen by; Spark adds the tasks' sums together,
 and what reaches the driver is a row for each open node and candidate, a number that the parameters bound. Rows are never
-moved; they need ``x``, an array of numbers of one length, and ``label``. A missing number goes to the right.
+moved; they need ``x``, an array of numbers of one length, and ``label``. A missing number goes to the right. A row may stand
+for several alike, as many as its ``weight`` says.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -74,13 +75,29 @@ class TreesModel:
         return rows.withColumn("prediction", predicted("x"))
 
 
+#: Copies of a row that are held at once.
+COPIES = 4096
+
+
 def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     x = batch.column("x")
     width = len(x[0]) if len(x) else 0
     return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float), batch.column("label").to_numpy(zero_copy_only=False)
 
 
-def _summed(rows: DataFrame, add: Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]], sums: int, extremes: int = 0) -> dict[int, np.ndarray]:
+def _inputs(rows: DataFrame) -> DataFrame:
+    return rows.select("x", "label", (F.col("weight") if "weight" in rows.columns else F.lit(1)).cast("bigint").alias("weight"))
+
+
+def _each(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns in as many rows as the weights say, for aggregates that take no weights."""
+    if "weight" not in rows.columns:
+        return rows.select(*columns)
+    parts = rows.filter("weight > 0").select(*columns, "weight", F.explode(F.expr(f"sequence(0L, (weight - 1) div {COPIES})")).alias("_part"))
+    return parts.select(*columns, F.explode(F.expr(f"array_repeat(true, cast(least({COPIES}, weight - _part * {COPIES}) as int))")).alias("_copy")).drop("_copy")
+
+
+def _summed(rows: DataFrame, add: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]], sums: int, extremes: int = 0) -> dict[int, np.ndarray]:
     """By key: the sums, then the maxima, of what ``add`` gives for the rows of a batch as (keys, keys x numbers).
 
     A task adds its batches up before it passes anything on.
@@ -91,7 +108,7 @@ def _summed(rows: DataFrame, add: Callable[[np.ndarray, np.ndarray], Iterator[tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for keys, values in add(*_matrix(batch)) if batch.num_rows else ():
+            for keys, values in add(*_matrix(batch), batch.column("weight").to_numpy().astype(float)) if batch.num_rows else ():
                 for k, v in zip(keys.tolist(), values, strict=True):
                     if k in total:
                         total[k][:sums] += v[:sums]
@@ -102,7 +119,7 @@ def _summed(rows: DataFrame, add: Callable[[np.ndarray, np.ndarray], Iterator[tu
             table = np.stack(list(total.values()))
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), *(pa.array(c) for c in table.T)], names=[c.split()[0] for c in schema.split(", ")])
 
-    found = rows.select("x", "label").mapInArrow(run, schema).groupBy("key").agg(*((F.sum if i < sums else F.max)(f"v{i}").alias(f"v{i}") for i in range(width)))
+    found = _inputs(rows).mapInArrow(run, schema).groupBy("key").agg(*((F.sum if i < sums else F.max)(f"v{i}").alias(f"v{i}") for i in range(width)))
     return {r[0]: np.array(r[1:], float) for r in found.collect()}
 
 
@@ -145,10 +162,10 @@ def extra_trees(rows: DataFrame, width: int, n_trees: int = 120, max_depth: int
                 if len(inside):
                     yield inside, at[inside]
 
-        def extremes(x: np.ndarray, y: np.ndarray, sent=sent, nodes=nodes) -> Iterator[tuple[np.ndarray, np.ndarray]]:  # noqa: ANN001
+        def extremes(x: np.ndarray, y: np.ndarray, w: np.ndarray, sent=sent, nodes=nodes) -> Iterator[tuple[np.ndarray, np.ndarray]]:  # noqa: ANN001
             for inside, at in nodes(x):
                 values = x[inside[:, None], sent.value[2][at]]
-                yield _by_key(at, [np.ones(len(at)), y[inside], y[inside] ** 2], [*(-values.T), *values.T])
+                yield _by_key(at, [w[inside], w[inside] * y[inside], w[inside] * y[inside] ** 2], [*(-values.T), *values.T])
 
         ranges = _summed(rows, extremes, 3, 2 * tried)
         cuts, going = np.full((len(open_), tried), np.nan), []
@@ -163,12 +180,12 @@ def extra_trees(rows: DataFrame, width: int, n_trees: int = 120, max_depth: int
             break
         asked = rows.sparkSession.sparkContext.broadcast(cuts)
 
-        def sides(x: np.ndarray, y: np.ndarray, asked=asked, sent=sent, nodes=nodes) -> Iterator[tuple[np.ndarray, np.ndarray]]:  # noqa: ANN001
+        def sides(x: np.ndarray, y: np.ndarray, w: np.ndarray, asked=asked, sent=sent, nodes=nodes) -> Iterator[tuple[np.ndarray, np.ndarray]]:  # noqa: ANN001
             for inside, at in nodes(x):
                 left = x[inside[:, None], sent.value[2][at]] <= asked.value[at]
                 if left.any():
                     row, which = np.nonzero(left)
-                    yield _by_key(at[row] * tried + which, [np.ones(len(row)), y[inside[row]]])
+                    yield _by_key(at[row] * tried + which, [w[inside[row]], w[inside[row]] * y[inside[row]]])
 
         found = _summed(rows, sides, 2)
         after = []
@@ -191,7 +208,7 @@ def extra_trees(rows: DataFrame, width: int, n_trees: int = 120, max_depth: int
 def bin_edges(rows: DataFrame, width: int, bins: int = 255) -> list[np.ndarray]:
     """By feature the distinct upper ends of at most ``bins`` bins of about equally many rows."""
     levels = [k / bins for k in range(1, bins)]
-    found = rows.agg(*(F.percentile_approx(F.get("x", F.lit(i)), levels, 10_000).alias(f"e{i}") for i in range(width))).first()
+    found = _each(rows, ["x"]).agg(*(F.percentile_approx(F.get("x", F.lit(i)), levels, 10_000).alias(f"e{i}") for i in range(width))).first()
     return [np.unique(np.array(found[i] or [], float)) for i in range(width)]
 
 
@@ -205,7 +222,7 @@ def boosted_quantile(rows: DataFrame, width: int, quantile: float = 0.5, n_trees
     """
     edges = edges if edges is not None else bin_edges(rows, width, bins)
     places = max((len(e) for e in edges), default=0) + 1
-    first = rows.agg(F.percentile_approx("label", quantile, 10_000)).first()[0]
+    first = _each(rows, ["label"]).agg(F.percentile_approx("label", quantile, 10_000)).first()[0]
     model = TreesModel([], float(first or 0.0))
     for _ in range(n_trees):
         tree, open_ = Tree(), [0]
@@ -216,16 +233,16 @@ def boosted_quantile(rows: DataFrame, width: int, quantile: float = 0.5, n_trees
             number[open_] = np.arange(len(open_))
             sent = rows.sparkSession.sparkContext.broadcast((model, tree, number, edges))
 
-            def slopes(x: np.ndarray, y: np.ndarray, sent=sent) -> Iterator[tuple[np.ndarray, np.ndarray]]:  # noqa: ANN001
+            def slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray, sent=sent) -> Iterator[tuple[np.ndarray, np.ndarray]]:  # noqa: ANN001
                 so_far, grown, number, edges = sent.value
                 at = number[grown.leaf(x)]
                 inside = np.flatnonzero(at >= 0)
                 if not len(inside):
                     return
-                at, x, y = at[inside], x[inside], y[inside]
-                g = np.where(y > so_far.predict(x), -quantile, 1 - quantile)
+                at, x, y, w = at[inside], x[inside], y[inside], w[inside]
+                g = w * np.where(y > so_far.predict(x), -quantile, 1 - quantile)
                 for f, e in enumerate(edges):
-                    yield _by_key((at * width + f) * places + np.searchsorted(e, x[:, f], "left"), [np.ones(len(at)), g])
+                    yield _by_key((at * width + f) * places + np.searchsorted(e, x[:, f], "left"), [w, g])
 
             sums = _summed(rows, slopes, 2)
             sent.destroy()
@@ -254,9 +271,9 @@ def boosted_quantile(rows: DataFrame, width: int, quantile: float = 0.5, n_trees
                 if batch.num_rows:
                     x, y = _matrix(batch)
                     so_far, grown = sent.value
-                    yield pa.RecordBatch.from_arrays([pa.array(grown.leaf(x)), pa.array(y - so_far.predict(x))], names=["leaf", "residual"])
+                    yield pa.RecordBatch.from_arrays([pa.array(grown.leaf(x)), pa.array(y - so_far.predict(x)), batch.column("weight")], names=["leaf", "residual", "weight"])
 
-        by_leaf = rows.select("x", "label").mapInArrow(residuals, "leaf bigint, residual double").groupBy("leaf")
+        by_leaf = _each(_inputs(rows).mapInArrow(residuals, "leaf bigint, residual double, weight bigint"), ["leaf", "residual"]).groupBy("leaf")
         for leaf, value in by_leaf.agg(F.percentile_approx("residual", quantile, 10_000)).collect():
             tree.value[leaf] = rate * value
         sent.destroy()
