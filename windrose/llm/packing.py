@@ -12,14 +12,15 @@ doc_id (nulls first), start and checksum; rows equal in all of these are interch
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,14 @@ END_ID = 2
 CACHED_WORDS, CACHED_BYTES = 400_000, 48
 #: How tokens that close a word end; a word that stands between others in one call; symbols cut off the end of a word.
 WORD_END, MARK, TAIL = "</w>", b"\x01", b"!#$%&*+,-./:;<=>?@|~"
+#: What splitting leaves before leading and after trailing white space.
+NO_WORD = b""
+#: What opens a special token, whose letters and symbols stay together as they are until white space.
+OPENS = b"<|"
+#: By byte: white space; ASCII letters and digits; symbols that may be cut off behind them.
+_BLANK, _PLAIN, _SYMBOL = (np.isin(np.arange(256), list(x)) for x in (b"\t\n\x0b\x0c\r ", b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", TAIL))
+#: Bytes of text that are split into words at a time; a longer text is a call by itself.
+CALL_BYTES = 4 << 20
 #: Pieces of one length and salt.
 RANKED_TOGETHER = 50_000
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -43,6 +52,34 @@ def _cut(ids: np.ndarray, ends: np.ndarray, gap: int) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *(ends[:-1] + gap).tolist()], ends.tolist(), strict=True)] if len(ends) else []
 
 
+def _loose(data: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Those of the places that no opening of a special token stands before in their word."""
+    opened = np.flatnonzero((data[:-1] == OPENS[0]) & (data[1:] == OPENS[1]))
+    if not len(opened):
+        return at
+    begins = np.union1d(np.flatnonzero(_BLANK[data]), offsets[:-1])
+    last = begins[np.searchsorted(begins, at, "right") - 1]
+    return at[np.searchsorted(opened, last) == np.searchsorted(opened, at, "right")]
+
+
+def unified(data: np.ndarray, offsets: np.ndarray, lowers: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with a space between a letter or digit and symbols behind it, and with small letters if case is not kept.
+
+    Neither changes the ids: such symbols are tokens of their own. Letters before anything but ASCII stay, as a mark may
+    compose with them before case is folded.
+    """
+    if len(data) < 2:
+        return data, offsets
+    if lowers:
+        capital = (data >= ord("A")) & (data <= ord("Z"))
+        capital[:-1] &= data[1:] < 128
+        data = data.copy()
+        data[_loose(data, offsets, np.flatnonzero(capital))] += 32
+    cut = _PLAIN[data[:-1]] & _SYMBOL[data[1:]]
+    at = _loose(data, offsets, np.flatnonzero(cut) + 1)
+    return np.insert(data, at, ord(" ")), offsets + np.searchsorted(at, offsets)
+
+
 class WordEncoder:
     """Ids by a tokenizer that drops white space and so treats words one by one; ids of short words are remembered.
 
@@ -52,7 +89,9 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.before = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known, self.before = Tokenizer.from_file(path), {NO_WORD: b""}, {}
+        normal = json.loads(self.tokenizer.to_str())["normalizer"] or {}
+        self.lowers = {"type": "Lowercase"} in (normal.get("normalizers") or [normal])
         mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         vocabulary = self.tokenizer.get_vocab()
@@ -81,23 +120,6 @@ class WordEncoder:
             ids = self._ids(f" {MARK.decode()} ".join([text[k] for k in rest]))
             self.known.update(zip([parts[k] for k in rest], _cut(ids, np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4, 4), strict=True))
 
-    def _learn(self, new: set[bytes]) -> None:
-        """Symbols after a letter or digit are tokens of their own, so such words are put together from their parts."""
-        joined, whole = [], set()
-        for w in new:
-            core = w.rstrip(TAIL)
-            if core and len(core) < len(w) and core[-1:].isalnum() and b"<|" not in w:
-                joined.append((w, core, w[len(core) :]))
-            else:
-                whole.add(w)
-        whole.update([core for _, core, _ in joined])
-        whole.update([tail for _, _, tail in joined])
-        whole = self._recalled(whole)
-        if whole:
-            self._encode(list(whole))
-        known = self.known
-        known.update([(w, known[core] + known[tail]) for w, core, tail in joined])
-
     def _recalled(self, words: set[bytes]) -> set[bytes]:
         """The words that are not known, after those known before are known again."""
         new = words.difference(self.known)
@@ -105,18 +127,40 @@ class WordEncoder:
         self.known.update([(w, self.before[w]) for w in again])
         return new - again
 
-    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """Little-endian ids of each text."""
-        split = [t.split() for t in texts]
-        new = self._recalled(set(chain.from_iterable(split)))
-        self._learn(new)
-        for parts in split:
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u4")
+    def flat(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Little-endian ids of consecutive texts, and where each text's ids begin and end in them.
+
+        Each distinct word of a call is looked up once; its ids go to its places by their numbers.
+        """
+        data, offsets = unified(data, offsets, self.lowers)
+        texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
+        split = pc.ascii_split_whitespace(texts)
+        place = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        parts = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        new = self._recalled(set(parts))
+        if new:
+            self._encode(list(new))
+        found = list(map(self.known.__getitem__, parts))
         for w in new:
             if len(w) > CACHED_BYTES:
                 del self.known[w]
         if len(self.known) > CACHED_WORDS:
-            self.known, self.before = {}, self.known
+            self.known, self.before = {NO_WORD: b""}, self.known
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        codes = coded.indices.to_numpy()
+        each = lengths[codes]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(each)])
+        source = np.repeat((np.cumsum(lengths) - lengths)[codes] - ends[:-1], each)
+        source += np.arange(len(source))
+        return np.frombuffer(b"".join(found), "<u4")[source], ends[place - place[0]]
+
+    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """Little-endian ids of each text."""
+        offsets = np.cumsum([0, *map(len, texts)], dtype=np.int64)
+        ids, bounds = self.flat(np.frombuffer(b"".join(texts), np.uint8), offsets)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield ids[a:b]
 
 
 @cache
@@ -131,11 +175,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     schema = PIECE_SCHEMA + (", ids array<bigint>" if with_ids else "")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for lo, hi, data, offsets in text_chunks(batch, "text"):
-            raw, names = data.tobytes(), batch.column("doc_id")[lo:hi].to_pylist()
+        for lo, hi, data, offsets in text_chunks(batch, "text", CALL_BYTES):
+            names = batch.column("doc_id")[lo:hi].to_pylist()
             out: list[list] = [[] for _ in range(5 + with_ids)]
-            for name, ids in zip(names, encoder(tokenizer_path).encode([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]), strict=True):
-                ids = np.append(ids, np.array([end_id], "<u4"))
+            flat, bounds = encoder(tokenizer_path).flat(data, offsets)
+            for name, a, b in zip(names, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                ids = np.append(flat[a:b], np.array([end_id], "<u4"))
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]
                     for column, value in zip(out, (name, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), piece.tolist() if with_ids else None), strict=False):
